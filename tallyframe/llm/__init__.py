@@ -1,7 +1,7 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import token_counts, packing
+from . import packing, pii, quality, token_counts, token_files
 
-MODULES = (token_counts, packing)
+MODULES = (token_files, token_counts, quality, pii, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
