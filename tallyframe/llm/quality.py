@@ -81,16 +81,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit(labelled: DataFrame, per_class: int = 2000, sample_bytes: int = 16384, dict_bytes: int = 65536, chunk: int = 2048, level: int = 1) -> Model:
-    """A model from (doc_id, text, label), on a bounded sample: the first `per_class` rows of either label by a hash of
-    doc_id, among texts of at most `sample_bytes` bytes. Two of three train the dictionaries, the third fits the curve.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, sample_bytes: int = 8192, dict_bytes: int = 65536, chunk: int = 2048, level: int = 1) -> Model:
+    """A model from documents (doc_id, text) and labels (doc_id, label), on a bounded sample.
 
-    Rows without text or with another label than 0 and 1 are left out. With one class or none, every text gets the
-    class's share, 0.5 without any row.
+    Of either label, the first 2 x per_class ids by a hash are looked up among the documents; the first per_class texts
+    of 1 to sample_bytes bytes make the sample. Two of three train the dictionaries, the third fits the curve. Null ids,
+    rows without text and labels other than 0 and 1 are left out; an id labelled more than once counts with its least
+    label. With one class or none, every text gets the class's share, 0.5 without any row.
     """
-    rows = labelled.where(F.col("label").isin(0, 1) & (F.octet_length("text") <= sample_bytes) & (F.col("text") != ""))
-    rank = F.xxhash64("doc_id")
-    sample = [r for y in (0, 1) for r in rows.where(F.col("label") == y).orderBy(rank, "doc_id", "text").select("text", "label").limit(per_class).collect()]
+    known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    first = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for y in (0, 1)]
+    found = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id")
+    found = found.where(F.octet_length("text").between(1, sample_bytes)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * per_class)
+    rows = found.select("text", "label").collect()
+    sample = [r for y in (0, 1) for r in [r for r in rows if r.label == y][:per_class]]
     y = np.array([r.label for r in sample], float)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
@@ -123,14 +127,9 @@ def quality_score(text: Column, model: Model) -> Column:
     return score(text)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows of the four training folds: crc32 of doc_id as text, mod 5, not 0.
-
-    A doc_id labelled more than once counts with its least label; null labels and ids are left out.
-    """
-    known = labels.where(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the four training folds: crc32 of doc_id as text, mod 5, not 0."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("doc_id", F.col("quality").alias("label"))
 
 
 def classify(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -140,14 +139,14 @@ def classify(docs: DataFrame, model: Model, least: float = 0.3, text_col: str =
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    model = fit(training_rows(docs, labels))
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit(docs, training_labels(labels))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return classify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents that the classifier, trained on the labelled ones among them, doesn't reject."""
-    model = fit(training_rows(docs, labels))
+    model = fit(docs, training_labels(labels))
     return classify(docs.select(*docs.columns, F.lit(0).alias("_")), model, least).where("predicted = 1").select(docs.columns)
 
 
