@@ -81,17 +81,26 @@ def split_sections(folded: Column, sections: dict[str, str] | None = None) -> Co
 
     Works on text whose accents are stripped, so that headers and contents have the same positions.
     """
-    found = sections or SECTIONS
     marked = folded
-    for name, pattern in found.items():
+    for name, pattern in (sections or SECTIONS).items():
         marked = F.regexp_replace(marked, f"{_FLAGS}(?:{pattern})\\s*:", f"{_MARK}{name}{_MARK}")
-    parts = F.split(marked, _MARK)
-    # parts: text, name, text, name, text ...
-    heads = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(F.when(i == 0, F.when(F.size(parts) == 1, "findings").otherwise("other")).otherwise(F.get(parts, i - 1)).alias("section"), F.get(parts, i).alias("text")))
-    kept = F.filter(heads, lambda h: (h["section"] != "other") | (h["text"] != ""))
-    names = F.array_distinct(F.transform(kept, lambda h: h["section"]))
-    whole = lambda n: F.trim(F.array_join(F.transform(F.filter(kept, lambda h: h["section"] == n), lambda h: h["text"]), "\n"))
-    return F.transform(names, lambda n: F.struct(n.alias("section"), whole(n).alias("text")))
+
+    def pairs(parts: Column) -> Column:
+        # parts: text, name, text, name, text ...
+        name = lambda i: F.when(i == 0, F.when(F.size(parts) == 1, "findings").otherwise("other")).otherwise(F.get(parts, i - 1))
+        each = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(name(i).alias("section"), F.get(parts, i).alias("text")))
+        return F.filter(each, lambda h: (h["section"] != "other") | (h["text"] != ""))
+
+    def joined(kept: Column) -> Column:
+        whole = lambda n: F.array_join(F.transform(F.filter(kept, lambda h: h["section"] == n), lambda h: h["text"]), "\n")
+        return F.transform(F.array_distinct(F.transform(kept, lambda h: h["section"])), lambda n: F.struct(n.alias("section"), F.regexp_replace(whole(n), r"^\s+|\s+$", "").alias("text")))
+
+    return bound(F.split(marked, _MARK), lambda parts: bound(pairs(parts), joined))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), in which value is evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def split_sentences(text: Column) -> Column:

@@ -4,7 +4,7 @@ A document is the set of its distinct word n-grams. Sets of similar size that ar
 elements. The domain of n-grams is split into groups by a hash, and each group into parts; of two such sets, some group
 holds at most k2 of the differences, so they agree on all but k2 of its parts. A set's signatures are, for each group,
 its elements in each choice of all but k2 parts: similar sets share one. Sets that share a signature are candidates, and
-candidates are compared in full until all that can still be in different components have been.
+candidates are compared in full unless others already tie them together.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Elements of the sets of one tile of a family, about twice: bounds a task's memory at some 100 MB.
+TILE = 200_000
 #: Rows that a broadcast of ids may have.
 MOST_BROADCAST = 2_000_000
 
@@ -119,6 +121,40 @@ class Scheme:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def similar(sets: list[np.ndarray], component: np.ndarray, num: int, den: int, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets in different components whose similarity is at least num / den, compared all at once."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[where] > 1
+    row, where = row[shared], np.unique(where[shared], return_inverse=True)[1]
+    order = np.argsort(where, kind="stable")
+    row, where = row[order], where[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(where[-1]) + 1 if len(where) else 0, columns):
+        lo, hi = np.searchsorted(where, [at, at + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[lo:hi], where[lo:hi] - at] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    a, b = np.nonzero(np.triu(den * both >= num * (sizes[:, None] + sizes - both), 1))
+    apart = component[a] != component[b]
+    return a[apart], b[apart]
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes, the smallest node that edges (a, b) reach."""
+    root = np.arange(n)
+    while True:
+        least, new = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
 
@@ -201,34 +237,31 @@ def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFr
         both = pairs.join(whole.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(whole.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
         return common.written(both.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long"), "links")
 
+    def joined(key: tuple, group: pa.Table) -> pa.Table:
+        ids, component = group.column("doc").to_numpy(), group.column("component").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for c in group.column("set").chunks for s in c]
+        a, b = similar(sets, component, num, den)
+        root = roots(len(ids), a, b)
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": ids[root[some]], "b": ids[some]})
+
     # copies whose id repeats with other texts tie those classes
     ties = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")).where("a <> b")
     repeated = ties.groupBy("b").agg(F.count_distinct("a").alias("n")).where("n > 1").select("b")
     links = ties.join(repeated, "b").select("a", "b")
-    near = F.least("size", "size2") * den >= F.greatest("size", "size2") * num
-    done = None
-    for turn in range(3):
-        member = common.components(links, "near").select(F.col("node").alias("doc"), "component")
-        known = buckets.join(member, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        if turn < 2:
-            # first each document with one document of its buckets, then with the first of each bucket
-            firsts = member.select(F.col("doc").alias("first"), F.col("component").alias("component2"))
-            pairs = known.join(firsts, "first", "left").where(F.col("component") != F.coalesce("component2", "first"))
-            pairs = pairs.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")) if turn == 0 else pairs.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-            pairs = pairs.where("a < b")
-        else:
-            # then whatever shares a bucket and is still apart
-            open_sigs = known.groupBy("sig").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("sig")
-            left = common.written(known.join(open_sigs, "sig").select("sig", "doc", "component", "size"), "open")
-            other = left.select("sig", F.col("doc").alias("doc2"), F.col("component").alias("component2"), F.col("size").alias("size2"))
-            pairs = left.join(other, "sig").where((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")) & near)
-            pairs = pairs.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = common.written(pairs.select("a", "b"), "pairs")
-        done = pairs if done is None else done.union(pairs)
-        links = links.union(linked(pairs))
-    member = common.components(links, "near").select(F.col("node").alias("rep"), "component")
+    # each document with the first one of one of its buckets: that ties most of a group of near copies together
+    links = links.union(linked(buckets.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")))
+    member = common.components(links, "near").select(F.col("node").alias("doc"), "component")
+    # then whatever shares a bucket and is still apart: buckets with the same first document make a family, and a
+    # family in more than one component is compared in tiles of bounded size, which tell a forest of their links
+    family = buckets.select("first", "doc", "size").union(buckets.where("doc = first").select("first", "doc", "size")).distinct()
+    family = family.join(member, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    apart = family.groupBy("first").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum("size") / TILE).cast("int").alias("chunks")).where("x < y").select("first", "chunks")
+    chunk = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
+    dealt = family.join(apart, "first").select("first", "doc", "component", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+    dealt = dealt.select("first", "doc", "component", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).join(whole, "doc")
+    more = common.written(dealt.groupBy("first", "i", "j").applyInArrow(joined, "a long, b long"), "links")
+    member = common.components(links.union(more), "near").select(F.col("node").alias("rep"), "component")
     found = copies.join(member, "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return sets.select("doc", "n_shingles").join(found, "doc", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
