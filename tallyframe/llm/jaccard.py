@@ -66,9 +66,10 @@ class Scheme:
     """Signatures for a Jaccard bound num / den.
 
     Sizes fall into bands of ratio `ratio`, at least den / num, so that a set's partner is in its own band or the next.
-    Level b serves the pairs whose larger set is in band b. A part that is empty tells nothing, yet two sets may agree
-    on nothing else: each level has `spare` groups more than k asks for, so that many groups more agree, and only a set
-    with more groups than that in which some choice of parts is empty signs its empty choices too. No pair is missed.
+    Level b serves the pairs whose larger set is in band b. Parts in which a set has no element would make large
+    buckets that tell nothing, yet two sets may agree on nothing else. So each level has more groups than k asks for,
+    enough that two sets agree on more signatures than either has empty ones, and only a set with more empty ones than
+    `spare` signs those too. No pair is missed.
     """
 
     def __init__(self, num: int, den: int, parts: int = 2, k2: int = 1, ratio: float = 1.25):
@@ -84,18 +85,23 @@ class Scheme:
 
     @lru_cache(maxsize=None)  # noqa: B019  one scheme per process
     def level(self, b: int) -> tuple[int, int, int]:
-        """(k, groups, spare groups) of level b."""
+        """(k, groups, spare) of level b: similar sets agree on more than `spare` signatures."""
         while len(self.starts) <= b + 1:
             self.band(self.starts[-1])
         top, least = self.starts[b + 1] - 1, self.starts[b] * self.num / self.den
         k = (self.den - self.num) * 2 * top // (self.den + self.num)
-        need = -(-(k + 1) // (self.k2 + 1))
-        spare = 0
-        for _ in range(3):
-            held = least * (self.parts - self.k2) / (self.parts * (need + spare))
-            empty = (need + spare) * min(1.0, len(self.choices) * math.exp(-held))
-            spare = min(need, math.ceil(empty + 3 * math.sqrt(empty)))
-        return k, need + spare, spare
+        need, groups = -(-(k + 1) // (self.k2 + 1)), 0
+        for groups in range(need, 3 * need + 1):
+            empty = groups * len(self.choices) * math.exp(-least * (self.parts - self.k2) / (self.parts * groups))
+            if (spare := self.agreeing(groups, k) - 1) >= empty + 3 * math.sqrt(empty):
+                break
+        return k, groups, spare
+
+    def agreeing(self, groups: int, k: int) -> int:
+        """The least number of signatures, empty ones included, that two sets share that differ in at most k elements:
+        at worst k2 + 1 differences spoil each group they fall in, and the rest one more in part."""
+        full, rest = divmod(k, self.k2 + 1)
+        return len(self.choices) * (groups - full) - (len(self.choices) - math.comb(self.parts - rest, self.parts - self.k2))
 
     def levels(self, size: int) -> list[int]:
         """The levels at which a set of this size has partners of other elements."""
@@ -117,7 +123,7 @@ class Scheme:
             some = np.stack([filled[:, c].any(1) for c in self.choices], 1)
             place = np.arange(own.size, dtype=np.uint64).reshape(own.shape) + np.uint64(b << 40)
             signed = mix(own ^ mix(place))
-            out.append(signed.ravel() if (~some).any(1).sum() > spare else signed[some])
+            out.append(signed.ravel() if (~some).sum() > spare else signed[some])
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
