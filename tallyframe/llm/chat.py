@@ -67,7 +67,8 @@ def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
     for i, climb in reversed([*enumerate(climbs)]):
         higher = paths.join(climb, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << i)).alias("back"))
-        paths = paths.union(higher)
+        # written, as each level reads the paths so far twice: the plan would double with every level
+        paths = common.written(paths.union(higher), "paths")
     if top is not None:
         scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "leaf"))

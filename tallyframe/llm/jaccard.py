@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Cells of a sketch, as a power of 2.
+CELL_BITS = 8
 #: Elements of the sets of one tile of a family, about twice: bounds a task's memory at some 100 MB.
 TILE = 200_000
 #: Rows that a broadcast of ids may have.
@@ -62,6 +64,17 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall in each of CELLS cells of a hash, up to 255: two sets differ in at least as many elements
+    as their sketches differ."""
+    return np.minimum(np.bincount((mix(s) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets may be similar enough, from their sketches: false only if they can't be."""
+    return np.abs(a.astype(np.int16) - b).sum(-1) * (den + num) <= (den - num) * (size_a + size_b)
+
+
 class Scheme:
     """Signatures for a Jaccard bound num / den.
 
@@ -178,7 +191,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         for batch in batches:
             sets = [shingles(t.as_py(), n) for t in batch.column(1)]
             marks = [digest(s) if len(s) else (None, None) for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["doc", "n_shingles", "hi", "lo"])
+            yield pa.record_batch([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(map(sketch, sets), pa.binary())], names=["doc", "n_shingles", "hi", "lo", "sketch"])
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Scheme(*scheme), set()
@@ -196,7 +209,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                     yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], names=["sig", "doc"])
 
     rows = _rows(docs, id_col, text_col)
-    sets = common.written(rows.mapInArrow(sized, "doc long, n_shingles long, hi long, lo long"), "sets")
+    sets = common.written(rows.mapInArrow(sized, "doc long, n_shingles long, hi long, lo long, sketch binary"), "sets")
     classes = sets.where("hi is not null and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
     copies = common.written(sets.join(classes, ["hi", "lo"]).select("doc", "rep", "n_shingles"), "copies")
     # buckets of two documents or more; the exchange by signature is the only one of all signatures
@@ -217,9 +230,7 @@ def _shared(rows: DataFrame, col: str) -> DataFrame:
 
 
 def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    members = buckets.select("doc").distinct()
-    some = members.withColumnRenamed("doc", "m")
-    some = common.small(some, some.count(), MOST_BROADCAST)
+    """Components of all documents, from the buckets of signatures that they share."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,6 +238,20 @@ def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFr
                 part = batch.slice(at, 500)
                 yield pa.record_batch([part.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in part.column(1)], pa.binary())], names=["doc", "set"])
 
+    def whole(docs: DataFrame) -> DataFrame:
+        """(doc, set) of some documents (doc); an id that repeats has a set for each of its texts."""
+        some = docs.select(F.col("doc").alias("m"))
+        some = common.small(some, some.count(), MOST_BROADCAST)
+        return common.written(rows.join(some, F.col("doc") == F.col("m"), "left_semi").mapInArrow(as_sets, "doc long, set binary"), "whole-sets")
+
+    def cells(column) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, 1 << CELL_BITS)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = may_link(cells(batch.column("ka")), cells(batch.column("kb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), num, den) if batch.num_rows else np.empty(0, bool)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -236,12 +261,11 @@ def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFr
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    whole = common.written(rows.join(some, F.col("doc") == F.col("m"), "left_semi").mapInArrow(as_sets, "doc long, set binary"), "whole-sets")
-    whole = whole.dropDuplicates(["doc"])
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(whole.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(whole.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
-        return common.written(both.select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long"), "links")
+    def undecided(key: tuple, group: pa.Table) -> pa.Table:
+        """Members of a tile that may be similar to one in another component."""
+        ids, component, size, k = group.column("doc").to_numpy(), group.column("component").to_numpy(), group.column("size").to_numpy(), cells(group.column("sketch"))
+        some = [i for i in range(len(ids)) if (may_link(k[i], k, size[i], size, num, den) & (component != component[i])).any()]
+        return pa.table({"first": [key[0].as_py()] * len(some), "doc": ids[some], "component": component[some], "size": size[some]}, schema=pa.schema([("first", pa.int64()), ("doc", pa.int64()), ("component", pa.int64()), ("size", pa.int64())]))
 
     def joined(key: tuple, group: pa.Table) -> pa.Table:
         ids, component = group.column("doc").to_numpy(), group.column("component").to_numpy()
@@ -251,23 +275,37 @@ def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFr
         some = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"a": ids[root[some]], "b": ids[some]})
 
+    def tiles(family: DataFrame, elements: int) -> DataFrame:
+        """(first, i, j, doc, component, size): families in more than one component, dealt out in tiles of two chunks."""
+        apart = family.groupBy("first").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum("size") / elements).cast("int").alias("chunks")).where("x < y").select("first", "chunks")
+        chunk = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
+        dealt = family.join(apart, "first").select("first", "doc", "component", "size", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+        return dealt.select("first", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "doc", "component", "size")
+
     # copies whose id repeats with other texts tie those classes
     ties = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")).where("a <> b")
     repeated = ties.groupBy("b").agg(F.count_distinct("a").alias("n")).where("n > 1").select("b")
     links = ties.join(repeated, "b").select("a", "b")
+    sketches = sets.where("n_shingles > 0").select("doc", F.col("n_shingles").alias("n"), "sketch")
     # each document with the first one of one of its buckets: that ties most of a group of near copies together
-    links = links.union(linked(buckets.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")).where("a < b").select("a", "b")))
+    pairs = buckets.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")).where("a < b")
+    told = pairs.join(sketches.toDF("a", "na", "ka"), "a").join(sketches.toDF("b", "nb", "kb"), "b")
+    pairs = common.written(told.mapInArrow(possible, "a long, b long").distinct(), "pairs")
+    own = whole(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    links = common.written(links.union(both.mapInArrow(compared, "a long, b long")), "links")
     member = common.components(links, "near").select(F.col("node").alias("doc"), "component")
-    # then whatever shares a bucket and is still apart: buckets with the same first document make a family, and a
-    # family in more than one component is compared in tiles of bounded size, which tell a forest of their links
+    # then whatever shares a bucket and is still apart: buckets with the same first document make a family. Sketches
+    # show which members can't be similar to any in another component; the rest are compared in tiles of bounded size,
+    # which return a forest of their links
     family = buckets.select("first", "doc", "size").union(buckets.where("doc = first").select("first", "doc", "size")).distinct()
     family = family.join(member, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    apart = family.groupBy("first").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum("size") / TILE).cast("int").alias("chunks")).where("x < y").select("first", "chunks")
-    chunk = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
-    dealt = family.join(apart, "first").select("first", "doc", "component", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
-    dealt = dealt.select("first", "doc", "component", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")).join(whole, "doc")
-    more = common.written(dealt.groupBy("first", "i", "j").applyInArrow(joined, "a long, b long"), "links")
-    member = common.components(links.union(more), "near").select(F.col("node").alias("rep"), "component")
+    dealt = tiles(family, TILE).join(sketches.select("doc", "sketch"), "doc")
+    rest = common.written(dealt.groupBy("first", "i", "j").applyInArrow(undecided, "first long, doc long, component long, size long").distinct(), "undecided")
+    own = whole(rest.select("doc").distinct())
+    more = tiles(rest, TILE).join(own, "doc").groupBy("first", "i", "j").applyInArrow(joined, "a long, b long")
+    links = common.written(links.union(more), "links")
+    member = common.components(links, "near").select(F.col("node").alias("rep"), "component")
     found = copies.join(member, "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     return sets.select("doc", "n_shingles").join(found, "doc", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 

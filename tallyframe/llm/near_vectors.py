@@ -52,6 +52,7 @@ class Blocks:
         """(row, cell, whether it lives there) for each cell that a rotated vector lives in or visits in block b."""
         g = min(self.grid, len(self.cols[b]))
         at = u[:, self.cols[b][:g]]
+        at = at + self.width / 2  # most vectors are near 0: the middle of a cell, not its edge
         home = np.floor(at / self.width).astype(np.int64)
         reach = int(np.ceil(np.sqrt(self.share[b]) / self.width))
         rows, cells, lives = [], [], []
@@ -72,14 +73,22 @@ class Blocks:
     def linked(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, b: int, threshold: float, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Index pairs (i, j), ids[i] < others[j], whose cosine is at least threshold and whose first block within its
         share is b: every linked pair comes up in one block, where the smaller id lives."""
+        first, last = np.argsort(ids, kind="stable"), np.argsort(others, kind="stable")
+        x, ids, y, others = x[first], ids[first], y[last], others[last]
         u, v = rotated(x), rotated(y)
-        small, large = u[:, self.cols[b]].astype(np.float32), v[:, self.cols[b]].astype(np.float32)
-        norms = (large * large).sum(1)
+        # one product gives the squared distances: (p, |p|^2, 1) . (-2 q, 1, |q|^2)
+        p, q = u[:, self.cols[b]], v[:, self.cols[b]]
+        one = lambda m: np.ones((len(m), 1))
+        small = np.hstack([p, (p * p).sum(1)[:, None], one(p)]).astype(np.float32)
+        large = np.ascontiguousarray(np.hstack([-2 * q, one(q), (q * q).sum(1)[:, None]]).astype(np.float32).T)
         found = []
         for a in range(0, len(x), rows):
-            part = small[a : a + rows]
-            near = (part * part).sum(1)[:, None] + norms - 2 * (part @ large.T) <= self.share[b] + 1e-4
-            i, j = np.nonzero(near)
+            start = int(np.searchsorted(others, ids[a], "right"))
+            if start == len(y):
+                continue
+            near = np.flatnonzero((small[a : a + rows] @ large[:, start:]).ravel() <= np.float32(self.share[b] + 1e-4))
+            i, j = np.divmod(near, len(y) - start)
+            j += start
             i += a
             keep = ids[i] < others[j]
             i, j = i[keep], j[keep]
@@ -90,7 +99,7 @@ class Blocks:
             dot = np.einsum("ij,ij->i", x[i], y[j])
             norm = np.sqrt(np.einsum("ij,ij->i", x[i], x[i]) * np.einsum("ij,ij->i", y[j], y[j]))
             ok = dot / norm >= threshold
-            found.append((i[ok], j[ok]))
+            found.append((first[i[ok]], last[j[ok]]))
         return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
 
 
