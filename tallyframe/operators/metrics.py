@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import bce
+from .splits import placed
 
 
 def auc_by(scores: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -53,11 +54,12 @@ def bootstrap_agreement(scores: DataFrame, draws: int, seed: int = 2026) -> Data
     bootstrap draws with a change of the same sign; draws without change never agree.
 
     Draws come from a hash of seed, draw and place, so they are the same on any cluster. The (draw, place) pairs are
-    made by explode beside the rows; each label's positives and negatives are drawn apart.
+    made by explode beside the rows; each label's positives and negatives are drawn apart. Rows are numbered by ranges,
+    so a label with most of the rows isn't one task.
     """
-    place = F.row_number().over(Window.partitionBy("label", "y").orderBy("id"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("label", "y"))
-    rows = scores.select("label", "y", "prev", "new", place.alias("place"), size.alias("size"))
+    numbered = placed(scores.select("label", "y", "id", "prev", "new"), ["label", "y", "id"], "at")
+    strata = numbered.groupBy("label", "y").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
+    rows = numbered.join(F.broadcast(strata), ["label", "y"]).select("label", "y", "prev", "new", (F.col("at") - F.col("first") + 1).cast("int").alias("place"), "size")
     drawn = rows.select("label", "y", "size", "place", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     head = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "label", "y", "draw", "place"), 256), 1, 8)
     drawn = drawn.select("label", "y", "draw", (F.pmod(F.conv(head, 16, 10).cast("long"), F.col("size")) + 1).cast("int").alias("place"))

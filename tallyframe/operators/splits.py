@@ -21,18 +21,23 @@ def leaks(folds: DataFrame, group: str) -> DataFrame:
     return folds.groupBy(group).agg(F.count_distinct("fold").alias("folds")).where("folds > 1")
 
 
-def sorted_index(keys: DataFrame, key: str, out: str) -> DataFrame:
-    """Distinct keys with their place, from 0, in sorted order.
+def placed(rows: DataFrame, order: list, out: str) -> DataFrame:
+    """rows with their place, from 0, in an order by columns.
 
-    Keys are dealt out by ranges and numbered in each; a range's offset is the sum of the counts before it, a row for
-    each range. So no task sorts all keys. The numbered ranges are kept, as both uses must see the same ones.
+    Rows are dealt out by ranges and numbered in each; a range's offset is the sum of the counts before it, a row for
+    each range. So no task sorts all rows. The numbered ranges are kept, as both uses must see the same ones.
     """
-    placed = keys.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()).persist()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return placed.withColumn("_part", part).join(F.broadcast(counts), "_part").select(key, (F.col("_before") + place).alias(out))
+    return dealt.withColumn("_part", part).join(F.broadcast(counts), "_part").select(*rows.columns, (F.col("_before") + place).alias(out))
+
+
+def sorted_index(keys: DataFrame, key: str, out: str) -> DataFrame:
+    """Distinct keys with their place, from 0, in sorted order."""
+    return placed(keys.select(key).distinct(), [key], out)
 
 
 def round_robin(df: DataFrame, key: str, n: int, out: str) -> DataFrame:

@@ -379,8 +379,17 @@ au AS (SELECT label, draw, which, count(*) FILTER (WHERE y = 1) AS np, count(*)
 de AS (SELECT label, draw, sum(CASE WHEN which = 'new' THEN 1 ELSE -1 END * (sr - np * (np + 1) / 2.0) / (np * nn)) AS d FROM au WHERE np * nn > 0 GROUP BY ALL)
 SELECT z.label, round(p.d, 6)::DOUBLE AS point, round(avg(CASE WHEN (z.d > 0) = (p.d > 0) AND z.d <> 0 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS agreement FROM de z JOIN de p ON p.label = z.label AND p.draw = 0 WHERE z.draw > 0 GROUP BY z.label, p.d""")
 def agg26_bootstrap(spark, d):
-    c = t(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 4000).cast("int").alias("y"), F.col("c_acctbal").alias("prev"), (F.pmod(F.col("c_custkey") * 7919, F.lit(1000)) + F.col("c_acctbal") / 10).alias("new"))
-    return M.bootstrap_agreement(c, 20).where("point is not null").select("label", r6("point").alias("point"), r6("agreement").alias("agreement"))
+    return _agreement(t(spark, d, "customer").where("c_nationkey = 3"), 20)
+
+
+def _agreement(customers: DataFrame, draws: int) -> DataFrame:
+    c = customers.select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 4000).cast("int").alias("y"), F.col("c_acctbal").alias("prev"), (F.pmod(F.col("c_custkey") * 7919, F.lit(1000)) + F.col("c_acctbal") / 10).alias("new"))
+    return M.bootstrap_agreement(c, draws).where("point is not null").select("label", r6("point").alias("point"), r6("agreement").alias("agreement"))
+
+
+@query(None)
+def agg26_bootstrap_whole(spark, d):
+    return _agreement(t(spark, d, "customer"), referee.DRAWS)
 
 
 # ranks, windows, order
