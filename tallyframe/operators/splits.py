@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,35 +56,39 @@ def multiplicity(studies: DataFrame, patient: str) -> DataFrame:
 def stratified_split(rows: DataFrame, labels: list[str], capacity: int, seed: int = 2026, key: str = "id") -> DataFrame:
     """(id, slice): `capacity` rows locked, the others working, with each label's positives spread in proportion.
 
-    Rows are visited in the order of a hash of seed and id; each goes where the summed squared distance of counts from
-    their targets grows least, a tie to working. An order-dependent walk over the gold set, which is small by nature
-    (a few dozen hand-labelled rows): it is read by one task as one group.
+    Rows are counted by the pattern of their labels. Each pattern gets its share of the capacity, rounded down; each seat
+    left over goes to the pattern that brings the labels' positives nearest to their targets, of equal ones to that with
+    the largest remainder. In each pattern, the first rows by a hash of seed and id are locked. The driver holds a row
+    for each pattern, of which labels of two values have few; places come from ranges, so no task reads all rows. A null
+    label counts as not positive and makes a pattern of its own.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        take = min(capacity, n)
-        pdf = pdf.sort_values("_order").reset_index(drop=True)
-        y = pdf[labels].to_numpy(float)
-        room = {"locked": take, "working": n - take}
-        target = {s: y.sum(0) * c / n if n else y.sum(0) for s, c in room.items()}
-        held = {s: 0 for s in room}
-        have = {s: y[:0].sum(0) for s in room}
-
-        def penalty(s: str, extra, k: int) -> float:
-            want = target[s] * (k / room[s] if room[s] else 0)
-            floor = target[s].clip(min=1e-6)
-            return float((((have[s] + extra) - want) ** 2 / floor).sum())
-
-        out = []
-        for row in y:
-            into = {s: penalty(s, row, held[s] + 1) + penalty(o, 0, held[o]) for s, o in (("locked", "working"), ("working", "locked"))}
-            s = "locked" if held["working"] >= room["working"] or held["locked"] < room["locked"] and into["locked"] < into["working"] else "working"
-            held[s] += 1
-            have[s] = have[s] + row
-            out.append(s)
-        return pd.DataFrame({"id": pdf["id"], "slice": out})
-
+    pattern = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("double").cast("string"), F.lit("")) for c in labels])
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    chosen = rows.select(F.col(key).cast("string").alias("id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in labels], order.alias("_order"), F.lit(0).alias("_all"))
-    return chosen.groupBy("_all").applyInPandas(walk, "id string, slice string")
+    own = rows.select(F.col(key).cast("string").alias("id"), pattern.alias("_pattern"), order.alias("_order"))
+    numbered = placed(own, ["_pattern", "_order", "id"], "_at")
+    counts = sorted(tuple(r) for r in numbered.groupBy("_pattern").agg(F.count(F.lit(1)), F.min("_at")).collect())
+    seats = shares([[float(v or 0) for v in p.split("|")] for p, _, _ in counts], [n for _, n, _ in counts], capacity)
+    ends = rows.sparkSession.createDataFrame([(p, at + k) for (p, _, at), k in zip(counts, seats, strict=True)], "_pattern string, _end long")
+    return numbered.join(F.broadcast(ends), "_pattern").select("id", F.when(F.col("_at") < F.col("_end"), "locked").otherwise("working").alias("slice"))
+
+
+def shares(patterns: list[list[float]], counts: list[int], capacity: int) -> list[int]:
+    """How many rows of each pattern of labels are locked: in proportion to its count, `capacity` in all at most."""
+    n = sum(counts)
+    take = min(capacity, n)
+    if not take:
+        return [0] * len(counts)
+    quota = [divmod(c * take, n) for c in counts]
+    seats, rest = [q for q, _ in quota], [r for _, r in quota]
+    target = [sum(p[k] * c for p, c in zip(patterns, counts, strict=True)) * take / n for k in range(len(patterns[0]))]
+    have = [sum(p[k] * s for p, s in zip(patterns, seats, strict=True)) for k in range(len(target))]
+    for _ in range(take - sum(seats)):
+
+        def cost(i: int) -> tuple:
+            off = sum((h + x - t) ** 2 / max(t, 1e-6) for h, x, t in zip(have, patterns[i], target, strict=True))
+            return round(off, 9), -rest[i], i
+
+        best = min((i for i in range(len(counts)) if rest[i] and seats[i] == quota[i][0]), key=cost)
+        seats[best] += 1
+        have = [h + x for h, x in zip(have, patterns[best], strict=True)]
+    return seats

@@ -665,8 +665,7 @@ def ml01_masked_softmax(spark, d):
 
 @query(None)
 def itr01_stratified_split(spark, d):
-    gold = t(spark, d, "labels").join(t(spark, d, "documents").where("source = 'src3'").select("doc_id"), "doc_id", "left_semi")
-    return splits.stratified_split(gold.select(F.col("doc_id").alias("id"), "quality", "toxic"), ["quality", "toxic"], 12)
+    return splits.stratified_split(t(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic"), ["quality", "toxic"], 12)
 
 
 CANDIDATES = THRESHOLDS + """,

@@ -30,3 +30,14 @@ def test_bootstrap_of_all_customers(spark, tmp_path):
             d = change(pick[1], pick[0])
             same += abs(d) > 1e-12 and (d > 0) == (point > 0)
         assert got[label].point == pytest.approx(point, abs=1e-6) and got[label].agreement == pytest.approx(same / 3000, abs=1e-3)
+
+
+def test_split_of_all_labels(spark, sf_dir):
+    labels = {str(r.doc_id): (r.quality, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    df = Q.QUERIES["itr01_stratified_split"](spark, sf_dir)
+    got = {r.id: r.slice for r in df.collect()}
+    assert set(got) == set(labels) and sum(s == "locked" for s in got.values()) == 12
+    for k in range(2):
+        assert abs(sum(v[k] for i, v in labels.items() if got[i] == "locked") - sum(v[k] for v in labels.values()) * 12 / len(labels)) <= 1
+    plan = df._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan
