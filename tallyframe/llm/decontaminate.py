@@ -61,12 +61,13 @@ def _whole(items: DataFrame, n: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(counts, hits): counts has doc and n_words of each document; hits has (doc, item_id, pos, length), a row for each
-    occurrence of a window of an item: `span` words in a row, or all words of an item with fewer.
+    """(counts, hits): counts has doc, key and n_words of each document; hits has (doc, key, item_id, pos, length), a row
+    for each occurrence of a window of an item: `span` words in a row, or all words of an item with fewer.
 
-    items: (item_id, text). Null text has no words; items without words hit nothing. Rows that repeat a doc_id, or have
-    none, are one document, with the most words of them and the hits of all; items that repeat an item_id likewise.
-    Extra columns are not carried.
+    items: (item_id, text). Null text has no words; items without words hit nothing. Rows that repeat a doc_id are one
+    document, with the most words of them and the hits of all; items that repeat an item_id likewise. Rows without a
+    doc_id are one document for each text, told apart by `key` (see row_key), which is null for all others. Extra columns
+    are not carried.
     """
     spark = docs.sparkSession
     items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
@@ -85,18 +86,18 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K
     n_marks = marks.count()
 
     text = F.col(text_col).cast("string")
-    own = docs.select(F.col(id_col).alias("doc"), text.alias("text"))
+    own = docs.select(F.col(id_col).alias("doc"), row_key(F.col(id_col), text).alias("key"), text.alias("text"))
     # which documents share a fingerprint with an item, and how many words each has
     chosen = lambda w: F.flatten(F.array(fingerprints(w, span, k), *[F.array_distinct(gram_hashes(w, n)) for n in short]))
-    seen = own.select("doc", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), chosen(w).alias("marks"))).alias("s"))
-    seen = seen.select("doc", F.col("s.n_words").cast("long").alias("n_words"), F.explode_outer("s.marks").alias("mark"))
+    seen = own.select("doc", "key", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), chosen(w).alias("marks"))).alias("s"))
+    seen = seen.select("doc", "key", F.col("s.n_words").cast("long").alias("n_words"), F.explode_outer("s.marks").alias("mark"))
     known = common.small(marks.select("mark", F.lit(1).alias("known")).distinct(), n_marks, MOST_BROADCAST)
-    counts = common.written(seen.join(known, "mark", "left").groupBy("doc").agg(F.max("n_words").alias("n_words"), F.max("known").alias("known")), "seen")
+    counts = common.written(seen.join(known, "mark", "left").groupBy("doc", "key").agg(F.max("n_words").alias("n_words"), F.max("known").alias("known")), "seen")
 
-    maybe = counts.where("known = 1").select(F.col("doc").alias("d"))
+    maybe = counts.where("known = 1").select(F.col("doc").alias("d"), F.col("key").alias("k"))
     maybe = common.small(maybe, maybe.count(), MOST_BROADCAST)
-    near = common.written(own.join(maybe, F.col("doc").eqNullSafe(F.col("d")), "left_semi").select("doc", words_of(F.col("text")).alias("words")), "maybe")
-    row = near.select(F.xxhash64("doc", "words").alias("row"), "doc", "words").dropDuplicates(["row"])
+    near = common.written(own.join(maybe, F.col("doc").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k")), "left_semi").select("doc", "key", words_of(F.col("text")).alias("words")), "maybe")
+    row = near.select(F.xxhash64("doc", "key", "words").alias("row"), "doc", "key", "words").dropDuplicates(["row"])
     keyed = row.select(F.col("row").alias("doc"), "words")
     anchors = reduce(DataFrame.unionByName, [_anchors(keyed, marks.where(F.col("k") == n).select("mark", "item", "q"), n_marks, n) for n in sorted({k, *short})])
     # along each alignment, the windows of the item that the document holds in full
@@ -105,34 +106,52 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K
     at = lambda j: F.get(F.col("words"), F.col("shift") + j)
     equal = F.transform(F.col("own"), lambda v, j: (F.col("shift") + j >= 0) & at(j).eqNullSafe(v))
     starts = let(equal, lambda e: F.filter(F.sequence(F.lit(0), F.size("own") - length), lambda j: ~F.array_contains(F.slice(e, j + 1, length), False)))
-    hits = both.select("doc", "item_id", "shift", length.alias("length"), F.explode(starts).alias("j"))
-    hits = hits.select("doc", "item_id", (F.col("shift") + F.col("j")).alias("pos"), F.col("length")).distinct()
-    return counts.select("doc", "n_words"), common.written(hits, "hits")
+    hits = both.select("doc", "key", "item_id", "shift", length.alias("length"), F.explode(starts).alias("j"))
+    hits = hits.select("doc", "key", "item_id", (F.col("shift") + F.col("j")).alias("pos"), F.col("length")).distinct()
+    return counts.select("doc", "key", "n_words"), common.written(hits, "hits")
+
+
+def row_key(doc: Column, text: Column) -> Column:
+    """The digest of the text of a row without an id; null for rows that have one."""
+    return F.when(doc.isNull(), F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    """Whether rows of two tables have the same doc and key, nulls included."""
+    return a["doc"].eqNullSafe(b["doc"]) & a["key"].eqNullSafe(b["key"])
 
 
 def hit_words(hits: DataFrame) -> DataFrame:
-    """(doc, n_hit): words of each document inside any hit, each counted once."""
-    spans = hits.groupBy("doc", "pos").agg(F.max("length").alias("length"))
-    before = F.max(F.col("pos") + F.col("length")).over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.select("doc", "pos", (F.col("pos") + F.col("length")).alias("end"), before.alias("before"))
+    """(doc, key, n_hit): words of each document inside any hit, each counted once."""
+    spans = hits.groupBy("doc", "key", "pos").agg(F.max("length").alias("length"))
+    before = F.max(F.col("pos") + F.col("length")).over(Window.partitionBy("doc", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("doc", "key", "pos", (F.col("pos") + F.col("length")).alias("end"), before.alias("before"))
     new = F.col("end") - F.least(F.col("end"), F.greatest(F.col("pos"), F.coalesce("before", F.lit(0))))
-    return spans.groupBy("doc").agg(F.sum(new).cast("long").alias("n_hit"))
+    return spans.groupBy("doc", "key").agg(F.sum(new).cast("long").alias("n_hit"))
 
 
-def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, hits = contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
-    ids = hits.groupBy("doc").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = hit_words(hits).join(ids, "doc").select(F.col("doc").alias("doc_id"), "n_hit", "items")
-    out = counts.withColumnRenamed("doc", "doc_id").join(found, "doc_id", "left")
+def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document, as `contaminated` tells them apart."""
+    counts, hits = contaminated(docs, items)
+    ids = hits.groupBy("doc", "key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    words = hit_words(hits)
+    found = words.join(ids, same_document(words, ids)).select(words["doc"], words["key"], "n_hit", "items")
+    out = counts.join(found, same_document(counts, found), "left").select(counts["doc"].alias("doc_id"), "n_words", "n_hit", "items")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no window of an item."""
+    """The documents that hold no window of an item; a row without an id is judged by its own text."""
     _, hits = contaminated(docs, items)
-    return docs.join(hits.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = hits.select("doc", F.col("key").alias("_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["doc"]) & row_key(docs["doc_id"], docs["text"]).eqNullSafe(gone["_key"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}

@@ -460,6 +460,17 @@ def test_repeated_windows(spark):
     assert {r.doc: r.n_hit for r in decontaminate.hit_words(hits).collect()} == {1: 36, 3: 10}
 
 
+def test_contaminated_rows_without_id(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, f"a {passage}"), (None, f"A {passage} b"), (None, "clean text"), (None, None), (1, passage), (2, "clean text"), (1, "clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.judged(docs, items).collect()))
+    assert got == [(0, 0, 0, False), (0, 2, 0, False), (0, 13, 12, True), (0, 14, 12, True), (1, 12, 12, True), (2, 2, 0, False)]
+    kept = decontaminate.drop_contaminated(docs, items).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "clean text"), (2, "clean text")]
+
+
 # pipeline
 
 
