@@ -184,6 +184,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     Empty and null texts have no shingles and link with nothing. Rows that repeat an id are one document with several
     texts: each keeps its row, all are in one component. A null id has a null component. Extra columns are not carried.
+
+    Sets are signed and compared by class, the digest (hi, lo) of their elements; ids come in when classes are tied.
     """
     scheme = (num, den, parts, k2, ratio)
 
@@ -197,52 +199,66 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         own, seen = Scheme(*scheme), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                docs, found = [], []
+                marks, found = [], []
                 for doc, text in zip(batch.column(0)[at : at + 500].to_pylist(), batch.column(1)[at : at + 500], strict=True):
                     s = shingles(text.as_py(), n)
                     # copies within a task sign once, so a group of copies adds a row for each task at most
                     if doc is not None and len(s) and (mark := digest(s)) not in seen:
                         seen.add(mark)
                         found.append(own.signatures(s))
-                        docs.append(np.full(len(found[-1]), doc, np.int64))
+                        marks.append(np.tile(np.array(mark, np.int64), (len(found[-1]), 1)))
                 if found:
-                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], names=["sig", "doc"])
+                    both = np.concatenate(marks)
+                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["sig", "hi", "lo"])
 
     rows = _rows(docs, id_col, text_col)
     sets = common.written(rows.mapInArrow(sized, "doc long, n_shingles long, hi long, lo long, sketch binary"), "sets")
-    classes = sets.where("hi is not null and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
-    copies = common.written(sets.join(classes, ["hi", "lo"]).select("doc", "rep", "n_shingles"), "copies")
-    # buckets of two documents or more; the exchange by signature is the only one of all signatures
-    signs = rows.mapInArrow(signed, "sig long, doc long")
-    buckets = common.written(_shared(signs, "doc"), "buckets")
-    # of copies, only the class's first document stays
-    first = copies.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("size"))
-    buckets = common.written(_shared(buckets.join(first, "doc").select("sig", F.col("rep").alias("doc"), "size").distinct(), "doc"), "buckets")
-    return _finish(rows, sets, copies, buckets, n, num, den)
+    # classes: equal sets, by a number, with the smallest id of their documents
+    classes = sets.where("hi is not null and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    classes = common.written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    marks = classes.select("hi", "lo", "class", "size")
+    copies = common.written(sets.select("doc", "hi", "lo").join(marks.drop("size"), ["hi", "lo"]).select("doc", "class"), "copies")
+    # buckets of two classes or more; the exchange by signature is the only one of all signatures
+    signs = rows.mapInArrow(signed, "sig long, hi long, lo long").select("sig", F.struct("hi", "lo").alias("mark"))
+    buckets = common.written(_shared(signs, "mark").select("sig", "mark.hi", "mark.lo"), "buckets")
+    # of copies signed in several tasks, one row stays
+    buckets = common.written(_shared(buckets.join(marks, ["hi", "lo"]).select("sig", F.col("class").alias("doc"), "size").distinct(), "doc"), "buckets")
+    return _finish(rows, sets, classes, copies, buckets, n, num, den)
 
 
 def _shared(rows: DataFrame, col: str) -> DataFrame:
-    """The rows whose signature more than one document has, with the smallest of those documents as `first`."""
+    """The rows whose signature more than one class has, with the smallest of those classes as `first`."""
     from pyspark.sql import Window
 
     each = Window.partitionBy("sig")
     return rows.withColumns({"first": F.min(col).over(each), "last": F.max(col).over(each)}).where("first < last").drop("last")
 
 
-def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Components of all documents, from the buckets of signatures that they share."""
+def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFrame, buckets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Components of all documents, from the buckets of signatures that their classes share; but for the last step, `doc`
+    is a class."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.record_batch([part.column(0), pa.array([shingles(t.as_py(), n).tobytes() for t in part.column(1)], pa.binary())], names=["doc", "set"])
+                marks, found = [], []
+                for text in batch.column(1)[at : at + 500]:
+                    s = shingles(text.as_py(), n)
+                    if len(s) and (mark := digest(s)) not in seen:
+                        seen.add(mark)
+                        marks.append(mark)
+                        found.append(s.tobytes())
+                if found:
+                    yield pa.record_batch([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(found, pa.binary())], names=["hi", "lo", "set"])
 
     def whole(docs: DataFrame) -> DataFrame:
-        """(doc, set) of some documents (doc); an id that repeats has a set for each of its texts."""
-        some = docs.select(F.col("doc").alias("m"))
-        some = common.small(some, some.count(), MOST_BROADCAST)
-        return common.written(rows.join(some, F.col("doc") == F.col("m"), "left_semi").mapInArrow(as_sets, "doc long, set binary"), "whole-sets")
+        """(doc, set) of some classes (doc), from the texts of their smallest ids; equal rows may give a set twice."""
+        some = common.written(docs.join(classes.select(F.col("class").alias("doc"), "hi", "lo", "rep"), "doc"), "some")
+        count = some.count()
+        ids = common.small(some.select(F.col("rep").alias("m")).distinct(), count, MOST_BROADCAST)
+        found = rows.join(ids, F.col("doc") == F.col("m"), "left_semi").mapInArrow(as_sets, "hi long, lo long, set binary")
+        return common.written(found.join(common.small(some.drop("rep"), count, MOST_BROADCAST), ["hi", "lo"]).select("doc", "set"), "whole-sets")
 
     def cells(column) -> np.ndarray:
         return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, 1 << CELL_BITS)
@@ -282,12 +298,11 @@ def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFr
         dealt = family.join(apart, "first").select("first", "doc", "component", "size", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
         return dealt.select("first", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "doc", "component", "size")
 
-    # copies whose id repeats with other texts tie those classes
-    ties = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b")).where("a <> b")
-    repeated = ties.groupBy("b").agg(F.count_distinct("a").alias("n")).where("n > 1").select("b")
-    links = ties.join(repeated, "b").select("a", "b")
-    sketches = sets.where("n_shingles > 0").select("doc", F.col("n_shingles").alias("n"), "sketch")
-    # each document with the first one of one of its buckets: that ties most of a group of near copies together
+    # an id that repeats with other texts ties their classes
+    repeated = copies.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("doc", "a")
+    links = copies.join(repeated, "doc").select("a", F.col("class").alias("b")).where("a <> b").distinct()
+    sketches = classes.select(F.col("class").alias("doc"), F.col("size").alias("n"), "sketch")
+    # each class with the first one of one of its buckets: that ties most of a group of near copies together
     pairs = buckets.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")).where("a < b")
     told = pairs.join(sketches.toDF("a", "na", "ka"), "a").join(sketches.toDF("b", "nb", "kb"), "b")
     pairs = common.written(told.mapInArrow(possible, "a long, b long").distinct(), "pairs")
@@ -295,7 +310,7 @@ def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFr
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     links = common.written(links.union(both.mapInArrow(compared, "a long, b long")), "links")
     member = common.components(links, "near").select(F.col("node").alias("doc"), "component")
-    # then whatever shares a bucket and is still apart: buckets with the same first document make a family. Sketches
+    # then whatever shares a bucket and is still apart: buckets with the same first class make a family. Sketches
     # show which members can't be similar to any in another component; the rest are compared in tiles of bounded size,
     # which return a forest of their links
     family = buckets.select("first", "doc", "size").union(buckets.where("doc = first").select("first", "doc", "size")).distinct()
@@ -305,8 +320,12 @@ def _finish(rows: DataFrame, sets: DataFrame, copies: DataFrame, buckets: DataFr
     own = whole(rest.select("doc").distinct())
     more = tiles(rest, TILE).join(own, "doc").groupBy("first", "i", "j").applyInArrow(joined, "a long, b long")
     links = common.written(links.union(more), "links")
-    member = common.components(links, "near").select(F.col("node").alias("rep"), "component")
-    found = copies.join(member, "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    member = common.components(links, "near").select(F.col("node").alias("class"), "component")
+    # a component of classes has the smallest id of any of its documents
+    told = classes.join(member, "class", "left").select("class", "rep", F.coalesce("component", "class").alias("group"))
+    least = told.groupBy("group").agg(F.min("rep").alias("component"))
+    told = common.written(told.join(least, "group").select("class", "component"), "told")
+    found = copies.join(told, "class").groupBy("doc").agg(F.min("component").alias("component"))
     return sets.select("doc", "n_shingles").join(found, "doc", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
@@ -316,10 +335,19 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents without words all stay."""
-    found = jaccard_components(docs, n, num, den, ratio=1.4)
-    gone = found.where("n_shingles > 0 and doc <> component").select(F.col("doc").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component: the one with the smallest id. Documents without words or without an id all stay.
+
+    Of rows with the same id and the same text, one stays; different texts of the id that stays all do.
+    """
+    found = common.written(jaccard_components(docs, n, num, den, ratio=1.4).where("n_shingles > 0 and doc is not null"), "found")
+    gone = found.where("doc <> component").select(F.col("doc").alias("doc_id"))
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc = component").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("doc_id"))
+    again = common.small(again, again.count(), MOST_BROADCAST)
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    several = left.join(again, "doc_id", "left_semi")
+    once = several.where(words).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(several.where(~words)).unionByName(once).select(docs.columns)
 
 
 QUERIES = {"op3_jaccard": op3_jaccard}

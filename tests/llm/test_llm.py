@@ -405,6 +405,16 @@ def test_jaccard_odd_input(spark, odd, empty):
     assert {r.doc_id for r in kept.collect()} == {0, 2, 3, 4, 5, 7, 9, None} and kept.columns == odd.columns
 
 
+def test_jaccard_id_with_two_texts(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(60)) for k in "xy")
+    rows = [(3, one), (5, one), (5, two), (9, two + " tail"), (20, two + " end"), (20, two + " end"), (30, "alone " + "z " * 3), (30, "alone " + "z " * 3), (30, ""), (30, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc: r.component for r in jaccard.jaccard_components(df).collect()} == {3: 3, 5: 3, 9: 3, 20: 3, 30: 30}
+    assert sorted((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()) == [(3, one), (30, ""), (30, ""), (30, rows[6][1])]
+    two_ids = df.where("doc_id in (5, 9)").unionByName(df.where("doc_id = 5"))
+    assert sorted((r.doc_id, r.text) for r in jaccard.keep_one(two_ids).collect()) == [(5, one), (5, two)]
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((20, 24))
