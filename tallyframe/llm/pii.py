@@ -51,6 +51,28 @@ def iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def account(text: str, start: int, end: int, is_iban: bool) -> tuple[str, int, int] | None:
+    """(kind, start, end) of the account number that starts a run of parts of capitals and digits, if there is one.
+
+    It ends with a part. An international number is the longest code of at most 34 characters that passes its check, at a
+    word boundary if one does; any other ends before the first part without digits that follows six digits, so only a
+    part with digits that goes on in lower case, which would stay in the text, is cut inside a word. Without an IBAN
+    cue, a shorter international number doesn't replace a longer other one.
+    """
+    parts = [(p.end() + start, re.sub(r"[ -]", "", text[start : p.end() + start])) for p in re.finditer(r"[A-Z0-9]+", text[start:end])]
+    other, before = None, ""
+    for stop, code in parts:
+        if other and not any(c.isdigit() for c in code[len(before) :]):
+            break
+        if 6 <= len(code) <= 34 and sum(c.isdigit() for c in code) >= 6:
+            other = ("account", start, stop)
+        before = code
+    least = other[2] if other and not is_iban else 0
+    ends = [(stop, code) for stop, code in parts if stop >= least and len(code) <= 34 and iban(code)]
+    ends = [e for e in ends if not text[e[0] : e[0] + 1].isalnum()] or ends
+    return ("iban", start, ends[-1][0]) if ends else other
+
+
 @lru_cache(maxsize=1)
 def _anchors():
     import ahocorasick
@@ -86,11 +108,8 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
             if scheme and (m := _LOGIN.match(text, end + 1)):
                 found.append(("url_login", scheme.start(), m.end()))
         elif (m := _AFTER_CUE.match(text, end + 1)) and not text[max(0, at - 1) : at].isalnum():
-            code = re.sub(r"[ -]", "", m[1])
-            if iban(code):
-                found.append(("iban", m.start(1), m.end(1)))
-            elif 6 <= len(code) <= 34 and sum(c.isdigit() for c in code) >= 6:
-                found.append(("account", m.start(1), m.end(1)))
+            if code := account(text, m.start(1), m.end(1), word.lower() == "iban"):
+                found.append(code)
     for m in _IP.finditer(text):
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             found.append(("ip", m.start(), m.end()))

@@ -202,6 +202,28 @@ def test_base_spans_on_any_text(text):
     assert [s for s in pii.spans_of(text) if s[0] in pii.BASE] == base_spans(text)
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "IBAN [IBAN] BIC COBADEFFXXX"),
+        ("IBAN DE89 3704 0044 0532 0130 00 Please", "IBAN [IBAN] Please"),
+        ("IBAN: DE89370400440532013000 PAY NOW", "IBAN: [IBAN] PAY NOW"),
+        ("iban GB29 NWBK 6016 1331 9268 19 BIC NWBKGB2L", "iban [IBAN] BIC NWBKGB2L"),
+        ("konto DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "konto [IBAN] BIC COBADEFFXXX"),
+        ("IBAN DE00 3704 0044 0532 0130 00 Please", "IBAN [ACCOUNT] Please"),
+        ("account 12345678 BIC COBADEFFXXX", "account [ACCOUNT] BIC COBADEFFXXX"),
+        ("account no: 12345678 Please", "account no: [ACCOUNT] Please"),
+        ("passport AB 123456 Xyz", "passport [ACCOUNT] Xyz"),
+        ("account 12345678abc", "account [ACCOUNT]abc"),
+        ("account 123456 7890abc", "account [ACCOUNT]abc"),
+        ("IBAN DE89 3704 0044 0532 0130 00please", "IBAN [IBAN]please"),
+        ("account 12345 OK", "account 12345 OK"),
+    ],
+)
+def test_account_ends(text, want):
+    assert pii.redact(text, pii.spans_of(text)) == want
+
+
 def test_pii(spark, sf_dir, odd, empty):
     docs = texts_of(spark, sf_dir)
     rows = {r.doc_id: r for r in pii.op7_pii(spark, sf_dir).collect()}
