@@ -467,6 +467,11 @@ def srt01_multi_key(spark, d):
     return t(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def srt01_whole(spark, d):
+    return splits.placed(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], "place").select("o_orderkey", "place")
+
+
 @query("SELECT vec_id, list_transform(list_sort(list_transform(range(1, 65), lambda i: {'p': embedding[i], 'i': i})), lambda s: s.i - 1)[1]::INT AS first FROM embeddings")
 def srt03_argsort(spark, d):
     return t(spark, d, "embeddings").select("vec_id", G.order_by_position(F.col("embedding"))[0].alias("first"))
@@ -477,6 +482,12 @@ def srt04_confidence_order(spark, d):
     return B.scores(spark, d).orderBy(F.desc(F.round(F.abs(F.col("p") - 0.5), 6)), "id", "label").limit(200).select("id", "label")
 
 
+@query("WITH " + B.SCORES + " SELECT id, label, row_number() OVER (ORDER BY round(abs(p - 0.5), 6) DESC, id, label) - 1 AS place FROM s")
+def srt04_whole(spark, d):
+    s = B.scores(spark, d).select("id", "label", F.round(F.abs(F.col("p") - 0.5), 6).alias("sure"))
+    return splits.placed(s, [F.desc("sure"), "id", "label"], "place").select("id", "label", "place")
+
+
 @query("SELECT user_id AS id, round(list_sum(list_reverse_sort(list(value))[1:2]), 6) AS top2 FROM events GROUP BY 1")
 def srt07_top2(spark, d):
     k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value")))
@@ -488,6 +499,12 @@ def srt08_seeded_shuffle(spark, d):
     return t(spark, d, "customer").orderBy(F.sha2(F.concat(F.lit("2026|"), F.col("c_custkey").cast("string")), 256)).limit(100).select("c_custkey")
 
 
+@query("SELECT c_custkey, row_number() OVER (ORDER BY sha256('2026|' || c_custkey), c_custkey) - 1 AS place FROM customer")
+def srt08_whole(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", F.sha2(F.concat(F.lit("2026|"), F.col("c_custkey").cast("string")), 256).alias("at"))
+    return splits.placed(c, ["at", "c_custkey"], "place").select("c_custkey", "place")
+
+
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def set01_intersect(spark, d):
     return t(spark, d, "documents").select("doc_id").intersect(t(spark, d, "labels").select("doc_id"))

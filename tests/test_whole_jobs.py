@@ -41,3 +41,12 @@ def test_split_of_all_labels(spark, sf_dir):
         assert abs(sum(v[k] for i, v in labels.items() if got[i] == "locked") - sum(v[k] for v in labels.values()) * 12 / len(labels)) <= 1
     plan = df._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan
+
+
+def test_whole_orders_have_every_row(spark, sf_dir):
+    orders = [(r.o_totalprice, r.o_orderkey) for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect()]
+    got = {r.place: r.o_orderkey for r in Q.QUERIES["srt01_whole"](spark, sf_dir).collect()}
+    assert [got[i] for i in range(len(orders))] == [k for _, k in sorted(orders, key=lambda o: (-o[0], o[1]))]
+    keys = [r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()]
+    got = {r.place: r.c_custkey for r in Q.QUERIES["srt08_whole"](spark, sf_dir).collect()}
+    assert [got[i] for i in range(len(keys))] == sorted(keys, key=lambda k: hashlib.sha256(f"2026|{k}".encode()).hexdigest())
