@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import byte_batches, load_codec
+from .token_files import with_end
+from .tokens import load_codec, text_batches
+
+
+#: Pieces of a batch of results: at most 16 MB of ids.
+PIECES = 4096
 
 
 class OpenBins:
@@ -48,43 +53,54 @@ class OpenBins:
         return at, self.size - free
 
 
-def pieces_of(n: int, size: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole pieces from the end, so only the first may be shorter."""
-    first = n % size or min(n, size)
-    return [(0, first), *((at, size) for at in range(first, n, size))] if n else []
+def pieces_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents with these numbers of ids (at least 1): whole pieces
+    from the end, so only a document's first may be shorter."""
+    n = -(-counts // size)
+    doc = np.repeat(np.arange(len(counts)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    first = (counts - (n - 1) * size)[doc]
+    return doc, piece, np.where(piece > 0, first + (piece - 1) * size, 0), np.where(piece > 0, size, first)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, most_open: int = 512, look_ahead: int = 4096, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, most_open: int = 512, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 23) -> DataFrame:
     """Pieces of documents in sequences of at most `size` tokens: doc_id, piece, start, length, ids, sequence_id, offset.
 
     A document's ids are its text's ids and end_id; ids holds a piece's ids as little-endian unsigned 32-bit integers.
-    Each Spark partition fills sequences of its own with `most_open` open bins, taking pieces `look_ahead` at a time,
-    the longest of them first, so a partition leaves at most `most_open` bins unfilled whatever its size; memory is
-    bounded by one batch. Null text: empty, so a single end_id. Null and repeated ids: each row is a document. Extra
-    columns are not carried.
+    Each Spark partition fills sequences of its own with `most_open` open bins, taking pieces as they come, so a
+    partition leaves at most `most_open` bins unfilled whatever its size, and one batch of texts bounds its memory. Of
+    bins with equally little free space (ties), the one that got so last takes the piece. Null and empty texts: a single
+    end_id. Very long texts are cut into pieces of `size` ids. Null and repeated ids: each row is a document. Extra
+    columns, whatever their names, are not carried. An empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, bins = load_codec(tokenizer), OpenBins(size, most_open)
         base = TaskContext.get().partitionId() << 40
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in byte_batches(texts, batch_chars):
-                ids, counts = codec.encode(texts[a:b])
-                rows, at = [], 0
-                for name, n in zip(names[a:b], counts.tolist(), strict=True):
-                    own = np.concatenate([ids[at : at + n].astype("<u4"), end]).tobytes()
-                    at += n
-                    rows += [(name, k, start, length, own[4 * start : 4 * (start + length)]) for k, (start, length) in enumerate(pieces_of(n + 1, size))]
-                for k in range(0, len(rows), look_ahead):
-                    part = sorted(rows[k : k + look_ahead], key=lambda r: -r[3])
-                    places = [bins.put(r[3]) for r in part]
-                    cols = [*zip(*part, strict=True), [base + p[0] for p in places], [p[1] for p in places]]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=out_names)
+            for a, b, texts in text_batches(batch.column(1), batch_bytes):
+                ids, counts = with_end(*codec.encode(texts), end_id)
+                doc, piece, start, length = pieces_of(counts, size)
+                # a document's pieces follow each other in ids, so every piece is a slice of them
+                ends, own = np.cumsum(length), np.ascontiguousarray(ids, "<u4")
+                for k in range(0, len(doc), PIECES):
+                    some = slice(k, k + PIECES)
+                    low = int(ends[k] - length[k])
+                    values = own[low : int(ends[some][-1])]
+                    offsets = np.concatenate([[0], 4 * (ends[some] - low)]).astype(np.int32)
+                    places = np.array([bins.put(n) for n in length[some].tolist()], np.int64)
+                    cols = [
+                        batch.column(0).slice(a, b - a).take(pa.array(doc[some])),
+                        pa.array(piece[some], pa.int32()),
+                        pa.array(start[some], pa.int64()),
+                        pa.array(length[some], pa.int64()),
+                        pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(values)]),
+                        pa.array(base + places[:, 0]),
+                        pa.array(places[:, 1]),
+                    ]
+                    yield pa.record_batch(cols, names=out_names)
 
     out_names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
 

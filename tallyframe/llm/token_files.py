@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import byte_batches, load_codec
+from .tokens import load_codec, text_batches
 
 #: (count, bits) of selectors 0 to 15; (1, 64) is the escape.
 SELECTORS = ((240, 0), (1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -39,10 +39,9 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lanes = -(-len(ids) // LANE)
     if not lanes:
         return np.empty(0, np.uint64), np.zeros(1, np.uint32)
-    grid = np.zeros((lanes, LANE + 240), np.uint64)
-    full = np.zeros(lanes * LANE, np.uint64)
-    full[: len(ids)] = ids
-    grid[:, :LANE] = full.reshape(lanes, LANE)
+    grid = np.zeros((lanes, LANE + 240), np.uint64)  # a lane's last words read zeros behind it
+    grid[: lanes - 1, :LANE] = ids[: LANE * (lanes - 1)].reshape(-1, LANE)
+    grid[-1, : len(ids) - LANE * (lanes - 1)] = ids[LANE * (lanes - 1) :]
     sizes = np.full(lanes, LANE)
     sizes[-1] = len(ids) - LANE * (lanes - 1)
     best = _best_selectors(grid)
@@ -123,16 +122,17 @@ def decode_ids(words: np.ndarray, starts: np.ndarray, n_ids: int, escapes: bool
     return out[:, :LANE].reshape(-1)[:n_ids]
 
 
-def encode_block(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    words, starts = encode_ids(ids.astype(np.uint64))
-    escapes = int(len(ids) > 0 and bool((ids.astype(np.uint64) >> np.uint64(60)).any()))
-    has = np.array([d is not None for d in doc_ids], np.uint8)
-    names = np.array([d or 0 for d in doc_ids], "<i8")
-    parts = (_HEAD.pack(b"S8B1", len(doc_ids), len(ids), len(words), escapes), names.tobytes(), has.tobytes(), counts.astype("<u4").tobytes(), starts.astype("<u4").tobytes(), words.astype("<u8").tobytes())
+def encode_block(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    ids = ids.astype(np.uint64)
+    words, starts = encode_ids(ids)
+    escapes = int(len(ids) > 0 and int(ids.max()) >> 60 > 0)
+    has = doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+    names = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    parts = (_HEAD.pack(b"S8B1", len(doc_ids), len(ids), len(words), escapes), names.astype("<i8").tobytes(), has.tobytes(), counts.astype("<u4").tobytes(), starts.astype("<u4").tobytes(), words.astype("<u8").tobytes())
     return b"".join(parts)
 
 
-def decode_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+def decode_block(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(doc ids, number of ids of each, all ids) of a block."""
     magic, n_docs, n_ids, n_words, escapes = _HEAD.unpack_from(data)
     if magic != b"S8B1":
@@ -147,45 +147,52 @@ def decode_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
 
     names, has, counts = take("<i8", n_docs), take("u1", n_docs), take("<u4", n_docs)
     starts, words = take("<u4", -(-n_ids // LANE) + 1), take("<u8", n_words)
-    return [int(d) if h else None for d, h in zip(names, has, strict=True)], counts, decode_ids(words, starts, n_ids, bool(escapes))
+    return pa.array(names, pa.int64(), mask=has == 0), counts, decode_ids(words, starts, n_ids, bool(escapes))
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> None:
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents and their counts, with end_id behind each document's."""
+    ends = np.cumsum(counts + 1)
+    out = np.full(len(ids) + len(counts), end_id, ids.dtype)
+    own = np.ones(len(out), bool)
+    own[ends - 1] = False
+    out[own] = ids
+    return out, counts + 1
+
+
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 23) -> None:
     """Write the ids of each text, and end_id behind them, in ascending order of id_col.
 
-    Rows are dealt out by ranges of the id, so no task holds more than its range. Null text: empty, so end_id alone.
-    Null ids come first; rows of one id follow each other in the order of their texts. A block closes once it has
-    block_ids ids; a document is never in two blocks. Extra columns are not written.
+    Rows are dealt out by ranges of the id, so no task holds more than its range; within it, texts are encoded by bytes
+    and blocks closed at block_ids ids, so very long texts cost the memory of one text. Null text: empty, so end_id
+    alone. Null ids come first; rows of one id, ties and repeats alike, follow each other in the order of their texts. A
+    document is never in two blocks. Extra columns, whatever their names, are not written. An empty table gives files
+    without blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part = load_codec(tokenizer), TaskContext.get().partitionId()
-        names, counts, ids = [], [], []
-        have = block = before = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal have, block, before
-            data = encode_block(names, np.array(counts), np.concatenate(ids))
-            row = [[part], [block], [before], [have], [data]]
-            before, block, have = before + have, block + 1, 0
-            names.clear(), counts.clear(), ids.clear()
+        codec, part, block, before = load_codec(tokenizer), TaskContext.get().partitionId(), 0, 0
+        waiting = (pa.array([], pa.int64()), np.empty(0, np.int64), np.empty(0, np.int32))
+
+        def close(names: pa.Array, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            nonlocal block, before
+            row = [[part], [block], [before], [len(ids)], [encode_block(names, counts, ids)]]
+            block, before = block + 1, before + len(ids)
             return pa.record_batch([pa.array(c, t) for c, t in zip(row, kinds, strict=True)], names=["part", "block", "ids_before", "n_ids", "data"])
 
-        end = np.array([end_id], np.int64)
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in byte_batches(texts, batch_chars):
-                flat, sizes = codec.encode(texts[a:b])
-                at = 0
-                for name, n in zip(own[a:b], sizes.tolist(), strict=True):
-                    names.append(name)
-                    counts.append(n + 1)
-                    ids += [flat[at : at + n], end]
-                    at, have = at + n, have + n + 1
-                    if have >= block_ids:
-                        yield close()
-        if names:
-            yield close()
+            for a, b, texts in text_batches(batch.column(1), batch_bytes):
+                ids, counts = with_end(*codec.encode(texts), end_id)
+                names = pa.concat_arrays([waiting[0], batch.column(0).slice(a, b - a)])
+                counts, ids = np.concatenate([waiting[1], counts]), np.concatenate([waiting[2], ids])
+                ends, at, start = np.cumsum(counts), 0, 0
+                while ends[-1] - start >= block_ids:
+                    last = int(np.searchsorted(ends, start + block_ids))
+                    yield close(names.slice(at, last + 1 - at), counts[at : last + 1], ids[start : ends[last]])
+                    at, start = last + 1, int(ends[last])
+                waiting = (names.slice(at), counts[at:], ids[start:])
+        if len(waiting[0]):
+            yield close(*waiting)
 
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -195,7 +202,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document in the files of write_ids: start is the number of ids before it,
-    ids are little-endian unsigned 32-bit integers."""
+    ids are little-endian unsigned 32-bit integers. Files without blocks give an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +210,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 names, counts, ids = decode_block(data.as_py())
                 ends = np.cumsum(counts, dtype=np.int64)
                 raw = ids.astype("<u4")
-                columns = [pa.array(names, pa.int64()), pa.array(before + ends - counts, pa.int64()), pa.array(counts, pa.int64())]
+                columns = [names, pa.array(before + ends - counts, pa.int64()), pa.array(counts, pa.int64())]
                 offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
                 yield pa.record_batch([*columns, values], names=["doc_id", "start", "n_tokens", "ids"])

@@ -1,10 +1,8 @@
 """Tokenising text in Arrow batches, each distinct word encoded by the library once.
 
-A text is cut at single spaces that stand between two characters that are not white space. For the tokenizers
-admitted by :func:`load_codec` no token and no merge crosses such a cut, so the ids of the parts, put together, are the
-ids of the whole text. Words repeat, so most parts are found in a bounded per-process table and only the rest go to
-the tokenizer library. A text that has no such cut, or a tokenizer for which the cut isn't proven safe, goes to the
-library whole.
+A text is cut at spaces that no token and no merge of the tokenizer crosses (see the codecs), so the ids of the parts,
+put together, are the ids of the whole text. Words repeat, so most parts are found in a bounded per-process table and
+only the rest go to the tokenizer library. A tokenizer for which no cut is proven safe gets every text whole.
 """
 
 from __future__ import annotations
@@ -18,110 +16,123 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of the word table before it starts anew: bounds a worker's memory at about 100 MB.
+#: Entries of the word table, and their characters, before it starts anew: bounds a worker's memory at about 100 MB.
 MAX_WORDS = 250_000
-#: Characters of unknown words that the library gets in one call.
+MAX_CHARS = 1 << 24
+#: Characters of unknown words that the library gets in one text or call.
 CALL_CHARS = 1 << 16
-_RUN = re.compile(r"\s\s")
-#: White space other than space and line feed.
-_ODD_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
-_ODD_OTHER = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words in which every run of letters, digits or signs is one pre-token of GPT-2's pattern whatever its neighbours:
-#: Latin letters, ASCII digits and ASCII signs but for the apostrophe, and single line feeds.
-_PLAIN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n)+")
-_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
+#: What Python takes as white space, in RE2's notation.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 class _Words(dict):
     """word -> place in the codec's tables; unknown words get the next place and wait for the library."""
 
-    def __init__(self, lead: str, codec: "Codec"):
+    def __init__(self, codec: "Codec"):
         super().__init__()
-        self.lead, self.codec = lead, codec
+        self.codec, self.waiting = codec, []
 
     def __missing__(self, word: str) -> int:
         place = self[word] = self.codec.n_words
         self.codec.n_words += 1
-        self.codec.waiting.append(self.lead + word)
+        self.waiting.append(word)
         return place
 
 
 class Codec:
-    """Ids of texts as one tokenizer gives them, without begin, end or added special tokens."""
+    """Ids of texts as one tokenizer gives them, without begin, end or added special tokens.
 
-    def __init__(self, splits: bool, lead: str):
-        self.splits, self.lead = splits, lead
+    `cut` matches the spaces that may be cut out of a text; `odd` (RE2) finds texts that have spaces of other kinds.
+    """
+
+    def __init__(self, splits: bool, cut: str, odd: str):
+        self.splits, self.cut, self.odd = splits, re.compile(cut), odd
         self._reset()
 
     def _reset(self) -> None:
-        self.first, self.rest = _Words("", self), _Words(self.lead, self)
-        self.n_words, self.waiting = 0, []
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
+        self.first, self.rest = _Words(self), _Words(self)
+        self.n_words = self.n_chars = 0
+        self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), array("i")
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, straight from the library."""
         raise NotImplementedError
 
-    def _add(self, ids: list[int]) -> None:
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
+    def _first_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that start a text, one after another, and the number of each."""
+        found = [ids for at, end in batches_of(np.fromiter(map(len, words), np.int64, len(words)), CALL_CHARS) for ids in self.whole(words[at:end])]
+        return np.fromiter((x for ids in found for x in ids), np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _in_calls(self, words: list[str]):
-        """Ids of each word from the library, which gets about CALL_CHARS characters a call."""
-        for at, end in byte_batches(words, CALL_CHARS):
-            yield from self.whole(words[at:end])
+    def _rest_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words behind a cut, given without the space before them."""
+        return self._first_ids(words)
 
     def _encode_waiting(self) -> None:
-        words, self.waiting = self.waiting, []
-        for ids in self._in_calls(words):
-            self._add(ids)
-
-    def _cuttable(self, text: str) -> bool:
-        if "  " in text or " \n" in text or "\n " in text:
-            return False
-        odd = _ODD_ASCII if text.isascii() else _ODD_ASCII + _ODD_OTHER
-        return not any(c in text for c in odd) or _RUN.search(text) is None
-
-    def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of unknown words into the tables. Places were given in the order of asking, first words last."""
+        for table, ids_of in ((self.rest, self._rest_ids), (self.first, self._first_ids)):
+            if table.waiting:
+                words, table.waiting = table.waiting, []
+                ids, sizes = ids_of(words)
+                ends = len(self.flat) + np.cumsum(sizes)
+                self.flat.frombytes(ids.astype(np.int32).tobytes())
+                self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
+                self.n_chars += sum(map(len, words))
+
+    def _parts(self, texts: pa.Array) -> pa.Array:
+        """The parts of each text as a list."""
+        if not self.splits:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+        if not (odd := pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)).any():
+            return pc.split_pattern(texts, " ")
+        plain, other = pc.split_pattern(texts.filter(pa.array(~odd)), " "), texts.filter(pa.array(odd)).to_pylist()
+        both = pa.concat_arrays([plain, pa.array(map(self.cut.split, other), pa.list_(pa.string()))])
+        return both.take(pa.array(np.argsort(np.argsort(odd, kind="stable"), kind="stable")))
+
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of all parts of all texts in order, and the number of parts of each text."""
-        if self.n_words > MAX_WORDS:
+        if self.n_words > MAX_WORDS or self.n_chars > MAX_CHARS:
             self._reset()
-        cut = np.fromiter((self.splits and self._cuttable(t) for t in texts), bool, len(texts))
-        split = pc.split_pattern(pa.array([t if c else "" for t, c in zip(texts, cut, strict=True)], pa.string()), " ")
-        words = split.flatten().dictionary_encode()
-        known = np.fromiter(map(self.rest.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
-        places, ends = known[words.indices.to_numpy()], split.offsets.to_numpy()
-        # A first word has no space before it; a text that can't be cut is its own first word.
-        places[ends[:-1]] = [self.first[t.partition(" ")[0] if c else t] for t, c in zip(texts, cut, strict=True)]
+        parts = self._parts(texts)
+        words, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        firsts = words.take(pa.array(ends[:-1])).to_numpy(zero_copy_only=False)
+        # first words are looked up apart; here they stand in by a word of the batch
+        later = np.ones(len(words), bool)
+        later[ends[:-1]] = False
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        known = np.fromiter(map(self.rest.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
+        places = np.empty(len(words), np.int64)
+        places[later] = known[coded.indices.to_numpy()]
+        places[ends[:-1]] = [self.first[t] for t in firsts.tolist()]
         self._encode_waiting()
-        return places, np.diff(ends).astype(np.int64)
+        return places, np.diff(ends)
 
-    def counts(self, texts: list[str]) -> np.ndarray:
+    def counts(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
-        if not texts:
+        if not len(texts):
             return np.empty(0, np.int64)
         places, parts = self._places(texts)
-        sizes = np.frombuffer(self.sizes, np.int64)[places]
-        return np.add.reduceat(sizes, np.cumsum(parts) - parts)
+        return np.add.reduceat(self.sizes[places], np.cumsum(parts) - parts)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids (int32) of all texts one after another, and the number of ids of each text."""
-        if not texts:
+        if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         places, parts = self._places(texts)
-        sizes = np.frombuffer(self.sizes, np.int64)[places]
-        starts = np.frombuffer(self.starts, np.int64)[places]
+        sizes, starts = self.sizes[places], self.starts[places]
         ends = np.cumsum(sizes)
-        total = int(ends[-1])
         take = np.repeat(starts - (ends - sizes), sizes)
-        take += np.arange(total)
+        take += np.arange(len(take))
         flat = np.frombuffer(self.flat, np.int32) if self.flat else np.empty(0, np.int32)
         return flat[take], np.add.reduceat(sizes, np.cumsum(parts) - parts)
 
 
 class JsonCodec(Codec):
-    """A tokenizers .json file. Special strings inside texts are handled as the library does by default."""
+    """A tokenizers .json file. Special strings inside texts are handled as the library does by default.
+
+    GPT-2's pattern gives a space to what follows it unless that is white space, so every text falls apart before a
+    space that stands before another character, and so does a text put together from such parts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -132,37 +143,32 @@ class JsonCodec(Codec):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-        # GPT-2's pattern gives a space to the word that follows it, so a text falls apart before such a space.
         safe = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         safe = safe and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in added)
-        names = [t["content"] for t in added]
-        self._special = re.compile("|".join(map(re.escape, names))) if names else None
-        self._bytes = _byte_letters()
-        self._model = self.tokenizer.model
-        self._parts: dict[str, list[int]] = {}
-        super().__init__(bool(safe), " ")
-
-    def _encode_waiting(self) -> None:
-        """Plain words fall into pre-tokens, which go to the library's merge model once each; others go through whole."""
-        if not self.splits:
-            return super()._encode_waiting()
-        words, self.waiting = self.waiting, []
-        if len(self._parts) > MAX_WORDS:
-            self._parts = {}
-        known, other = self._parts, {}
-        for i, word in enumerate(words):
-            if not _PLAIN.fullmatch(word) or self._special and self._special.search(word):
-                other[i] = word
-        others = dict(zip(other, self._in_calls(list(other.values())), strict=True))
-        for i, word in enumerate(words):
-            if (ids := others.get(i)) is None:
-                ids = []
-                for part in _PARTS.findall(word):
-                    if (got := known.get(part)) is None:
-                        mapped = part.encode().decode("latin-1").translate(self._bytes)
-                        got = known[part] = [t.id for t in self._model.tokenize(mapped)]
-                    ids += got
-            self._add(ids)
+        # bytes of each id: a letter of a byte-level token stands for one byte
+        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            if i < len(self.n_bytes):
+                self.n_bytes[i] = len(token)
+        for t in added:
+            if t["id"] < len(self.n_bytes):
+                self.n_bytes[t["id"]] = len(t["content"].encode())
+        super().__init__(bool(safe), r" (?=\S)", rf" (?:[{_WHITE}]|\z)")
+
+    def _rest_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words behind cuts make one text again; the bytes of its ids say which word each is of."""
+        ids, sizes = [], []
+        for at, end in batches_of(np.fromiter(map(len, words), np.int64, len(words)), CALL_CHARS):
+            some = words[at:end]
+            got = np.array(self.whole([" " + " ".join(some)])[0], np.int64)
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            covered = np.cumsum(self.n_bytes[got])
+            last = np.searchsorted(covered, ends)
+            if len(covered) <= last[-1] or (covered[last] != ends).any() or covered[-1] != ends[-1]:
+                raise ValueError("the tokenizer's ids don't spell the text")
+            ids.append(got.astype(np.int32))
+            sizes.append(np.diff(last, prepend=-1))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -170,33 +176,28 @@ class JsonCodec(Codec):
 
 
 class PieceCodec(Codec):
-    """A sentencepiece .model file."""
+    """A sentencepiece .model file.
+
+    Spaces are the mark U+2581. No piece has a mark behind another character, so nothing crosses from a character that
+    isn't a space to one that is; and each part is encoded alone, as the library puts one mark in front of it.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
-        # Spaces are the mark U+2581. Nothing crosses a cut before a mark if no piece has one behind another character,
-        # and a part can be encoded alone if texts are otherwise left as they are and get one mark in front.
         mark = "▁"
         safe = not any(mark in p.id_to_piece(i).lstrip(mark) for i in range(p.get_piece_size()))
-        safe = safe and p.normalize("ﬁ ½  x ") == f"{mark}ﬁ{mark}½{mark}{mark}x{mark}"
-        super().__init__(safe, "")
+        safe = safe and p.normalize("ﬁ ½  x ") == f"{mark}ﬁ{mark}½{mark}{mark}x{mark}" and p.normalize(mark) == 2 * mark
+        super().__init__(safe, r"(?<=[^ ]) (?!\Z)", r"  |\A | \z")
 
-    def _cuttable(self, text: str) -> bool:
-        return "  " not in text and "▁" not in text and text[:1] != " " and text[-1:] != " "
+    def _parts(self, texts: pa.Array) -> pa.Array:
+        return super()._parts(pc.replace_substring(texts, "▁", " ") if self.splits else texts)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return self.processor.encode(texts, num_threads=1)
 
 
-def _byte_letters() -> dict[int, str]:
-    """GPT-2's letters for bytes: printable Latin-1 stands for itself, the other bytes follow from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=4)
 def load_codec(path: str) -> Codec:
     """The codec of a tokenizer file, once per worker process."""
@@ -206,13 +207,18 @@ def load_codec(path: str) -> Codec:
     return PieceCodec(path) if path.endswith(".model") else JsonCodec(path)
 
 
-def byte_batches(texts: list[str], max_bytes: int):
-    """Slices of texts, in order, of about max_bytes characters each; a longer text is a slice of its own."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > max_bytes:
-            yield at, i
-            at, size = i, 0
-        size += len(text)
-    if at < len(texts):
-        yield at, len(texts)
+def batches_of(sizes: np.ndarray, most: int):
+    """Slices (start, end), in order, of items whose sizes sum up to at most `most`; a larger item is a slice of its own."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+        yield at, end
+        at = end
+
+
+def text_batches(texts: pa.Array, most: int):
+    """(start, end, texts without nulls) for slices of an Arrow array of about `most` bytes; null is the empty text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for at, end in batches_of(sizes, most):
+        yield at, end, pc.fill_null(texts.slice(at, end - at), "").cast(pa.string())

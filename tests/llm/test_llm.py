@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,33 +62,62 @@ def texts_of(spark, sf_dir):
 # tokens
 
 
-@pytest.mark.parametrize("path", [BYTE, PIECE, WORD])
-def test_codec_is_the_library(spark, sf_dir, path):
-    codec = tokens.load_codec(path)
-    own = [*texts_of(spark, sf_dir).values(), *[t or "" for _, t in ODD], "a<|endoftext|> b", " 's it's 'tis", "a\n\nb \n c", "x ▁y", " lead", "trail "]
+def same_ids(codec, texts):
+    """The codec's ids and counts are those of the library for whole texts."""
+    texts = list(texts)
+    own, want = pa.array(texts, pa.string()), codec.whole(texts) if texts else []
     ids, counts = codec.encode(own)
-    want = codec.whole(own)
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
     assert codec.counts(own).tolist() == counts.tolist()
 
 
+RUNS = ["a\n\n\nb", "a b\n\n", *(f"{head}{chr(10) * n}{tail}" for n in range(1, 6) for head in ("", "a", "a b", "a ") for tail in ("", "c", " c", "'s", " \n"))]
+SPACES = ["  ", " ", "a  b", " a", "a ", "  a  ", "a \t b", "a\u00a0 b c", "a \u2003b  c", "a   b c  d ", "▁a ▁", "x  ▁y", "x▁", "▁"]
+
+
+@pytest.mark.parametrize("path", [BYTE, PIECE, WORD])
+def test_codec_is_the_library(spark, sf_dir, path):
+    codec = tokens.load_codec(path)
+    same_ids(codec, [*texts_of(spark, sf_dir).values(), *[t or "" for _, t in ODD], "a<|endoftext|> b", " 's it's 'tis", "a\n\nb \n c", "x ▁y", " lead", "trail "])
+    same_ids(codec, RUNS + SPACES)
+
+
+@pytest.mark.parametrize("path", [BYTE, PIECE])
+@pytest.mark.parametrize("run", ["abcdefghij" * 6, "0123456789" * 6, "-" * 60, "=*" * 30, "Zm9vYmFy" * 2000])
+def test_codec_on_long_runs(path, run):
+    began = time.perf_counter()
+    same_ids(tokens.load_codec(path), [f"{run}{end}" for end in ("'", "汉", "д", "\t", "'s x", "\n\n\n")])
+    assert time.perf_counter() - began < 5
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,%aZé1▁\u00a0<|>s"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=5))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,%aZé1▁\u00a0<|>s"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=5))
 def test_codec_on_any_text(texts):
     for path in (BYTE, PIECE):
-        codec = tokens.load_codec(path)
-        ids, counts = codec.encode(texts)
-        want = codec.whole(texts) if texts else []
-        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+        same_ids(tokens.load_codec(path), texts)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abcdefghijklmnopqrstuvwxyz0189-_'"), min_size=55, max_size=60), max_size=4))
+def test_codec_on_long_words(words):
+    for path in (BYTE, PIECE):
+        same_ids(tokens.load_codec(path), [" ".join(words), *words])
 
 
 def test_codec_table_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_WORDS", 50)
-    codec = tokens.JsonCodec(BYTE)
-    for k in range(20):
-        text = " ".join(f"w{k}q{i}" for i in range(40))
-        assert codec.encode([text])[0].tolist() == codec.whole([text])[0]
-    assert codec.n_words < 120
+    for name, most in (("MAX_WORDS", 50), ("MAX_CHARS", 200)):
+        monkeypatch.setattr(tokens, name, most)
+        codec = tokens.JsonCodec(BYTE)
+        for k in range(20):
+            same_ids(codec, [" ".join(f"w{k}q{i}" for i in range(40))])
+        assert codec.n_words < 130
+
+
+def test_text_batches():
+    texts = pa.array(["ab", None, "é" * 5, "", "x" * 30, "y"])
+    found = [(a, b, t.to_pylist()) for a, b, t in tokens.text_batches(texts, 12)]
+    assert found == [(0, 4, ["ab", "", "é" * 5, ""]), (4, 5, ["x" * 30]), (5, 6, ["y"])]
+    assert [*tokens.text_batches(pa.array([], pa.string()), 12)] == []
 
 
 def test_token_counts(odd, empty):
@@ -97,11 +128,32 @@ def test_token_counts(odd, empty):
     assert len(rows) == len(ODD) and token_counts.count_tokens(empty, PIECE).count() == 0
 
 
+def test_token_queries(spark, sf_dir):
+    docs = texts_of(spark, sf_dir)
+    piece, byte, at = tokens.load_codec(PIECE), tokens.load_codec(BYTE), 0
+    for r in token_counts.op5_token_counts(spark, sf_dir).collect():
+        n = len(piece.whole([docs[r.doc_id]])[0])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 4096)
+    rows = token_files.op2_simple8b(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        ids = [*byte.whole([docs[r.doc_id]])[0], 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    packed = {}
+    for r in packing.op9_best_fit_packing(spark, sf_dir).collect():
+        packed.setdefault(r.doc_id, []).append(r)
+    for i, text in docs.items():
+        ids = np.array([*byte.whole([text])[0], 2], "<u4")
+        assert sum(r.length for r in packed[i]) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in packed[i])
+
+
 # token files
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.one_of(st.just(0), st.integers(0, 50000), st.integers(0, 2**64 - 1)), max_size=700))
+@given(st.lists(st.one_of(st.just(0), st.integers(0, 50000), st.integers(0, 2**64 - 1), st.integers(0, 64).map(lambda b: max(0, 2**b - 1))), max_size=700))
 def test_simple8b_round_trip(values):
     x = np.array(values, np.uint64)
     words, starts = token_files.encode_ids(x)
@@ -160,7 +212,7 @@ def test_packing(spark, sf_dir, odd, empty):
     rows = packing.pack(df.coalesce(1), BYTE, 2).collect()
     n = check_packed(rows, docs, tokens.load_codec(BYTE), 1024, 2)
     assert n <= -(-sum(r.length for r in rows) // 1024) * 1.03 + 1
-    small = packing.pack(odd.where("doc_id <> 5 or doc_id is null"), BYTE, 2, size=16, most_open=2, look_ahead=3).collect()
+    small = packing.pack(odd.where("doc_id <> 5 or doc_id is null"), BYTE, 2, size=16, most_open=2).collect()
     check_packed(small, {i: t for i, t in ODD if i != 5}, tokens.load_codec(BYTE), 16, 2)
     assert packing.pack(empty, BYTE, 2).count() == 0
 
