@@ -1,8 +1,9 @@
 """Operator 7: personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs, URL schemes and words that announce an identifier. Small parsers
-expand each anchor to the bounds of an address or account and validate it. Numbers of fixed form (ip, card, phone) are
-their own anchors.
+An Aho-Corasick automaton finds anchors: at-signs, dots, plus signs, digits, URL schemes and words that announce an
+identifier. Small parsers expand each anchor to the bounds of an address, number or account and validate it. A parser
+goes on behind its last match, so each kind's matches are the leftmost ones that don't overlap, and each anchor costs
+no more than the text around it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Kinds every text is searched for, in the order in which spans are listed; the rest are found by anchors only.
+#: Kinds in the order in which spans are listed; the base ones have a fixed form.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url_login", "iban", "account")
 KINDS = BASE + ADDED
@@ -27,12 +28,14 @@ CUES = ("iban", "account", "acct", "customer id", "passport", "ssn", "tax id", "
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_DIGITS = frozenset(string.digits)
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}\Z")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&*+,;=-]+(?::[^\s@/]*)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?")
-_AFTER_CUE = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id|#|is|:|=))*\s*([A-Z0-9](?:[ -]?[A-Z0-9])*)", re.ASCII)
+#: A code behind a cue, more of it than the longest account number has.
+_AFTER_CUE = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id|#|is|:|=))*\s*([A-Z0-9](?:[ -]?[A-Z0-9]){0,69})", re.ASCII)
 
 
 def luhn(digits: str) -> bool:
@@ -59,7 +62,10 @@ def account(text: str, start: int, end: int, is_iban: bool) -> tuple[str, int, i
     part with digits that goes on in lower case, which would stay in the text, is cut inside a word. Without an IBAN
     cue, a shorter international number doesn't replace a longer other one.
     """
-    parts = [(p.end() + start, re.sub(r"[ -]", "", text[start : p.end() + start])) for p in re.finditer(r"[A-Z0-9]+", text[start:end])]
+    parts, whole = [], ""
+    for p in re.finditer(r"[A-Z0-9]+", text[start:end]):
+        whole += p[0]
+        parts.append((p.end() + start, whole))
     other, before = None, ""
     for stop, code in parts:
         if other and not any(c.isdigit() for c in code[len(before) :]):
@@ -78,15 +84,15 @@ def _anchors():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for word in ("@", *SCHEMES, *{f for c in CUES for f in (c, c.upper(), c.capitalize(), c.title())}):
-        found.add_word(word, (word, "@" if word == "@" else "://" if word in SCHEMES else "cue"))
+    for word in ("@", ".", "+", *string.digits, *SCHEMES, *{f for c in CUES for f in (c, c.upper(), c.capitalize(), c.title())}):
+        found.add_word(word, (word, "0" if word in _DIGITS else "://" if word in SCHEMES else word if len(word) == 1 else "cue"))
     found.make_automaton()
     return found
 
 
-def _local_start(text: str, at: int, least: int) -> int:
-    """Where the run of local-part characters that ends before `at` starts, not before `least`."""
-    while at > least and text[at - 1] in _LOCAL:
+def _run_start(text: str, at: int, least: int, of: frozenset[str]) -> int:
+    """Where the run of characters in `of` that ends before `at` starts, not before `least`."""
+    while at > least and text[at - 1] in of:
         at -= 1
     return at
 
@@ -94,13 +100,29 @@ def _local_start(text: str, at: int, least: int) -> int:
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by kind as in KINDS, then by start; code points, end exclusive."""
     found: list[tuple[str, int, int]] = []
-    email_end = 0
+    email_end = ip_end = card_end = phone_end = 0
     for end, (word, kind) in _anchors().iter(text):
         at = end + 1 - len(word)
-        if kind == "@":
+        if kind == "0":
+            if at >= card_end and (m := _CARD.match(text, at)):
+                card_end = m.end()
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 13 <= len(digits) <= 19 and luhn(digits):
+                    found.append(("card", at, card_end))
+        elif kind == ".":
+            if at > ip_end and text[at - 1] in _DIGITS and (m := _IP.match(text, _run_start(text, at, ip_end, _DIGITS))):
+                ip_end = m.end()
+                if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
+                    found.append(("ip", m.start(), ip_end))
+        elif kind == "+":
+            if at >= phone_end and (m := _PHONE.match(text, at)):
+                phone_end = m.end()
+                if 9 <= sum(c in _DIGITS for c in m[0]) <= 15:
+                    found.append(("phone", at, phone_end))
+        elif kind == "@":
             if at < email_end or not (m := _DOMAIN.match(text, at + 1)):
                 continue
-            if (start := _local_start(text, at, email_end)) < at:
+            if (start := _run_start(text, at, email_end, _LOCAL)) < at:
                 found.append(("email", start, m.end()))
                 email_end = m.end()
         elif kind == "://":
@@ -110,17 +132,6 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         elif (m := _AFTER_CUE.match(text, end + 1)) and not text[max(0, at - 1) : at].isalnum():
             if code := account(text, m.start(1), m.end(1), word.lower() == "iban"):
                 found.append(code)
-    for m in _IP.finditer(text):
-        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
-            found.append(("ip", m.start(), m.end()))
-    for m in _CARD.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            found.append(("card", m.start(), m.end()))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
-                found.append(("phone", m.start(), m.end()))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda s: (order[s[0]], s[1], s[2]))
 
@@ -167,14 +178,20 @@ def pii(text: Column, redacted: bool = True) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii_spans and redacted_text (input columns of these names are replaced; all others stay).
 
-    Empty and null texts have no spans; repeated rows stay repeated; an empty table gives an empty table.
+    Empty and null texts have no spans; very long texts are searched whole. Spans of several kinds may overlap, and at one
+    place (ties) the order of KINDS counts. Repeated rows stay repeated; an empty table gives an empty table.
     """
     found = docs.withColumn("pii_spans", pii(F.col(text_col).cast("string")))
     return found.withColumns({"redacted_text": F.col("pii_spans.text"), "pii_spans": F.col("pii_spans.spans")})
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """documents with personal data replaced in text, and n_chars of the new text."""
+    """documents with personal data replaced in text, and n_chars of the new text.
+
+    Null text stays null, with n_chars null; empty text stays empty; very long texts are searched whole. Where spans
+    overlap, their union becomes the kind of the first, of the longest at one place (ties). All other columns are kept, and
+    repeated rows stay repeated; an empty table gives an empty table.
+    """
     found = docs.withColumn("text", pii(F.col("text"))["text"])
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
