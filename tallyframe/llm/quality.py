@@ -84,17 +84,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, sample_bytes: int = 8192, dict_bytes: int = 65536, chunk: int = 2048, level: int = 1) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, label), on a bounded sample.
 
-    Of either label, the first 2 x per_class ids by a hash are looked up among the documents; the first per_class texts
-    of 1 to sample_bytes bytes make the sample. Two of three train the dictionaries, the third fits the curve. Null ids,
-    rows without text and labels other than 0 and 1 are left out; an id labelled more than once counts with its least
-    label. With one class or none, every text gets the class's share, 0.5 without any row.
+    Of either label, the first per_class ids by a hash among those that documents with text have make the sample; of a
+    text longer than sample_bytes characters, a stretch of so many whose place follows from a hash stands for it. Of
+    texts that repeat an id, the least counts. Two of three train the dictionaries, the third fits the curve. Null ids,
+    null and empty texts, and labels other than 0 and 1 are left out; an id labelled more than once counts with its
+    least label. With one class or none, every text gets the class's share, 0.5 without any row, as with an empty table
+    of documents or labels. Columns besides doc_id, text and label aren't read.
     """
     known = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-    first = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for y in (0, 1)]
-    found = docs.select("doc_id", "text").join(F.broadcast(first[0].union(first[1])), "doc_id")
-    found = found.where(F.octet_length("text").between(1, sample_bytes)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * per_class)
+    there = known.join(docs.where(F.octet_length("text") > 0).select("doc_id"), "doc_id", "left_semi")
+    first = [there.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    long = F.greatest(F.length("text") - sample_bytes + 1, F.lit(1))
+    part = F.substr("text", (F.pmod(F.xxhash64("doc_id"), long) + 1).cast("int"), F.lit(sample_bytes)).alias("text")
+    found = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(first[0].union(first[1])), "doc_id").select("doc_id", "label", part)
+    found = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = found.select("text", "label").collect()
-    sample = [r for y in (0, 1) for r in [r for r in rows if r.label == y][:per_class]]
+    sample = [r for y in (0, 1) for r in rows if r.label == y]
     y = np.array([r.label for r in sample], float)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
@@ -133,7 +138,9 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= least). Input columns of these names are replaced."""
+    """docs with score (0 to 1) and predicted (1 if score >= least, ties included). Input columns of these names are
+    replaced, all others stay. Null and empty texts have one score; very long texts are scored whole, chunk by chunk.
+    Repeated rows stay repeated; an empty table gives an empty table."""
     return docs.withColumn("score", quality_score(F.col(text_col).cast("string"), model)).withColumn("predicted", (F.col("score") >= least).cast("int"))
 
 
@@ -145,9 +152,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents that the classifier, trained on the labelled ones among them, doesn't reject."""
+    """The documents that the classifier, trained on the labelled ones among them, doesn't reject: those with a score of
+    at least `least`. All columns are kept as they are, whatever their names. Null and empty texts, repeated rows and empty
+    tables are as in `fit` and `classify`."""
     model = fit(docs, training_labels(labels))
-    return classify(docs.select(*docs.columns, F.lit(0).alias("_")), model, least).where("predicted = 1").select(docs.columns)
+    return docs.where(quality_score(docs["text"].cast("string"), model) >= least)
 
 
 QUERIES = {"op6_quality": op6_quality}
