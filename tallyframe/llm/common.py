@@ -6,11 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+#: Where each DataFrame of `written` is stored.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +39,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*steps: DataFrame) -> None:
+    """Delete what `written` stored for these, once nothing that is still to run reads them."""
+    for df in steps:
+        if path := _paths.pop(df, None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +61,28 @@ def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Groups of more than this share of all rows, and of HOT_ROWS rows, are joined by a broadcast: 10,000 of them at most.
+HOT_SHARE, HOT_ROWS = 1e-4, 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
+    """rows with the columns of the groups they are in (groups: a row for each key, with its number of rows in `count`).
+
+    The rows of a large group don't meet in one task: large groups are few, so they are broadcast. Rows without a group
+    are left out. `rows` is read twice.
+    """
+    hot = F.col(count) > max(HOT_ROWS, HOT_SHARE * n_rows)
+    marked = rows.join(F.broadcast(groups.where(hot)), keys, "left")
+    others = [c for c in groups.columns if c not in keys]
+    rest = marked.where(F.col(count).isNull()).drop(*others).join(groups.where(~hot), keys)
+    return rest.unionByName(marked.where(F.col(count).isNotNull()))
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """Connected components: (node, component) for each node of edges (a, b); component is the smallest node reached.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each two shuffles of the edges, until no edge
-    changes; each step's edges are written in the shared folder. Edges of a node with itself and nulls are dropped.
+    changes; each step's edges are written in the shared folder, and those of the step before deleted. Edges of a node with itself and nulls are dropped.
     """
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     now = edges.where("a <> b").select(pair(F.col("a"), F.col("b")).alias("e")).select("e.*").distinct()
@@ -67,10 +97,13 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         large = large.distinct()
         tops = large.groupBy("b").agg(F.min("a").alias("m"))
         small_star = large.join(tops, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        now = written(small_star, what)
+        before_step, now = now, written(small_star, what)
+        forget(before_step)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
         before = state
     ties = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return ties.union(ties.select(F.col("component").alias("node"), "component").distinct())
+    found = written(ties.union(ties.select(F.col("component").alias("node"), "component").distinct()), what)
+    forget(now)
+    return found

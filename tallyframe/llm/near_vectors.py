@@ -30,8 +30,15 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of x by powers of two, so that their largest component is 0.5 to 1: squares stay within range, and cosines are
+    the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def rotated(x: np.ndarray) -> np.ndarray:
     """Rows of x at length 1, rotated. Sums run in a fixed order, so a row's result doesn't depend on other rows."""
+    x = scaled(x)
     unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     q, out = rotation(x.shape[1]), np.zeros_like(unit)
     for k in range(x.shape[1]):
@@ -75,6 +82,7 @@ class Blocks:
         share is b: every linked pair comes up in one block, where the smaller id lives."""
         first, last = np.argsort(ids, kind="stable"), np.argsort(others, kind="stable")
         x, ids, y, others = x[first], ids[first], y[last], others[last]
+        x, y = scaled(x), scaled(y)
         u, v = rotated(x), rotated(y)
         # one product gives the squared distances: (p, |p|^2, 1) . (-2 q, 1, |q|^2)
         p, q = u[:, self.cols[b]], v[:, self.cols[b]]
@@ -122,7 +130,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     smallest id that links reach; kept where that is the vector's own.
 
     Null, empty and zero vectors, and those with a null or a number that isn't finite, link with nothing, and so do
-    vectors of different lengths. Equal vectors are joined as one and counted as many. Each id is taken to name one
+    vectors of different lengths. A cosine of exactly threshold (a tie) links. Finite vectors of any size count. Extra
+    columns, whatever their names, are not carried; an empty table gives an empty table. Equal vectors are joined as one and counted as many. Each id is taken to name one
     vector: rows that repeat an id count as vectors of their own in n_links and are tied in one component. Null ids link
     with nothing. A cell with many vectors is dealt out in tiles of about tile x tile pairs, so no group grows with the
     data; what links have is summed in each tile and never listed pair by pair.
@@ -198,8 +207,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         return pa.table({"id": names[some], "n": n[some], "root": names[root[some]]})
 
     dealt = classes.mapInArrow(tiles, "dim int, block int, cell long, i int, j int, id long, copies long, is_left boolean, is_right boolean, raw binary")
+    n_rows = classes.agg(F.sum("copies")).first()[0] or 0
     part = common.written(dealt.groupBy("dim", "block", "cell", "i", "j").applyInArrow(join_tile, "id long, n long, root long"), "near")
-    members = common.written(valid.join(classes.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("id", "rep", "copies"), "members")
+    members = common.written(common.join_groups(valid, classes, ["v"], "copies", n_rows).select("id", "rep", "copies"), "members")
     links = part.groupBy("id").agg(F.sum("n").alias("n"))
     # rows that repeat an id tie the classes they are in
     ties = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of the index of running sizes that the driver holds at a time.
+#: Entries of the index of running sizes that the driver holds at a time; doubled if a finer index leaves the places of
+#: the cuts as wide as before, which takes more sizes there than the index has entries.
 INDEX = 1 << 15
 
 
@@ -63,7 +64,10 @@ def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int, index:
         inside = F.lit(False)
         for a, b in ranges:
             inside = inside | F.col("end").between(a, b)
-        found = ends.where(inside).groupBy(F.floor(F.col("end") / step).cast("long").alias("k")).agg(F.max("end").alias("end"), F.count("*").alias("n"))
+        inner = ends.where(inside)
+        if inner.limit(index + 1).count() <= index:
+            step = 1
+        found = inner.groupBy(F.floor(F.col("end") / step).cast("long").alias("k")).agg(F.max("end").alias("end"), F.count("*").alias("n"))
         rows = sorted(found.collect(), key=lambda r: r.k)  # index + 2 x shards rows at most
         steps, known = [r.k for r in rows], [r.end for r in rows]
         high = _smallest(low, high, lambda c: _walk(known, c, shards)[-1] == total)
@@ -123,7 +127,9 @@ def shard_contiguous(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
 
     size: UTF-8 bytes of the text plus 8; null text: none, so 8, crc32 0, a group of its own kind (apart from the
     empty text). Equal texts share a shard. slot numbers a shard's rows from 0 without gaps. Groups are ordered by their
-    least id, nulls first. Repeated rows each get a slot. An empty table gives an empty table.
+    least id, nulls first, ties by the digest. Very long texts count whole; one that is larger than an even share has a
+    shard's capacity to itself. Repeated rows each get a slot. Extra columns, whatever their names, are not carried. An
+    empty table gives an empty table.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(
@@ -133,12 +139,12 @@ def shard_contiguous(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
         F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"").cast("binary")).alias("digest"),
     )
     rows = common.written(rows, "sizes")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("group_size"), F.coalesce(F.min("doc_id"), F.lit(-(1 << 63))).alias("first_id"))
+    groups = rows.groupBy("digest").agg(F.count("*").alias("rows"), F.sum("size").alias("group_size"), F.coalesce(F.min("doc_id"), F.lit(-(1 << 63))).alias("first_id"))
     groups = common.written(running_sum(groups, ["first_id", "digest"], "group_size", "end"), "groups")
-    total, largest = groups.agg(F.max("end"), F.max("group_size")).first()
+    total, largest, n_rows = groups.agg(F.max("end"), F.max("group_size"), F.sum("rows")).first()
     cuts = even_cuts(groups, minimax_cuts(groups, total, largest, shards)[0], total, shards) if total else []
     shard = place_by_cuts(F.col("end") - F.col("group_size"), cuts) if total else F.lit(0)
-    placed = rows.join(groups.select("digest", shard.alias("shard")), "digest")
+    placed = common.join_groups(rows, groups.select("digest", "rows", shard.alias("shard")), ["digest"], "rows", n_rows or 0)
     # slots: a shard's rows are numbered in buckets, one after another, so that no task numbers a whole shard
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(slot_buckets)).cast("int")
     placed = common.written(placed.select("doc_id", "size", "text_crc32", "shard", bucket.alias("bucket")), "placed")
