@@ -45,30 +45,38 @@ def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     messages: (tree, node, parent, score), parent null at a root. A branch's score is the mean score of its messages,
     nulls left out; with `top`, each tree keeps its best `top` branches, ties by the smaller leaf. A parent that isn't
     there makes its child a root; a node that comes twice counts once, with its least parent and score; nulls in tree
-    or node are dropped; messages on a cycle have no root and are in no path.
+    or node are dropped; messages on a cycle, or that hang from one, have no root and are in no path. Extra columns aren't
+    carried; an empty table gives an empty table.
     """
     nodes = messages.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min("score").alias("score"))
     nodes = common.written(nodes, "tree-nodes")
     ids = nodes.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
-    up = nodes.join(ids, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("up"))
-    leaves = nodes.select("tree", "node").join(nodes.select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti")
-    # climbs[i]: each node's ancestor 2**i steps up, where there is one
-    climbs = []
-    climb = common.written(up.where("up is not null"), "tree-climb")
-    limit = 1
-    while not climb.isEmpty():
-        climbs.append(climb)
-        # on a cycle every node has ancestors at all distances: no path is longer than there are nodes
-        if limit > 1 << 20 and limit > nodes.count():
+    # climbs[i]: each node's ancestor 2**i steps up, where there is one, and its depth if a root is less far
+    up = F.when(F.col("there") == 1, F.col("parent"))
+    climb = nodes.join(ids, ["tree", "parent"], "left").select("tree", "node", up.alias("up"), F.when(up.isNull(), F.lit(0)).cast("long").alias("depth"))
+    climbs = [common.written(climb, "tree-climb")]
+    rooted = climbs[0].where("depth is not null").count()
+    while True:
+        climb = climbs[-1]
+        far = climb.select("tree", F.col("node").alias("up"), F.col("up").alias("farther"), F.col("depth").alias("rest"))
+        depth = F.coalesce("depth", F.col("rest") + (1 << len(climbs) - 1))
+        higher = climb.join(far, ["tree", "up"], "left").select("tree", "node", F.col("farther").alias("up"), depth.alias("depth"))
+        climbs.append(common.written(higher, "tree-climb"))
+        # depths double with each climb: once none is new, what has none hangs from a cycle
+        rooted, before = climbs[-1].where("depth is not null").count(), rooted
+        if rooted == before:
             break
-        limit *= 2
-        far = climb.select("tree", F.col("node").alias("up"), F.col("up").alias("farther"))
-        climb = common.written(climb.join(far, ["tree", "up"]).select("tree", "node", F.col("farther").alias("up")), "tree-climb")
+    inner = nodes.select("tree", F.col("parent").alias("node"))
+    leaves = climbs[-1].where("depth is not null").join(inner, ["tree", "node"], "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
-    for i, climb in reversed([*enumerate(climbs)]):
-        higher = paths.join(climb, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << i)).alias("back"))
+    for i, climb in reversed([*enumerate(climbs[:-2])]):
+        steps = climb.where("up is not null").select("tree", "node", "up")
+        higher = paths.join(steps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << i)).alias("back"))
         # written, as each level reads the paths so far twice: the plan would double with every level
-        paths = common.written(paths.union(higher), "paths")
+        paths, before = common.written(paths.union(higher), "paths"), paths
+        common.forget(before)
+    if len(climbs) > 2:
+        common.forget(*climbs)
     if top is not None:
         scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "leaf"))
@@ -94,7 +102,9 @@ def format_paths(messages: DataFrame, top: int | None = None, trained_role: str
     """One conversation for each chosen branch: tree, leaf, n_turns, formatted, loss_spans.
 
     messages: (tree, node, parent, score, role, text). loss_spans lists (start, end) in code points of formatted, end
-    exclusive: the escaped texts of trained_role. Null role or text: empty. Other columns are not carried.
+    exclusive: the escaped texts of trained_role. Null role or text: empty. A node that comes twice counts once, with its
+    least role and text (ties). Very long texts are formatted whole. Other columns, whatever their names, are not carried;
+    an empty table gives an empty table.
     """
     paths = reply_paths(messages.select("tree", "node", "parent", "score"), top)
     said = messages.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
@@ -129,7 +139,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     messages = common.written(linear_replies(turns.unionByName(own)), "replies")
-    formatted = common.written(format_paths(messages.drop("conv_id")), "formatted")
+    formatted = common.written(format_paths(messages.drop("conv_id"), top=1), "formatted")
+    common.forget(messages)
     said = F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     under = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["end"] - s["start"]))), "")
     read = formatted.select(
