@@ -298,6 +298,24 @@ def test_added_spans_and_redaction():
     assert pii.redact("plain", []) == "plain" and pii.redact("abcd", [("a", 0, 2), ("b", 1, 4)]) == "[A]"
 
 
+def test_long_numbers_take_linear_time():
+    began = time.perf_counter()
+    for t in ("1" * 1_000_000, "1." * 300_000, "account " + "A B " * 200_000, "IBAN " * 20_000, "+1" * 300_000, "a@" * 300_000, "a" * 500_000 + "@", "account" + " " * 500_000, "1.1.1.1" * 50_000):
+        pii.spans_of(t)
+    assert time.perf_counter() - began < 20
+    for t in ("1" * 500, "1." * 300, "+1" * 300, "a@" * 300, "1.1.1.1" * 50, "1 1-1 " * 90):
+        assert [s for s in pii.spans_of(t) if s[0] in pii.BASE] == base_spans(t)
+
+
+def test_redacted_documents(spark):
+    rows = [(1, "mail a@b.org", "x"), (None, None, None), (1, "mail a@b.org", "x"), (2, "", "y"), (3, "v" * 50_000 + " +49 30 1234567 x", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("n_chars", F.lit(7).cast("long"))
+    out = pii.redact_documents(df)
+    assert out.columns == df.columns and pii.redact_documents(df.where("1 = 0")).count() == 0
+    got = sorted(((r.doc_id or 0, r.text, r.spans, r.n_chars) for r in out.collect()), key=lambda r: r[0])
+    assert got == [(0, None, None, None), (1, "mail [EMAIL]", "x", 12), (1, "mail [EMAIL]", "x", 12), (2, "", "y", 0), (3, "v" * 50_000 + " [PHONE] x", "z", 50_010)]
+
+
 # quality
 
 
@@ -320,6 +338,46 @@ def test_quality_on_odd_input(spark, odd, empty):
     assert quality.classify(empty, quality.fit(empty, one.where("1 = 0"))).count() == 0
 
 
+def test_features_and_scores(spark):
+    good, bad = ["the cat sat on the mat and slept " * (3 + i % 5) for i in range(60)], [f"zq{i} $$ buy now !!! {i * 7919}" * 4 for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(good + bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, label int")
+    model = quality.fit(docs, labels)
+    import zstandard as z
+
+    def size(data, d):
+        return len(z.ZstdCompressor(level=model.level, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+
+    for r in quality.classify(docs, model).collect():
+        data = r.text.encode()
+        parts = [data[k : k + model.chunk] for k in range(0, len(data), model.chunk)]
+        a, b = (sum(size(p, d) for p in parts) for d in (model.good, model.bad))
+        x, left = (b - a) / (a + b + 2 * quality.SMOOTH), min(1.5, (a + quality.SMOOTH) / (len(data) + 2 * quality.SMOOTH))
+        want = 1 / (1 + np.exp(-np.clip(np.dot([x, left, left * left, x * left, 1.0], model.weights), -30, 30)))
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.3) == int(r.doc_id < 60)
+
+
+def test_sample_covers_sparse_labels_and_long_texts(spark):
+    rng = random.Random(0)
+    words = [["".join(rng.choices("bcdfg", k=5)) for _ in range(300)], ["".join(rng.choices("aeiou", k=5)) for _ in range(300)]]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[i % 2], k=2000))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, i % 2) for i in range(1000, 6000)], "doc_id long, label int")
+    model = quality.fit(docs, labels, per_class=18, sample_bytes=2500)
+    # all 40 labels with a document are sampled, not the 5000 without one, and so are texts longer than sample_bytes
+    assert len(model.good) > 100 and len(model.bad) > 100 and model.weights[0] > 0
+
+
+def test_keep_good(spark, sf_dir):
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    odd = docs.withColumns({"_": F.lit(1), "score": F.lit("own"), "predicted": F.lit(None).cast("int"), "label": F.lit("l")})
+    odd = odd.unionByName(odd.limit(2).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")})).unionByName(odd.limit(3))
+    model = quality.fit(odd, quality.training_labels(labels))
+    kept, scored = quality.keep_good(odd, labels), quality.classify(odd.drop("score", "predicted"), model)
+    assert kept.columns == odd.columns and {r.score for r in kept.collect()} == {"own"}
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in scored.where("predicted = 1").collect())
+    assert quality.keep_good(odd.where("1 = 0"), labels).count() == 0
+
+
 # sharding
 
 
@@ -364,6 +422,9 @@ def test_sharding(spark, sf_dir, odd, empty):
     assert len(rows) == len(docs) and all(len(g) == 1 for g in groups.values()) and set(shards) <= set(range(24))
     assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in shards.values())
     assert max(sum(r["size"] for r in own) for own in shards.values()) <= brute_capacity([s for _, s in sorted(order.values())], 24)
+    copies = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("same")).alias("text")).withColumnRenamed("id", "doc_id")
+    many = sharding.shard_contiguous(copies.unionByName(spark.range(3000, 3100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))), 4).collect()
+    assert len(many) == 3100 and len({r.shard for r in many if r.text_crc32 == zlib.crc32(b"same")}) == 1 and len({r.shard for r in many if r["size"] == 8}) == 1
     out = sharding.shard_contiguous(odd, 4).collect()
     assert len(out) == len(ODD) and len({r.shard for r in out if r.text_crc32 == zlib.crc32(ODD[0][1].encode())}) == 1
     assert sharding.shard_contiguous(empty, 4).count() == 0
@@ -391,11 +452,22 @@ def test_reply_trees(spark):
     got = {k: [n for _, n in sorted(v)] for k, v in paths.items()}
     assert got == {("t", 3): [1, 3], ("t", 4): [1, 2, 4], ("t", 5): [1, 2, 5], ("u", 1): [1]}
     assert {(r.tree, r.leaf) for r in chat.reply_paths(df, top=1).collect()} == {("t", 5), ("u", 1)}
+    # a cycle with a tail, beside a tree: nothing that hangs from the cycle is in a path
+    loop = spark.createDataFrame([("z", 1, 2, 1.0), ("z", 2, 1, 1.0), ("z", 3, 1, 1.0), ("z", 4, 3, 1.0), ("z", 5, None, 1.0), ("z", 6, 5, 1.0)], df.schema)
+    assert sorted((r.leaf, r.node, r.back) for r in chat.reply_paths(loop).collect()) == [(6, 5, 1), (6, 6, 0)]
     deep = spark.range(70).select(F.lit("d").alias("tree"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
     assert chat.reply_paths(deep).count() == 70
     assert chat.reply_paths(df.where("1 = 0")).count() == 0
 
 
+def test_best_branches(spark):
+    rows = [("t", 1, None, 1.0, "user", "q"), ("t", 2, 1, 5.0, "assistant", "good"), ("t", 3, 1, 2.0, "assistant", "bad"), ("t", 4, 1, 5.0, "assistant", "as good"), ("u", 1, None, None, "user", None)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, score double, role string, text string").withColumn("leaf", F.lit("clash"))
+    best = {(r.tree, r.leaf): r.n_turns for r in chat.format_paths(df, top=1).collect()}
+    assert best == {("t", 2): 2, ("u", 1): 1} and chat.format_paths(df, top=2).count() == 3
+    assert chat.format_paths(df.where("1 = 0"), top=1).count() == 0
+
+
 def test_chat_odd_turns(spark):
     rows = [(1, 0, "user", None), (1, None, None, "x"), (None, 0, "assistant", "y"), (1, 0, "user", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit("clash"))
@@ -493,9 +565,9 @@ def test_near_vectors(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((20, 24))
     rows = [(i, (centres[i % 20] + rng.standard_normal(24) * (0.05 + 0.02 * (i % 5))).tolist()) for i in range(300)]
-    rows += [(300, None), (301, [0.0] * 24), (302, [float("nan")] + [1.0] * 23), (303, [None] + [1.0] * 23), (304, []), (305, [1.0, 2.0]), (306, [2.0, 4.0]), (307, rows[0][1]), (308, [float("inf")] * 24), (None, rows[0][1])]
+    rows += [(300, None), (301, [0.0] * 24), (302, [float("nan")] + [1.0] * 23), (303, [None] + [1.0] * 23), (304, []), (305, [1.0, 2.0]), (306, [2.0, 4.0]), (307, rows[0][1]), (308, [float("inf")] * 24), (None, rows[0][1]), (310, [1e200, 2e200]), (311, [1e-200, 2e-200]), (312, [3e-310, 6e-310])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))
-    ok = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    ok = [(i, np.array(v) / max(map(abs, v))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     n, root = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
     for _ in range(3):
         for i, x in ok:
@@ -518,6 +590,13 @@ def test_components(spark):
     assert common.components(edges.where("1 = 0")).count() == 0
 
 
+def test_join_groups(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 50 else None) for i in range(2500)] + [(9000 + i, 99) for i in range(1500)], "id long, k long")
+    groups = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = {r.id: r.least for r in common.join_groups(rows, groups, ["k"], "n", 4000).collect()}
+    assert got == {r.id: r.k if r.k < 99 else 9000 for r in rows.collect() if r.k is not None} or len(got) == 3950
+
+
 # decontamination
 
 
@@ -578,4 +657,20 @@ def test_pipeline(spark, sf_dir):
     for r in kept[4].collect():
         assert r.text == pii.redact(texts[r.doc_id], pii.spans_of(texts[r.doc_id])) and r.n_chars == len(r.text)
     packed = P.STAGES[-1][1](spark, kept[4], sf_dir).collect()
+    check_packed(P.packing.pack(kept[4], BYTE, 2).collect(), {r.doc_id: r.text for r in kept[4].collect()}, tokens.load_codec(BYTE), 1024, 2)
     assert {r.doc_id for r in packed} == ids[4]
+    model = quality.fit(docs, quality.training_labels(common.table(spark, sf_dir, "labels")))
+    assert ids[1] == {r.doc_id for r in quality.classify(docs, model).where("score >= 0.3").collect()}
+    again = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in P.run(spark, sf_dir).collect())
+    assert again == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
+
+
+def test_stages_on_odd_input(spark, sf_dir, odd, empty):
+    import corpus_pipeline as P
+
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+    for _, stage in P.STAGES[1:4]:
+        out = stage(spark, odd.withColumns({"_": F.lit(1), "gone": F.lit(2), "doc": F.lit(3), "n_chars": F.lit(0).cast("long")}), sf_dir)
+        assert out.columns[:2] == ["doc_id", "text"] and {*out.columns} == {*odd.columns, "_", "gone", "doc", "n_chars"} and out.count() >= 8
+    assert P.STAGES[4][1](spark, odd, sf_dir).select("doc_id").distinct().count() == 11
