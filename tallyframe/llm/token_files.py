@@ -72,24 +72,32 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate([np.zeros(1, np.uint32), ends])
 
 
+def bit_widths(values: np.ndarray) -> np.ndarray:
+    """Bits of each number (unsigned 64-bit); 0 has none."""
+    low = np.frexp((values & np.uint64((1 << 32) - 1)).astype(np.float64))[1]
+    high = np.frexp((values >> np.uint64(32)).astype(np.float64))[1] if values.max(initial=0) >> 32 else 0
+    return np.where(high, high + 32, low).astype(np.uint8)
+
+
 def _best_selectors(grid: np.ndarray) -> np.ndarray:
     """For each lane and place, the selector that packs most of the following ids."""
-    width = LANE
-    best = np.full((len(grid), width), ESCAPE, np.int8)
-    top = int(grid.max())
-    place = np.arange(grid.shape[1], dtype=np.int16)
-    small = grid.astype(np.uint32) if top < 1 << 32 else grid
+    best = np.full((len(grid), LANE), ESCAPE, np.int8)
+    wide = {1: bit_widths(grid)}  # the most bits of each n ids in a row, from those of fewer
     for s in range(15, -1, -1):
         n, bits = SELECTORS[s]
         if s == ESCAPE:
             continue
-        if top < 1 << bits:
+        half = 1
+        while half < n:
+            step = min(half, n - half)
+            if half + step not in wide:
+                wide[half + step] = np.maximum(wide[half][:, :-step], wide[half][:, step:])
+            half += step
+        fits = wide[n][:, :LANE] <= bits
+        if fits.all():
             best[:] = s
-            continue
-        wide = small[:, : width + n] >= small.dtype.type(1 << bits)
-        # the next id that is too wide, at or after each place
-        after = np.minimum.accumulate(np.where(wide, place[: width + n], np.int16(width + n))[:, ::-1], axis=1)[:, ::-1]
-        best[after[:, :width] - place[:width] >= n] = s
+        else:
+            best[fits] = s
     return best
 
 
