@@ -66,13 +66,16 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K
 
     items: (item_id, text). Null text has no words; items without words hit nothing. Rows that repeat a doc_id are one
     document, with the most words of them and the hits of all; items that repeat an item_id likewise. Rows without a
-    doc_id are one document for each text, told apart by `key` (see row_key), which is null for all others. Extra columns
-    are not carried.
+    doc_id are one document for each text, told apart by `key` (see row_key), which is null for all others. Very long
+    texts are read whole; a window that several items have is a hit of each of them (ties). An empty table of documents
+    gives no counts and no hits, an empty table of items no hits. Extra columns, whatever their names, are not carried.
     """
     spark = docs.sparkSession
     items = items.select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    bench = common.written(items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).select(F.xxhash64(F.col("item_id").cast("string"), "words").alias("item"), "item_id", "words"), "items")
+    bench = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    bench = common.written(bench.select(F.monotonically_increasing_id().alias("item"), "item_id", "words"), "items")
     sized = bench.withColumn("n", F.size("words"))
+    n_words = sized.agg(F.sum("n")).first()[0] or 0
     short = sorted(r.n for r in sized.where(F.col("n") < span).select("n").distinct().collect())  # span - 1 rows at most
     # marks: (mark, item, q, k): an item's chosen hashes and where they stand; whole short items are their only mark
     marks = common.written(
@@ -96,19 +99,21 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K
 
     maybe = counts.where("known = 1").select(F.col("doc").alias("d"), F.col("key").alias("k"))
     maybe = common.small(maybe, maybe.count(), MOST_BROADCAST)
-    near = common.written(own.join(maybe, F.col("doc").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k")), "left_semi").select("doc", "key", words_of(F.col("text")).alias("words")), "maybe")
-    row = near.select(F.xxhash64("doc", "key", "words").alias("row"), "doc", "key", "words").dropDuplicates(["row"])
+    near = own.join(maybe, F.col("doc").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k")), "left_semi").select("doc", "key", words_of(F.col("text")).alias("words")).distinct()
+    row = common.written(near.select(F.monotonically_increasing_id().alias("row"), "doc", "key", "words"), "maybe")
     keyed = row.select(F.col("row").alias("doc"), "words")
     anchors = reduce(DataFrame.unionByName, [_anchors(keyed, marks.where(F.col("k") == n).select("mark", "item", "q"), n_marks, n) for n in sorted({k, *short})])
     # along each alignment, the windows of the item that the document holds in full
-    both = anchors.withColumnRenamed("doc", "row").join(row, "row").join(common.small(bench.select("item", "item_id", F.col("words").alias("own")), n_marks, MOST_BROADCAST), "item")
+    both = anchors.withColumnRenamed("doc", "row").join(row, "row").join(common.small(bench.select("item", "item_id", F.col("words").alias("own")), n_words, MOST_BROADCAST), "item")
     length = F.least(F.size("own"), F.lit(span))
     at = lambda j: F.get(F.col("words"), F.col("shift") + j)
     equal = F.transform(F.col("own"), lambda v, j: (F.col("shift") + j >= 0) & at(j).eqNullSafe(v))
     starts = let(equal, lambda e: F.filter(F.sequence(F.lit(0), F.size("own") - length), lambda j: ~F.array_contains(F.slice(e, j + 1, length), False)))
     hits = both.select("doc", "key", "item_id", "shift", length.alias("length"), F.explode(starts).alias("j"))
     hits = hits.select("doc", "key", "item_id", (F.col("shift") + F.col("j")).alias("pos"), F.col("length")).distinct()
-    return counts.select("doc", "key", "n_words"), common.written(hits, "hits")
+    hits = common.written(hits, "hits")
+    common.forget(bench, marks, row)
+    return counts.select("doc", "key", "n_words"), hits
 
 
 def row_key(doc: Column, text: Column) -> Column:
@@ -147,11 +152,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no window of an item; a row without an id is judged by its own text."""
+    """The documents that hold no window of an item; a row without an id is judged by its own text.
+
+    Null and empty texts stay. Of rows that repeat an id, all go if one holds a window. All columns are kept, whatever
+    their names; an empty table gives an empty table. Up to MOST_BROADCAST contaminated ids are broadcast, so the texts
+    stay where they are.
+    """
     _, hits = contaminated(docs, items)
-    gone = hits.select("doc", F.col("key").alias("_key")).distinct()
+    gone = common.written(hits.select("doc", F.col("key").alias("_key")).distinct(), "gone")
+    common.forget(hits)
+    gone = common.small(gone, gone.count(), MOST_BROADCAST)
     same = docs["doc_id"].eqNullSafe(gone["doc"]) & row_key(docs["doc_id"], docs["text"]).eqNullSafe(gone["_key"])
-    return docs.join(gone, same, "left_anti").select(docs.columns)
+    return docs.join(gone, same, "left_anti")
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}
