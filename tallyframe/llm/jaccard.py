@@ -178,12 +178,24 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Digests that a task remembers, to sign copies in it once.
+SEEN = 200_000
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 2, k2: int = 1, ratio: float = 1.25) -> DataFrame:
     """(doc, n_shingles, component): components of the documents whose sets of word n-grams have a Jaccard similarity of
     at least num / den; component is the smallest id reached.
 
     Empty and null texts have no shingles and link with nothing. Rows that repeat an id are one document with several
-    texts: each keeps its row, all are in one component. A null id has a null component. Extra columns are not carried.
+    texts: each keeps its row, all are in one component. A null id has a null component. Very long texts are read whole.
+    Pairs at the bound exactly (ties) link. Extra columns, whatever their names, are not carried. An empty table gives an
+    empty table.
+    """
+    return _components(docs, n, num, den, id_col, text_col, parts, k2, ratio)[0]
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", parts: int = 2, k2: int = 1, ratio: float = 1.25) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of jaccard_components and the written steps it still reads.
 
     Sets are signed and compared by class, the digest (hi, lo) of their elements; ids come in when classes are tied.
     """
@@ -204,26 +216,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                     s = shingles(text.as_py(), n)
                     # copies within a task sign once, so a group of copies adds a row for each task at most
                     if doc is not None and len(s) and (mark := digest(s)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(mark)
                         found.append(own.signatures(s))
-                        marks.append(np.tile(np.array(mark, np.int64), (len(found[-1]), 1)))
+                        marks.append(np.full(len(found[-1]), mark[0]))
                 if found:
-                    both = np.concatenate(marks)
-                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["sig", "hi", "lo"])
+                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(marks))], names=["sig", "hi"])
 
     rows = _rows(docs, id_col, text_col)
     sets = common.written(rows.mapInArrow(sized, "doc long, n_shingles long, hi long, lo long, sketch binary"), "sets")
     # classes: equal sets, by a number, with the smallest id of their documents
-    classes = sets.where("hi is not null and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    classes = sets.where("hi is not null and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = common.written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    marks = classes.select("hi", "lo", "class", "size")
-    copies = common.written(sets.select("doc", "hi", "lo").join(marks.drop("size"), ["hi", "lo"]).select("doc", "class"), "copies")
-    # buckets of two classes or more; the exchange by signature is the only one of all signatures
-    signs = rows.mapInArrow(signed, "sig long, hi long, lo long").select("sig", F.struct("hi", "lo").alias("mark"))
-    buckets = common.written(_shared(signs, "mark").select("sig", "mark.hi", "mark.lo"), "buckets")
+    marks = classes.select("hi", "class", "size")
+    n_rows = classes.agg(F.sum("copies")).first()[0] or 0
+    named = common.join_groups(sets.where("hi is not null and doc is not null").select("doc", "hi", "lo"), classes.select("hi", "lo", "class", "copies"), ["hi", "lo"], "copies", n_rows)
+    copies = common.written(named.select("doc", "class"), "copies")
+    # buckets of two classes or more; the exchange by signature is the only one of all signatures, so that half of the
+    # digest stands for a class there: classes that have it in common are all taken for members
+    shared = common.written(_shared(rows.mapInArrow(signed, "sig long, hi long"), "hi").select("sig", "hi"), "buckets")
     # of copies signed in several tasks, one row stays
-    buckets = common.written(_shared(buckets.join(marks, ["hi", "lo"]).select("sig", F.col("class").alias("doc"), "size").distinct(), "doc"), "buckets")
-    return _finish(rows, sets, classes, copies, buckets, n, num, den)
+    buckets = common.written(_shared(shared.join(marks, "hi").select("sig", F.col("class").alias("doc"), "size").distinct(), "doc"), "buckets")
+    common.forget(shared)
+    return _finish(rows, sets, classes, copies, buckets, n_rows, n, num, den)
 
 
 def _shared(rows: DataFrame, col: str) -> DataFrame:
@@ -234,8 +250,8 @@ def _shared(rows: DataFrame, col: str) -> DataFrame:
     return rows.withColumns({"first": F.min(col).over(each), "last": F.max(col).over(each)}).where("first < last").drop("last")
 
 
-def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFrame, buckets: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Components of all documents, from the buckets of signatures that their classes share; but for the last step, `doc`
+def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFrame, buckets: DataFrame, n_rows: int, n: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Components of all documents and the written steps they still read, from the buckets of signatures that their classes share; but for the last step, `doc`
     is a class."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +262,8 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
                 for text in batch.column(1)[at : at + 500]:
                     s = shingles(text.as_py(), n)
                     if len(s) and (mark := digest(s)) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(mark)
                         marks.append(mark)
                         found.append(s.tobytes())
@@ -258,7 +276,9 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
         count = some.count()
         ids = common.small(some.select(F.col("rep").alias("m")).distinct(), count, MOST_BROADCAST)
         found = rows.join(ids, F.col("doc") == F.col("m"), "left_semi").mapInArrow(as_sets, "hi long, lo long, set binary")
-        return common.written(found.join(common.small(some.drop("rep"), count, MOST_BROADCAST), ["hi", "lo"]).select("doc", "set"), "whole-sets")
+        out = common.written(found.join(common.small(some.drop("rep"), count, MOST_BROADCAST), ["hi", "lo"]).select("doc", "set"), "whole-sets")
+        common.forget(some)
+        return out
 
     def cells(column) -> np.ndarray:
         return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(-1, 1 << CELL_BITS)
@@ -292,11 +312,17 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
         return pa.table({"a": ids[root[some]], "b": ids[some]})
 
     def tiles(family: DataFrame, elements: int) -> DataFrame:
-        """(first, i, j, doc, component, size): families in more than one component, dealt out in tiles of two chunks."""
-        apart = family.groupBy("first").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.sum("size") / elements).cast("int").alias("chunks")).where("x < y").select("first", "chunks")
-        chunk = F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")
-        dealt = family.join(apart, "first").select("first", "doc", "component", "size", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
-        return dealt.select("first", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "doc", "component", "size")
+        """(first, i, j, doc, component, size): families in more than one component, dealt out in tiles. The largest
+        component's members needn't meet each other: chunks of the others meet chunks of all."""
+        each = family.groupBy("first", "component").agg(F.sum("size").alias("n"))
+        whole = each.groupBy("first").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where("k > 1")
+        chunks = whole.select("first", F.col("main.component").alias("main"), *(F.ceil(n / elements).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "rows"), (F.col("all"), "columns"))))
+        at = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
+        dealt = family.join(chunks, "first").withColumns({"i": at("rows"), "j": at("columns")})
+        across = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j")))
+        along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j")))
+        places = F.when(F.col("component") == F.col("main"), across).otherwise(F.array_union(across, along))
+        return dealt.select("first", F.explode(places).alias("at"), "doc", "component", "size").select("first", "at.i", "at.j", "doc", "component", "size")
 
     # an id that repeats with other texts ties their classes
     repeated = copies.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("doc", "a")
@@ -309,24 +335,31 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
     own = whole(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     both = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     links = common.written(links.union(both.mapInArrow(compared, "a long, b long")), "links")
-    member = common.components(links, "near").select(F.col("node").alias("doc"), "component")
+    common.forget(own, pairs)
+    known = common.components(links, "near")
+    member = known.select(F.col("node").alias("doc"), "component")
     # then whatever shares a bucket and is still apart: buckets with the same first class make a family. Sketches
     # show which members can't be similar to any in another component; the rest are compared in tiles of bounded size,
     # which return a forest of their links
     family = buckets.select("first", "doc", "size").union(buckets.where("doc = first").select("first", "doc", "size")).distinct()
-    family = family.join(member, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    family = common.written(family.join(member, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "families")
     dealt = tiles(family, TILE).join(sketches.select("doc", "sketch"), "doc")
     rest = common.written(dealt.groupBy("first", "i", "j").applyInArrow(undecided, "first long, doc long, component long, size long").distinct(), "undecided")
+    common.forget(buckets, family, known)
     own = whole(rest.select("doc").distinct())
     more = tiles(rest, TILE).join(own, "doc").groupBy("first", "i", "j").applyInArrow(joined, "a long, b long")
-    links = common.written(links.union(more), "links")
-    member = common.components(links, "near").select(F.col("node").alias("class"), "component")
+    all_links = common.written(links.union(more), "links")
+    common.forget(links, rest, own)
+    known = common.components(all_links, "near")
+    member = known.select(F.col("node").alias("class"), "component")
     # a component of classes has the smallest id of any of its documents
-    told = classes.join(member, "class", "left").select("class", "rep", F.coalesce("component", "class").alias("group"))
+    told = classes.join(member, "class", "left").select("class", "rep", "copies", F.coalesce("component", "class").alias("group"))
     least = told.groupBy("group").agg(F.min("rep").alias("component"))
-    told = common.written(told.join(least, "group").select("class", "component"), "told")
-    found = copies.join(told, "class").groupBy("doc").agg(F.min("component").alias("component"))
-    return sets.select("doc", "n_shingles").join(found, "doc", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
+    told = common.written(told.join(least, "group").select("class", "copies", "component"), "told")
+    common.forget(all_links, known, classes)
+    found = common.join_groups(copies, told, ["class"], "copies", n_rows).groupBy("doc").agg(F.min("component").alias("component"))
+    out = sets.select("doc", "n_shingles").join(found, "doc", "left").select("doc", "n_shingles", F.coalesce("component", "doc").alias("component"))
+    return out, [sets, copies, told]
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,17 +370,25 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each component: the one with the smallest id. Documents without words or without an id all stay.
 
-    Of rows with the same id and the same text, one stays; different texts of the id that stays all do.
+    Of rows with the same id and the same text, one stays; different texts of the id that stays all do. All columns are
+    kept, whatever their names; an empty table gives an empty table. Up to MOST_BROADCAST ids that go are broadcast, so
+    the texts stay where they are.
     """
-    found = common.written(jaccard_components(docs, n, num, den, ratio=1.4).where("n_shingles > 0 and doc is not null"), "found")
-    gone = found.where("doc <> component").select(F.col("doc").alias("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc = component").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("doc_id"))
-    again = common.small(again, again.count(), MOST_BROADCAST)
-    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    several = left.join(again, "doc_id", "left_semi")
+    components, steps = _components(docs, n, num, den, ratio=1.4)
+    found = common.written(components.where("n_shingles > 0 and doc is not null"), "found")
+    common.forget(*steps)
+    gone = common.written(found.where("doc <> component").select("doc").distinct(), "gone")
+    gone = common.small(gone, gone.count(), MOST_BROADCAST)
+    left = docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti")
+    again = common.written(found.where("doc = component").groupBy("doc").count().where("count > 1").select("doc"), "again")
+    common.forget(found)
+    if not (n_again := again.count()):
+        return left
+    again = common.small(again, n_again, MOST_BROADCAST)
+    words = F.coalesce(docs["text"].cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    several = left.join(again, docs["doc_id"] == again["doc"], "left_semi")
     once = several.where(words).dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(several.where(~words)).unionByName(once).select(docs.columns)
+    return left.join(again, docs["doc_id"] == again["doc"], "left_anti").unionByName(several.where(~words)).unionByName(once)
 
 
 QUERIES = {"op3_jaccard": op3_jaccard}
