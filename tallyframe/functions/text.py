@@ -52,24 +52,30 @@ def strip_accents(text: Column | str) -> Column:
     return fold(text)
 
 
-def fold_accents(text: Column, letters: str, plain_letters: str) -> Column:
-    """Built-in stand-in for strip_accents over a known alphabet."""
-    return F.translate(text, letters, plain_letters)
+#: What \\s matches in a text.
+_SPACE = " \t\n\x0b\f\r"
 
 
-def _marker(word: str) -> str:
-    return f"(?<![a-z]){re.escape(plain(word))}(?![a-z])"
+def _has_word(text: Column, word: str) -> Column:
+    """Whether a word stands in a text, not within others. Most texts lack most words, which a plain search tells."""
+    return F.contains(text, F.lit(plain(word))) & F.regexp_like(text, F.lit(f"(?<![a-z]){re.escape(plain(word))}(?![a-z])"))
 
 
 def detect_language(text: Column, folded: Column, markers: dict[str, list[str]] | None = None) -> Column:
     """Language of a text: one of the scripts if over 30 % of its letters are of it, else the language of which most
     markers occur (each counts once) in `folded`, its lower-case text without accents; none or a tie: unk."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    script = F.coalesce(*[F.when(F.try_divide(F.regexp_count(text, F.lit(p)), letters) > 0.30, F.lit(lang)) for lang, p in SCRIPTS.items()])
-    votes = [(lang, reduce(lambda a, b: a + b, [F.regexp_like(folded, F.lit(_marker(w))).cast("int") for w in words])) for lang, words in (markers or MARKERS).items()]
-    ranked = F.reverse(F.array_sort(F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in votes])))
-    best = F.element_at(F.transform(F.array(ranked), lambda r: F.when((r[0]["n"] > 0) & (r[0]["n"] > r[1]["n"]), r[0]["lang"]).otherwise("unk")), 1)
-    return F.when(F.coalesce(text, F.lit("")) == "", "unk").otherwise(F.coalesce(script, best))
+    count = lambda letters: F.length(F.regexp_replace(text, F.lit(f"[^{letters}]+"), F.lit("")))
+    own = {lang: p.strip("[]") for lang, p in SCRIPTS.items()}
+    over = lambda n: F.coalesce(*[F.when(F.try_divide(count(p), n) > 0.30, F.lit(lang)) for lang, p in own.items()])
+    # letters are counted only where a text has one of these scripts
+    script = F.when(F.regexp_like(text, F.lit(f"[{''.join(own.values())}]")), bound(count(r"\p{L}"), over))
+
+    def most(f: Column) -> Column:
+        votes = [(lang, reduce(lambda a, b: a + b, [_has_word(f, w).cast("int") for w in words])) for lang, words in (markers or MARKERS).items()]
+        ranked = F.reverse(F.array_sort(F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in votes])))
+        return bound(ranked, lambda r: F.when((r[0]["n"] > 0) & (r[0]["n"] > r[1]["n"]), r[0]["lang"]).otherwise("unk"))
+
+    return F.when(F.coalesce(text, F.lit("")) == "", "unk").otherwise(F.coalesce(script, bound(folded, most)))
 
 
 _MARK = "\u0001"
@@ -93,9 +99,10 @@ def split_sections(folded: Column, sections: dict[str, str] | None = None) -> Co
 
     def joined(kept: Column) -> Column:
         whole = lambda n: F.array_join(F.transform(F.filter(kept, lambda h: h["section"] == n), lambda h: h["text"]), "\n")
-        return F.transform(F.array_distinct(F.transform(kept, lambda h: h["section"])), lambda n: F.struct(n.alias("section"), F.regexp_replace(whole(n), r"^\s+|\s+$", "").alias("text")))
+        return F.transform(F.array_distinct(F.transform(kept, lambda h: h["section"])), lambda n: F.struct(n.alias("section"), F.btrim(whole(n), F.lit(_SPACE)).alias("text")))
 
-    return bound(F.split(marked, _MARK), lambda parts: bound(pairs(parts), joined))
+    # a header ends in a colon
+    return bound(F.split(F.when(F.contains(folded, F.lit(":")), marked).otherwise(folded), _MARK), lambda parts: bound(pairs(parts), joined))
 
 
 def bound(value: Column, body) -> Column:
@@ -105,7 +112,7 @@ def bound(value: Column, body) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Sentences between full stops, semicolons and line feeds, trimmed, without empty ones."""
-    parts = F.transform(F.split(text, r"[.;\n]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, r"[.;\n]+"), lambda s: F.btrim(s, F.lit(_SPACE)))
     return F.filter(parts, lambda s: s != "")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import joint_band, number, prevalence_band
+from ..steps import written
 
 #: Fixed values.
 PAIRS = (("ACL", "Contusion"), ("Medial Meniscus", "Medial OA"), ("Lateral Meniscus", "Lateral OA"))
@@ -88,7 +89,9 @@ def capped(rows: DataFrame, limits: DataFrame, most: int | None = None) -> DataF
     step = F.when(F.col("given") == 0, 1).otherwise(-1)
     flips = rows.where("flag").join(F.broadcast(limits), "label").where("positives between low and high")
     flips = flips.select("id", "label", (-F.abs(F.col("p") - 0.5)).alias("_conf"), step.alias("step"), "low", "high", "positives")
-    flips = flips.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
+    # written, as all uses must see the same ranges; read again, a range is in one task and in order
+    flips = written(flips.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "flips")
+    flips = flips.repartition("_part").sortWithinPartitions("_part", *order)
 
     def folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[tuple, list] = {}
@@ -106,21 +109,21 @@ def capped(rows: DataFrame, limits: DataFrame, most: int | None = None) -> DataF
     starts = held.select("label", F.explode(walked).alias("s")).select("label", F.col("s.part").alias("_part"), F.col("s.start").alias("start"))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at: dict[str, int] = {}
+        at: dict[tuple, int] = {}
         for f in frames:
-            f = f.sort_values(["label", "_conf", "id"], kind="stable")
+            f = f.sort_values(["_part", "label", "_conf", "id"], kind="stable")
             out = []
-            for label, s, low, high, start in zip(f["label"], f["step"], f["low"], f["high"], f["start"], strict=True):
-                x = at.get(label, start) + s
+            for part, label, s, low, high, start in zip(f["_part"], f["label"], f["step"], f["low"], f["high"], f["start"], strict=True):
+                x = at.get((part, label), start) + s
                 ok = low <= x <= high
-                at[label] = x if ok else x - s
+                at[part, label] = x if ok else x - s
                 out.append(ok)
             yield f.assign(accepted=out)[["id", "label", "_conf", "accepted"]]
 
     kinds = dict(flips.dtypes)
     # a map-side join: the rows of a range keep their order
     placed = flips.join(F.broadcast(starts), ["label", "_part"])
-    done = placed.select("id", "label", "_conf", "step", "low", "high", "start").mapInPandas(walk, f"id {kinds['id']}, label string, _conf double, accepted boolean").where("accepted")
+    done = placed.select("_part", "id", "label", "_conf", "step", "low", "high", "start").mapInPandas(walk, f"id {kinds['id']}, label string, _conf double, accepted boolean").where("accepted")
     if most is not None:
         done = done.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_conf", "id"))).where(F.col("_r") <= most)
     return rows.join(done.select("id", "label", "accepted"), ["id", "label"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
@@ -198,7 +201,7 @@ def run_corrections(rows: DataFrame, weights: DataFrame, gold: DataFrame, pairs:
     gold: (id) of rows never corrected, whose positives also say which labels have few. identity: a round that changes
     nothing. Both labels of a pair whose flips drift together get their old values back.
     """
-    base = prepared(rows).persist()
+    base = written(prepared(rows), "prepared")
     limits = bands(base, weights)
     if identity:
         flagged = base.withColumn("flag", F.lit(False))
@@ -206,7 +209,7 @@ def run_corrections(rows: DataFrame, weights: DataFrame, gold: DataFrame, pairs:
     else:
         cuts = thresholds(base, weights, positive_counts(base, gold))
         flagged = candidates(base, cuts).join(gold.select("id", F.lit(True).alias("_gold")).distinct(), "id", "left").withColumn("flag", F.col("flag") & F.col("_gold").isNull()).drop("_gold")
-    done = capped(flagged, limits, most).persist()
+    done = written(capped(flagged, limits, most), "capped")
     kept, joint = enforce_joint_bands(done, pairs)
     drift = codrift(kept, pairs)
     paused = drift.where("flagged").select(F.explode(F.array("first", "second")).alias("label"), F.lit(True).alias("paused")).distinct()

@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import bce
+from .ranks import joined, running_total
 from .splits import placed
 
 
-def auc_by(scores: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def auc_by(scores: DataFrame, keys: list[str], y: str = "y", p: str = "p", many: bool = False) -> DataFrame:
     """(keys, n_pos, n_neg, auc): area under the ROC curve with ties counted half; null where a class is missing.
 
-    Rows are first counted by score, so the window over a label holds distinct scores, not rows, and the counting is
-    combined on the map side however few labels there are.
+    Rows are first counted by score, combined on the map side however few labels there are; the counts are then summed
+    along the order of scores by ranges, so that a label of many distinct scores isn't one task. `many` is for keys
+    that are themselves many, with few rows each: there a window over each key sums them.
     """
     counts = scores.groupBy(*keys, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
-    won = counts.withColumn("won", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    if many:
+        below = F.sum("neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("below", F.coalesce(below, F.lit(0)))
+    else:
+        counts = running_total(counts, [*keys, p], "neg", "before")
+        counts = joined(counts, counts.groupBy(*keys).agg(F.min("before").alias("first")), keys).withColumn("below", F.col("before") - F.col("first"))
+    won = counts.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     total = won.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
     return total.select(*keys, "n_pos", "n_neg", F.when(pairs > 0, F.col("won") / pairs).alias("auc"))
@@ -67,7 +74,7 @@ def bootstrap_agreement(scores: DataFrame, draws: int, seed: int = 2026) -> Data
     both = F.explode(F.array(F.struct(F.lit("prev").alias("which"), F.col("prev").alias("p")), F.struct(F.lit("new").alias("which"), F.col("new").alias("p"))))
 
     def change(df: DataFrame, keys: list[str]) -> DataFrame:
-        aucs = auc_by(df.select(*keys, "y", both.alias("s")).select(*keys, "y", "s.which", "s.p"), [*keys, "which"])
+        aucs = auc_by(df.select(*keys, "y", both.alias("s")).select(*keys, "y", "s.which", "s.p"), [*keys, "which"], many="draw" in keys)
         return aucs.groupBy(*keys).agg((F.sum(F.when(F.col("which") == "new", F.col("auc"))) - F.sum(F.when(F.col("which") == "prev", F.col("auc")))).alias("d"))
 
     point = change(rows, ["label"]).withColumnRenamed("d", "point")

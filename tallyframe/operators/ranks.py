@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import written
+
+
+def running_total(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """rows with the sum of `value` over all rows before each in a total order.
+
+    Rows are dealt out by ranges of the order and summed in each; a row for each range holds the sum of those before it.
+    So no task sees all rows. The ranges are written, as both uses must see the same ones.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    parts = parts.select("_part", F.coalesce(F.sum("_sum").over(before.orderBy("_part")), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(value).over(before.partitionBy("_part").orderBy(*order)), F.lit(0))
+    return dealt.join(F.broadcast(parts), "_part").withColumn(out, F.col("_before") + own).drop("_part", "_before")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, a row for each key; a null key equals a null key."""
+    right = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys])
+    return left.join(right, same).drop(*[f"_{k}" for k in keys])
+
 
-def average_rank(keys: list[str], value: str) -> Column:
-    """1-based rank of value within keys, ties averaged; both windows share one exchange on keys."""
-    own = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(own.partitionBy(*keys, value))
-    return F.rank().over(own.orderBy(value)) + (ties - 1) / 2
+def with_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with `avg_rank`, the 1-based rank of value within keys, ties averaged, and `n`, the rows of its keys.
+
+    Rows are counted by value first; the counts are summed along the order of (keys, value) by ranges, so neither a key
+    with most of the rows nor a single key makes one task. Nulls rank first and tie with each other.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    told = running_total(counts, [*keys, value], "_n", "_below")
+    whole = told.groupBy(*keys).agg(F.min("_below").alias("_first"), F.sum("_n").alias("n"))
+    told = joined(told, whole, keys).select(*keys, value, "n", (F.col("_below") - F.col("_first") + (F.col("_n") + 1) / 2).alias("avg_rank"))
+    return joined(rows, told, [*keys, value])
 
 
-def percentile_rank(keys: list[str], value: str) -> Column:
-    """average_rank over the number of rows, in (0, 1]."""
-    return average_rank(keys, value) / F.count(F.lit(1)).over(Window.partitionBy(*keys))
+def percentile() -> Column:
+    """A row's share of its group, in (0, 1], from the columns of with_ranks."""
+    return F.col("avg_rank") / F.col("n")
 
 
-def fold_rank(keys: list[str], value: str) -> Column:
-    """average_rank scaled to 0..1; the value itself where a group has one row."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return F.when(n > 1, F.try_divide(average_rank(keys, value) - 1, n - 1)).otherwise(F.col(value))
+def fold_rank(value: str) -> Column:
+    """avg_rank scaled to 0..1, from the columns of with_ranks; the value itself where a group has one row."""
+    return F.when(F.col("n") > 1, F.try_divide(F.col("avg_rank") - 1, F.col("n") - 1)).otherwise(F.col(value))
 
 
 def rank_average(scores: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -29,9 +59,9 @@ def rank_average(scores: DataFrame, weights: DataFrame | None = None) -> DataFra
 
     weights: (member, w), few rows; members without one weigh 1. Equal scores of a member share a rank.
     """
-    ranked = scores.select("member", "id", "label", percentile_rank(["member", "label"], "p").alias("r"))
+    ranked = with_ranks(scores.select("member", "id", "label", "p"), ["member", "label"], "p").select("member", "id", "label", percentile().alias("r"))
     if weights is not None:
-        ranked = ranked.join(F.broadcast(weights), "member", "left")
+        ranked = ranked.join(weights, "member", "left")
     w = F.coalesce(F.col("w"), F.lit(1.0)) if weights is not None else F.lit(1.0)
     return ranked.groupBy("id", "label").agg((F.sum(F.col("r") * w) / F.sum(w)).alias("score"))
 

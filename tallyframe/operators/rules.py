@@ -25,7 +25,8 @@ def extract(reports: DataFrame, entries: list[tuple[str, str, str, str]] | None
     entries: (kind, label, language, pattern) of kinds term, pathology, negation and uncertainty; the patterns are
     literals of the plan, so each label's are compiled once for a task. A term makes a sentence count for its label; an
     uncertainty cue outranks a negation, that a finding. The impression decides where it mentions the label; else all
-    other sections together. Reports are exploded to sentences and come together once, by (id, language).
+    other sections together. Reports are exploded to sentences; only those that speak of a label, and a row for each report
+    and label, come together, once, by (id, language).
     """
     entries = entries or lexicon()
     langs = sorted({e[2] for e in entries if e[2] != "*"})
@@ -42,17 +43,20 @@ def extract(reports: DataFrame, entries: list[tuple[str, str, str, str]] | None
 
     base = reports.select("id", F.coalesce(F.col("report").cast("string"), F.lit("")).alias("report"))
     base = base.withColumn("folded", strip_accents("report")).withColumn("language", detect_language(F.col("report"), F.lower("folded"), markers))
-    parts = base.select("id", "language", F.posexplode_outer(split_sections(F.col("folded"), sections)).alias("s_no", "s"))
-    kept = parts.where(F.col("s.section").isNull() | ~F.col("s.section").isin(*EXCLUDED_SECTIONS))
+    told = F.filter(split_sections(F.col("folded"), sections), lambda s: ~s["section"].isin(*EXCLUDED_SECTIONS))
+    kept = base.select("id", "language", F.posexplode_outer(told).alias("s_no", "s"))
     lines = kept.select("id", "language", "s_no", F.col("s.section").alias("section"), F.posexplode_outer(split_sentences(F.col("s.text"))).alias("no", "sentence"))
-    norm = F.lower("sentence")
+    lines, norm = lines.withColumn("norm", F.lower("sentence")), F.col("norm")
+    # the first line of a report stands for it, whatever it says
+    heads = (F.coalesce("s_no", F.lit(0)) == 0) & (F.coalesce("no", F.lit(0)) == 0)
     cued = lines.select("id", "language", "s_no", "no", "section", "sentence", *[cues(k, norm, F.col("language")).alias(k) for k in ("uncertainty", "negation", "pathology")], F.array(*[terms(x, norm, F.col("language")) for x in labels]).alias("hits"))
     # 3 affirmed, 2 uncertain, 1 negated: the order in which sentences of a section outrank each other
     label_of = F.array(*[F.lit(x) for x in labels])
     evident = F.array(*[F.lit(x in self_evident) for x in labels])
     rank = lambda i: F.when(F.col("uncertainty"), 2).when(F.col("negation"), 1).when(F.get(evident, i) | F.col("pathology"), 3)
     said = F.transform("hits", lambda h, i: F.struct(F.get(label_of, i).alias("label"), F.when(h, rank(i)).alias("rank")))
-    long = cued.select("id", "language", "s_no", "no", "section", "sentence", F.explode(said).alias("m")).select("*", "m.label", "m.rank")
+    told = F.filter(said, lambda m: m["rank"].isNotNull() | heads)
+    long = cued.select("id", "language", "s_no", "no", "section", "sentence", F.explode(told).alias("m")).select("*", "m.label", "m.rank")
     place = F.struct("s_no", "no")
     grouped = long.groupBy("id", "language", "label").agg(
         F.max(F.when(F.col("section") == "impression", F.col("rank"))).alias("imp"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import group_key, hash_fold
+from ..steps import written
 
 
 def cv_splits(studies: DataFrame, folds: int, seed: int | str = 42, study: str = "study", patient: str = "patient", site: str = "site", language: str = "language") -> DataFrame:
@@ -24,9 +25,9 @@ def placed(rows: DataFrame, order: list, out: str) -> DataFrame:
     """rows with their place, from 0, in an order by columns.
 
     Rows are dealt out by ranges and numbered in each; a range's offset is the sum of the counts before it, a row for
-    each range. So no task sorts all rows. The numbered ranges are kept, as both uses must see the same ones.
+    each range. So no task sorts all rows. The numbered ranges are written, as both uses must see the same ones.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "placed")
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

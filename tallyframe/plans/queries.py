@@ -397,8 +397,8 @@ def agg26_bootstrap_whole(spark, d):
 
 @query("WITH " + B.MEMBERS + " SELECT member, id, avg_rank::DOUBLE AS avg_rank, round(avg_rank / n, 6)::DOUBLE AS pct, round((avg_rank - 1) / (n - 1), 6)::DOUBLE AS fold FROM r")
 def win01_ranks(spark, d):
-    m = B.members(spark, d)
-    return m.select("member", "id", R.average_rank(["member"], "p").alias("avg_rank"), r6(R.percentile_rank(["member"], "p")).alias("pct"), r6(R.fold_rank(["member"], "p")).alias("fold"))
+    m = R.with_ranks(B.members(spark, d).select("member", "id", "p"), ["member"], "p")
+    return m.select("member", "id", "avg_rank", r6(R.percentile()).alias("pct"), r6(R.fold_rank("p")).alias("fold"))
 
 
 @query("WITH " + B.MEMBERS + " SELECT id, 'a' AS label, round(sum(avg_rank / n * CASE member WHEN 'm0' THEN 3.0 WHEN 'm1' THEN 1.0 ELSE 2.0 END) / 6.0, 6)::DOUBLE AS score FROM r GROUP BY id")

@@ -41,7 +41,7 @@ def test_rank_blend(spark):
 
 def test_tied_ranks(spark):
     df = spark.createDataFrame([("k", 0.1), ("k", 0.1), ("k", 0.2), ("k", 0.9), ("one", 0.4)], "k string, p double")
-    got = sorted((r.k, r.p, r.a, r.f) for r in df.select("k", "p", R.average_rank(["k"], "p").alias("a"), R.fold_rank(["k"], "p").alias("f")).collect())
+    got = sorted((r.k, r.p, r.a, r.f) for r in R.with_ranks(df, ["k"], "p").select("k", "p", F.col("avg_rank").alias("a"), R.fold_rank("p").alias("f")).collect())
     assert [g[2] for g in got] == [1.5, 1.5, 3.0, 4.0, 1.0] and got[-1][3] == 0.4
 
 
