@@ -45,6 +45,18 @@ def accuracy(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scores.groupBy("label").agg(F.avg(((F.col("p") >= threshold) == (F.col("y") == 1)).cast("double")).alias("accuracy"))
 
 
+def evaluated(gold: DataFrame, pseudo: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(label, n, accuracy, auc, macro_auc): pseudo labels (id, label, p) against gold ones (id, label, y).
+
+    Gold rows without a pseudo label don't count, nor does an AUC of one class in the macro AUC, which is the same on
+    every row.
+    """
+    both = gold.select("id", "label", "y").where("y is not null").join(pseudo.select("id", "label", "p"), ["id", "label"])
+    right = ((F.col("p") >= threshold) == (F.col("y") == 1)).cast("double")
+    each = joined(both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy")), auc_by(both, ["label"]).select("label", "auc"), ["label"])
+    return each.crossJoin(F.broadcast(each.agg(F.avg("auc").alias("macro_auc"))))  # one row
+
+
 def weighted_loss(logit: Column, y: Column, weight: Column) -> Column:
     """Aggregate: weighted mean of the cross entropy; rows of weight 0 don't count."""
     return F.sum(weight * bce(logit, y)) / F.greatest(F.sum(weight), F.lit(1e-8))

@@ -14,6 +14,14 @@ MACRO_FLOOR, LABEL_FLOOR, SMOKE_ALARM = 0.003, 0.01, -0.10
 DRAWS, AGREEMENT, EFFECT, EVERY, MAX_ROUNDS = 3000, 0.90, 0.02, 2, 3
 
 
+def partition_faults(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, groups, known): labels that aren't in exactly one of the groups (group, label), or that no one knows
+    (labels: label). Empty if the groups are disjoint and cover the labels."""
+    told = groups.select("label", "group", F.lit(False).alias("known")).union(labels.select("label", F.lit(None).cast(groups.schema["group"].dataType), F.lit(True)))
+    each = told.groupBy("label").agg(F.count_distinct("group").alias("groups"), F.max("known").alias("known"))
+    return each.where("groups <> 1 or not known")
+
+
 def auc_deltas(scores: DataFrame, own_truth: bool = True) -> DataFrame:
     """(label, prev_auc, new_auc, delta) from (id, label, y, y_new, prev, new), for labels with both classes in both.
 

@@ -21,6 +21,13 @@ def leaks(folds: DataFrame, group: str) -> DataFrame:
     return folds.groupBy(group).agg(F.count_distinct("fold").alias("folds")).where("folds > 1")
 
 
+def group_leaks(folds: DataFrame, train: DataFrame, study: str = "study", patient: str = "patient") -> DataFrame:
+    """leaks of patients, from a table of folds by study and one of patients by study. Studies without a fold are left
+    out; one without a patient is a patient of its own."""
+    own = F.coalesce(F.nullif(F.col(patient).cast("string"), F.lit("")), F.col(study).cast("string"))
+    return leaks(train.select(study, own.alias(patient)).join(folds.select(study, "fold"), study), patient)
+
+
 def placed(rows: DataFrame, order: list, out: str) -> DataFrame:
     """rows with their place, from 0, in an order by columns.
 

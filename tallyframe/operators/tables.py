@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import placed
+
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in a total order."""
@@ -49,6 +51,21 @@ def aligned(prev: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Da
     return a.join(b, key)
 
 
+def aligned_in_order(left: DataFrame, right: DataFrame, key: str, labels: list[str], order: str, right_order: str) -> DataFrame:
+    """(place, key, a column for each label, {label}_pred): the rows of left, in its order, whose key right has.
+
+    A key has the values of its last row on either side; a key that left repeats keeps all its places. Keys are strings.
+    """
+    preds = [f"{x}_pred" for x in labels]
+    require(left, [key, order, *labels])
+    require(right, [key, right_order, *preds])
+    as_text = F.col(key).cast("string").alias(key)
+    a = keep_last(left.select(as_text, order, *[f"`{x}`" for x in labels]), [key], [order]).drop(order)
+    b = keep_last(right.select(as_text, F.col(right_order).alias("_ro"), *[f"`{x}`" for x in preds]), [key], ["_ro"]).drop("_ro")
+    rows = left.select(as_text, F.col(order).alias("_o")).join(b, key).join(a, key)
+    return placed(rows, ["_o"], "place").select("place", key, *[f"`{x}`" for x in [*labels, *preds]])
+
+
 def overridden(pseudo: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """gold's rows, and those of pseudo that gold has no row for."""
     return pseudo.join(gold.select(key), key, "left_anti").unionByName(gold)
@@ -69,6 +86,12 @@ def disagreements(rules: DataFrame, model: DataFrame) -> DataFrame:
     return both.where("rules_status <> model_status")
 
 
+def audit(rules: DataFrame, model: DataFrame) -> DataFrame:
+    """disagreements with their place in the order by label and id, both as text."""
+    rows = disagreements(rules, model).withColumn("id", F.col("id").cast("string"))
+    return placed(rows, ["label", "id"], "place")
+
+
 def left_default(df: DataFrame, names: DataFrame, key: str, value: str, default: Column) -> DataFrame:
     """df with the value that `names` has for the key, else a default."""
     return df.join(names.select(key, value), key, "left").withColumn(value, F.coalesce(value, default))

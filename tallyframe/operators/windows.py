@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranks import joined
+from .splits import placed
+
 #: How each label's windows are pooled, and the softmax temperature beside it.
 POOLING = {
     "Fracture": ("max", 10.0),
@@ -55,6 +58,19 @@ def central_band(items: Column, low: float = 0.15, high: float = 0.85) -> Column
     return F.when(n >= 3, F.slice(items, a + 1, F.greatest(b - a, F.lit(1)))).otherwise(items)
 
 
+def central_rows(rows: DataFrame, key: str, order: list[str], low: float = 0.15, high: float = 0.85) -> DataFrame:
+    """rows in the middle of their key's order, with their place there, from 0, as `at`; all of a key of less than 3.
+
+    Rows are numbered by ranges of (key, order), so a key with most of the rows isn't one task.
+    """
+    told = placed(rows, [key, *order], "at")
+    ends = told.groupBy(key).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own, n = F.col("at") - F.col("_first"), F.col("_n")
+    a, b = F.floor(n * low), F.ceil(n * high)
+    middle = (n < 3) | ((own >= a) & (own < F.greatest(b, a + 1)))
+    return joined(told, ends, [key]).where(middle).withColumn("at", F.when(n < 3, own).otherwise(own - a)).select(*rows.columns, "at")
+
+
 def seeded_start(starts: Column, seed: Column) -> Column:
     """One of the starts, by a hash of the seed."""
     return F.get(starts, F.pmod(F.xxhash64(seed), F.size(starts)).cast("int"))
@@ -67,17 +83,19 @@ def pooling_table(spark: SparkSession, pooling=POOLING) -> DataFrame:
 def pool(windows: DataFrame, modes: DataFrame, mix: float = SOFT_MIX) -> DataFrame:
     """(id, label, p): predictions of windows (id, label, p) pooled as each label asks, blended with their softmax mean.
 
-    A group is the windows of one id and label, a handful; its predictions are gathered once, sorted, and everything is
-    computed from that array.
+    p is a probability: the softmax is taken relative to 1. All but the two best are sums, combined before the exchange;
+    of the two best each task hands on its own two, so an id with most of the windows isn't gathered anywhere.
     """
-    held = windows.groupBy("id", "label").agg(F.sort_array(F.collect_list("p"), asc=False).alias("ps")).join(F.broadcast(modes), "label")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    hard = F.when(F.col("mode") == "max", F.col("ps")[0]).when(F.col("mode") == "top2", mean(F.slice("ps", 1, 2))).otherwise(mean(F.col("ps")))
-    e = F.transform("ps", lambda v: F.exp(F.col("beta") * (v - F.col("ps")[0])))
-    total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
-    soft = F.aggregate(F.zip_with(e, F.col("ps"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) / total
-    blended = F.when(F.col("mode") == "mean", F.col("hard")).otherwise((1 - mix) * F.col("hard") + mix * soft)
-    return held.withColumn("hard", hard).select("id", "label", blended.alias("p"))
+    rows = windows.select("id", "label", "p").join(modes, "label")
+    e = F.exp(F.col("beta") * (F.col("p") - 1))
+    keys = ["id", "label", "mode"]
+    told = rows.groupBy(*keys).agg(F.max("p").alias("top"), F.avg("p").alias("mean"), F.try_divide(F.sum(e * F.col("p")), F.sum(e)).alias("soft"))
+    place = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.desc("p")))
+    best = rows.where("mode = 'top2'").withColumn("_r", place).where("_r <= 2").groupBy("id", "label").agg(F.avg("p").alias("two"))
+    best = best.select(F.col("id").alias("_id"), F.col("label").alias("_label"), "two")
+    told = told.join(best, told["id"].eqNullSafe(best["_id"]) & (told["label"] == best["_label"]), "left")
+    hard = F.when(F.col("mode") == "max", F.col("top")).when(F.col("mode") == "top2", F.col("two")).otherwise(F.col("mean"))
+    return told.select("id", "label", F.when(F.col("mode") == "mean", hard).otherwise((1 - mix) * hard + mix * F.col("soft")).alias("p"))
 
 
 def masked_softmax_mean(values: Column, scores: Column, present: Column) -> Column:

@@ -441,9 +441,9 @@ def win08_spread(spark, d):
 
 @query("WITH g AS (SELECT user_id AS id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1) SELECT id, CASE WHEN len(v) >= 3 THEN greatest(ceil(0.85 * len(v)) - floor(0.15 * len(v)), 1) ELSE len(v) END::INT AS kept, round(CASE WHEN len(v) >= 3 THEN v[floor(0.15 * len(v))::INT + 1] ELSE v[1] END, 6) AS first FROM g")
 def win10_central_band(spark, d):
-    v = t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    kept = W.central_band(F.transform("s", lambda x: x["value"]))
-    return v.withColumn("k", kept).select("id", F.size("k").alias("kept"), r6(F.col("k")[0]).alias("first"))
+    e = t(spark, d, "events").select(F.col("user_id").alias("id"), "ts", "event_id", "value")
+    kept = W.central_rows(e, "id", ["ts", "event_id"])
+    return kept.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("kept"), r6(F.min_by("value", "at")).alias("first"))
 
 
 @query("SELECT o_orderkey, ((dense_rank() OVER (ORDER BY o_custkey) - 1) % 5)::INT AS fold FROM orders")
@@ -727,7 +727,30 @@ def itr04_joint_bands(spark, d):
     return C.enforce_joint_bands(rows, _pairs(spark))[0].where("accepted").select("id", "label")
 
 
-@query(None)
+#: A whole round: thresholds by the gold rows' positives, candidates that aren't gold, capped, within joint bands, paused.
+ROUND = B.SOFT + """,
+gl AS (SELECT soft.*, source = 'src0' AS gold FROM soft JOIN documents ON doc_id = id),
+e AS (SELECT label, coalesce(avg(p) FILTER (WHERE cur >= 0.5), 0.5) AS e, CASE label WHEN 'quality' THEN 0.9 ELSE 0.6 END::DOUBLE AS w, count(*) FILTER (WHERE cur >= 0.5 AND gold) AS n FROM gl GROUP BY label),
+""" + THRESHOLDS[THRESHOLDS.index("th AS") :] + CANDIDATES[len(THRESHOLDS) :] + """,
+fg AS (SELECT id, label FROM fl JOIN gl USING (id, label) WHERE NOT gold),
+bd AS (SELECT label, count(*) AS n, sum(given) AS pos, CASE label WHEN 'quality' THEN 0.02 + 0.18 * (0.9 - 0.65) / 0.35 ELSE 0.02 END AS rel FROM soft GROUP BY label),
+lim AS (SELECT label, pos, ceil(pos * (1 - rel) - 1e-9) AS low, floor(pos * (1 + rel) + 1e-9) AS high FROM bd),
+seq AS (SELECT id, label, given, row_number() OVER (PARTITION BY label ORDER BY -abs(p - 0.5), id) AS k FROM fg JOIN soft USING (id, label)),
+wk AS (SELECT label, 0::BIGINT AS k, pos AS x, NULL::BIGINT AS id, false AS ok FROM lim
+  UNION ALL SELECT wk.label, seq.k, CASE WHEN wk.x + 1 - 2 * given BETWEEN low AND high THEN wk.x + 1 - 2 * given ELSE wk.x END, seq.id, wk.x + 1 - 2 * given BETWEEN low AND high FROM wk JOIN seq ON seq.label = wk.label AND seq.k = wk.k + 1 JOIN lim ON lim.label = wk.label),
+ac AS (SELECT soft.*, fg.id IS NOT NULL AS flag, w.id IS NOT NULL AS x FROM soft LEFT JOIN fg USING (id, label) LEFT JOIN (SELECT id, label FROM wk WHERE ok) w USING (id, label)),
+b AS (SELECT a.id, a.given AS ga, b.given AS gb, a.x AS xa, b.x AS xb, CASE WHEN a.x THEN 1 - a.given ELSE a.given END AS na, CASE WHEN b.x THEN 1 - b.given ELSE b.given END AS nb, abs(a.p - 0.5) AS ca, abs(b.p - 0.5) AS cb FROM ac a JOIN ac b ON a.id = b.id AND a.label = 'quality' AND b.label = 'toxic'),
+st AS (SELECT count(*) AS n, sum(ga * gb) AS bef, sum(na * nb) AS aft FROM b),
+lm AS (SELECT *, greatest(0, aft - floor(n * (bef / n::DOUBLE * 1.2 + 1e-9))) AS ov, greatest(0, ceil(n * (bef / n::DOUBLE * 0.8 - 1e-9)) - aft) AS un FROM st),
+of AS (SELECT id, CASE WHEN ov > 0 THEN least(CASE WHEN xa AND ga = 0 AND nb = 1 THEN {'c': ca, 'l': 'quality'} END, CASE WHEN xb AND gb = 0 AND na = 1 THEN {'c': cb, 'l': 'toxic'} END) ELSE least(CASE WHEN xa AND ga = 1 AND nb = 1 THEN {'c': ca, 'l': 'quality'} END, CASE WHEN xb AND gb = 1 AND na = 1 THEN {'c': cb, 'l': 'toxic'} END) END AS o, ov + un AS m FROM b, lm WHERE ov + un > 0),
+gone AS (SELECT id, o.l AS label FROM (SELECT *, row_number() OVER (ORDER BY o.c, o.l, id) AS r FROM of WHERE o IS NOT NULL) WHERE r <= m),
+dn AS (SELECT ac.*, x AND gone.id IS NULL AS kept FROM ac LEFT JOIN gone USING (id, label)),
+df AS (SELECT count(*) AS n, count(*) FILTER (WHERE a.kept) AS na, count(*) FILTER (WHERE b.kept) AS nb, count(*) FILTER (WHERE a.kept AND b.kept) AS joint FROM dn a JOIN dn b ON a.id = b.id AND a.label = 'quality' AND b.label = 'toxic'),
+pz AS (SELECT coalesce(joint >= 3 AND joint / nullif(na * nb / n::DOUBLE, 0) >= 2, false) AS paused FROM df)"""
+
+
+@query("WITH RECURSIVE " + ROUND + """
+SELECT label, avg(given)::DOUBLE AS prevalence_before, avg(CASE WHEN kept AND NOT paused THEN 1 - given ELSE given END)::DOUBLE AS prevalence_after, count(*) FILTER (WHERE flag) AS candidates, count(*) FILTER (WHERE kept AND NOT paused) AS accepted, bool_or(paused) AS paused FROM dn, pz GROUP BY label""")
 def itr06_round(spark, d):
     gold = t(spark, d, "documents").where("source = 'src0'").select(F.col("doc_id").alias("id"))
     return C.run_corrections(B.soft(spark, d), _weights(spark), gold, _pairs(spark))["counts"]
@@ -754,3 +777,6 @@ def itr07_gate(spark, d):
 @query("SELECT false AS stop, false AS rollback, 'accepted; continue' AS reason")
 def itr10_stop(spark, d):
     return referee.stop_decision(_gate(spark, d), None, 1)
+
+
+from . import evaluation  # noqa: E402, F401  its queries register themselves

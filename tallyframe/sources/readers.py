@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import number
+from ..functions.values import number, status_score
 from ..operators.tables import keep_last, require, to_long
 
 #: The shape of an extraction response.
@@ -52,6 +52,14 @@ def oof(df: DataFrame, labels: list[str], id_col: str = "id", truncate: bool = F
     return truth.select("id", "label", y.alias("y"), F.coalesce("p", F.lit(0.5)).alias("p"))
 
 
+def oof_last(df: DataFrame, labels: list[str], id_col: str = "id", order: str = "_ord", truncate: bool = False) -> DataFrame:
+    """oof of the last row of each id; ids become strings. A file is read by ordered(csv(...))."""
+    names = [f"`{x}{s}`" for x in labels for s in ("_true", "_pred")]
+    require(df, [id_col, order, *[n.strip("`") for n in names]])
+    last = keep_last(df.select(F.col(id_col).cast("string").alias("id"), order, *names), ["id"], [order])
+    return oof(last, labels, truncate=truncate)
+
+
 def teacher(df: DataFrame, labels: list[str], id_col: str = "id", order: str = "_ord") -> DataFrame:
     """(id, label, p) of the prediction columns alone, the last row of each id."""
     names = [f"{x}_pred" for x in labels]
@@ -79,6 +87,16 @@ def cached_results(cache: DataFrame, model: str, version: int) -> DataFrame:
     return got.where((F.col("c.model") == model) & (F.col("c.prompt_version") == version)).select("id", "c.response", "c.error")
 
 
+def decoded(cached: DataFrame) -> DataFrame:
+    """(id, language, label, status, score, evidence, error) of cached results: a row for each label, or one without a
+    label where the result is an error, of unknown language."""
+    fine = F.coalesce("error", F.lit("")) == ""
+    language = F.when(fine, F.coalesce("response.language", F.lit("unk"))).otherwise("unk")
+    each = cached.select("id", language.alias("language"), F.coalesce("error", F.lit("")).alias("error"), F.explode_outer(F.when(fine, F.col("response.labels"))).alias("label", "v"))
+    evidence = F.when(F.col("label").isNotNull(), F.coalesce("v.evidence", F.lit("")))
+    return each.select("id", "language", "label", F.col("v.status").alias("status"), status_score(F.col("v.status"), F.lit(False)).alias("score"), evidence.alias("evidence"), "error")
+
+
 def uncached(ids: DataFrame, cached: DataFrame, force: bool = False) -> DataFrame:
     return ids if force else ids.join(cached.select("id"), "id", "left_anti")
 
@@ -124,6 +142,25 @@ def array_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
     return every.join(first, ["study", "_dir"]).drop("_dir")
 
 
+def cached_slots(cache: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(study, slot, data) for the slots (study, slot, series) that a cache (study, key, data) holds: under the slot's
+    name, or else under the id of its series, as older caches have it. Slots that it lacks are left out."""
+    keys = F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("slot").alias("key")), F.struct(F.lit(1).alias("rank"), F.col("series").alias("key"))))
+    tried = wanted.select("study", "slot", keys.alias("k")).select("study", "slot", "k.rank", "k.key")
+    return tried.join(cache.select("study", "key", "data"), ["study", "key"]).groupBy("study", "slot").agg(F.min_by("data", "rank").alias("data"))
+
+
+def read_through(wanted: DataFrame, path: str, load: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
+    """Rows of a Parquet cache for the wanted keys: `load` makes those that it lacks, which are appended first.
+
+    Files of an append show up when its job is done, so a job that is run again after a failure loads only what is still
+    missing. Two jobs that append at once may both add a key.
+    """
+    keys = wanted.select(key).distinct()
+    load(keys.join(wanted.sparkSession.read.parquet(path).select(key), key, "left_anti")).write.mode("append").parquet(path)
+    return wanted.sparkSession.read.parquet(path).join(keys, key, "left_semi")
+
+
 def find(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(path): files of a name anywhere under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path")

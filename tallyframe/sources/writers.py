@@ -77,6 +77,12 @@ def corrected_labels(result: dict[str, DataFrame], columns: list[str], labels: l
     return to_wide(result["labels"], labels, "new").select(*[f"`{c}`" for c in columns])
 
 
+def restored(result: dict[str, DataFrame], original: DataFrame, labels: list[str], id_col: str) -> DataFrame:
+    """original with its labels corrected, all other columns and the order of columns as they were."""
+    new = to_wide(result["labels"], labels, "new").withColumnRenamed("id", id_col)
+    return original.drop(*labels).join(new, id_col, "left").select(*[f"`{c}`" for c in original.columns])
+
+
 def summary(counts: DataFrame) -> DataFrame:
     """A line of text for each label."""
     return counts.select("label", F.format_string("%-18s cand %5d  acc %5d  prev %.4f -> %.4f%s", "label", "candidates", "accepted", "prevalence_before", "prevalence_after", F.when(F.col("paused"), "  paused").otherwise("")).alias("line"))
