@@ -78,7 +78,9 @@ def detect_language(text: Column, folded: Column, markers: dict[str, list[str]]
     return F.when(F.coalesce(text, F.lit("")) == "", "unk").otherwise(F.coalesce(script, bound(folded, most)))
 
 
-_MARK = "\u0001"
+#: What stands around a header's name while a text is cut, and what a text's own U+0001 becomes meanwhile, so that no text
+#: can look like it.
+_MARK, _OWN, _ESCAPED = "\u0001\u0002", "\u0001", "\u0001\u0003"
 
 
 def split_sections(folded: Column, sections: dict[str, str] | None = None) -> Column:
@@ -87,14 +89,15 @@ def split_sections(folded: Column, sections: dict[str, str] | None = None) -> Co
 
     Works on text whose accents are stripped, so that headers and contents have the same positions.
     """
-    marked = folded
+    escaped = F.replace(folded, F.lit(_OWN), F.lit(_ESCAPED))
+    marked = escaped
     for name, pattern in (sections or SECTIONS).items():
         marked = F.regexp_replace(marked, f"{_FLAGS}(?:{pattern})\\s*:", f"{_MARK}{name}{_MARK}")
 
     def pairs(parts: Column) -> Column:
         # parts: text, name, text, name, text ...
         name = lambda i: F.when(i == 0, F.when(F.size(parts) == 1, "findings").otherwise("other")).otherwise(F.get(parts, i - 1))
-        each = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(name(i).alias("section"), F.get(parts, i).alias("text")))
+        each = F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(name(i).alias("section"), F.replace(F.get(parts, i), F.lit(_ESCAPED), F.lit(_OWN)).alias("text")))
         return F.filter(each, lambda h: (h["section"] != "other") | (h["text"] != ""))
 
     def joined(kept: Column) -> Column:
@@ -102,7 +105,7 @@ def split_sections(folded: Column, sections: dict[str, str] | None = None) -> Co
         return F.transform(F.array_distinct(F.transform(kept, lambda h: h["section"])), lambda n: F.struct(n.alias("section"), F.btrim(whole(n), F.lit(_SPACE)).alias("text")))
 
     # a header ends in a colon
-    return bound(F.split(F.when(F.contains(folded, F.lit(":")), marked).otherwise(folded), _MARK), lambda parts: bound(pairs(parts), joined))
+    return bound(F.split(F.when(F.contains(folded, F.lit(":")), marked).otherwise(escaped), _MARK), lambda parts: bound(pairs(parts), joined))
 
 
 def bound(value: Column, body) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import joint_band, number, prevalence_band
 from ..steps import written
+from .splits import places_within
 
 #: Fixed values.
 PAIRS = (("ACL", "Contusion"), ("Medial Meniscus", "Medial OA"), ("Lateral Meniscus", "Lateral OA"))
@@ -64,8 +65,8 @@ def candidates(rows: DataFrame, limits: DataFrame, least_class: int = 10) -> Dat
     prune = F.when((classes > 1) & (F.col("n") > least_class), F.bround(F.try_divide(F.col("off"), "all") * F.col("n"))).otherwise(0)
     counts = counts.select("label", "given", F.coalesce(prune, F.lit(0)).cast("long").alias("prune"))
     margin = F.when(F.col("given") == 1, 1 - 2 * F.col("q")).otherwise(2 * F.col("q") - 1)
-    rank = F.row_number().over(Window.partitionBy("label", "given").orderBy(F.col("margin").desc(), "id"))
-    off = r.withColumn("margin", margin).where("margin > 0").withColumn("_r", rank)
+    off = r.withColumn("_against", -margin).where("_against < 0").select("id", "label", "given", "_against")
+    off = places_within(off, ["label", "given"], ["_against", "id"], "_r")
     off = off.join(F.broadcast(counts), ["label", "given"]).where("_r <= prune").select("id", "label", F.lit(True).alias("flag"))
     return rows.join(off, ["id", "label"], "left").withColumn("flag", F.coalesce("flag", F.lit(False)))
 
@@ -125,7 +126,7 @@ def capped(rows: DataFrame, limits: DataFrame, most: int | None = None) -> DataF
     placed = flips.join(F.broadcast(starts), ["label", "_part"])
     done = placed.select("_part", "id", "label", "_conf", "step", "low", "high", "start").mapInPandas(walk, f"id {kinds['id']}, label string, _conf double, accepted boolean").where("accepted")
     if most is not None:
-        done = done.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_conf", "id"))).where(F.col("_r") <= most)
+        done = places_within(done, ["label"], ["_conf", "id"], "_r").where(F.col("_r") <= most)
     return rows.join(done.select("id", "label", "accepted"), ["id", "label"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
@@ -175,8 +176,8 @@ def enforce_joint_bands(rows: DataFrame, pairs: DataFrame, relative: float = 0.2
     told = both.join(F.broadcast(stat.select("first", "second", "over", "under")), ["first", "second"]).where("over + under > 0")
     best = F.when(F.col("over") > 0, F.least(offer("a", "b", 0), offer("b", "a", 0))).otherwise(F.least(offer("a", "b", 1), offer("b", "a", 1)))
     told = told.withColumn("best", best).where("best is not null")
-    rank = F.row_number().over(Window.partitionBy("first", "second").orderBy("best.conf", "best.label", "id"))
-    gone = told.withColumn("_r", rank).where(F.col("_r") <= F.col("over") + F.col("under"))
+    offers = told.select("id", "first", "second", "best", (F.col("over") + F.col("under")).alias("_need"))
+    gone = places_within(offers, ["first", "second"], ["best", "id"], "_r").where(F.col("_r") <= F.col("_need"))
     revoked = gone.groupBy("first", "second").agg(F.count(F.lit(1)).alias("revoked"))
     kept = rows.join(gone.select("id", F.col("best.label").alias("label"), F.lit(True).alias("_gone")), ["id", "label"], "left")
     kept = kept.withColumn("accepted", F.col("accepted") & F.col("_gone").isNull()).drop("_gone")
@@ -195,19 +196,18 @@ def codrift(rows: DataFrame, pairs: DataFrame, ratio: float = CODRIFT_RATIO, lea
     return hit.withColumn("ratio", value).select("first", "second", "n_a", "n_b", "joint", "expected", "ratio", ((F.col("joint") >= least) & (F.col("ratio") >= ratio)).alias("flagged"))
 
 
-def run_corrections(rows: DataFrame, weights: DataFrame, gold: DataFrame, pairs: DataFrame, most: int | None = None, identity: bool = False) -> dict[str, DataFrame]:
+def run_corrections(rows: DataFrame, weights: DataFrame, gold: DataFrame, pairs: DataFrame, most: int | None = None, identity: bool = False, positives: DataFrame | None = None) -> dict[str, DataFrame]:
     """A round of corrections: labels (id, label, cur, new, accepted, paused) and the reports of each step.
 
-    gold: (id) of rows never corrected, whose positives also say which labels have few. identity: a round that changes
-    nothing. Both labels of a pair whose flips drift together get their old values back.
+    gold: (id) of rows never corrected, whose positives also say which labels have few, unless positives (label, n) do.
+    identity: a round that changes nothing. Both labels of a pair whose flips drift together get their old values back.
     """
     base = written(prepared(rows), "prepared")
     limits = bands(base, weights)
+    cuts = thresholds(base, weights, positive_counts(base, gold) if positives is None else positives)
     if identity:
         flagged = base.withColumn("flag", F.lit(False))
-        cuts = thresholds(base, weights, positive_counts(base, gold))
     else:
-        cuts = thresholds(base, weights, positive_counts(base, gold))
         flagged = candidates(base, cuts).join(gold.select("id", F.lit(True).alias("_gold")).distinct(), "id", "left").withColumn("flag", F.col("flag") & F.col("_gold").isNull()).drop("_gold")
     done = written(capped(flagged, limits, most), "capped")
     kept, joint = enforce_joint_bands(done, pairs)

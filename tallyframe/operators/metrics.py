@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import bce
+from .bootstrap import bootstrap_agreement
 from .ranks import joined, running_total
-from .splits import placed
 
 
-def auc_by(scores: DataFrame, keys: list[str], y: str = "y", p: str = "p", many: bool = False) -> DataFrame:
+__all__ = ["accuracy", "auc_by", "bootstrap_agreement", "collapsed", "evaluated", "macro", "scorable", "weighted_loss"]
+
+
+def auc_by(scores: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """(keys, n_pos, n_neg, auc): area under the ROC curve with ties counted half; null where a class is missing.
 
     Rows are first counted by score, combined on the map side however few labels there are; the counts are then summed
-    along the order of scores by ranges, so that a label of many distinct scores isn't one task. `many` is for keys
-    that are themselves many, with few rows each: there a window over each key sums them.
+    along the order of scores by ranges, so that a label of many distinct scores isn't one task.
     """
     counts = scores.groupBy(*keys, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    if many:
-        below = F.sum("neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
-        counts = counts.withColumn("below", F.coalesce(below, F.lit(0)))
-    else:
-        counts = running_total(counts, [*keys, p], "neg", "before")
-        counts = joined(counts, counts.groupBy(*keys).agg(F.min("before").alias("first")), keys).withColumn("below", F.col("before") - F.col("first"))
+    counts = running_total(counts, [*keys, p], "neg", "before")
+    counts = joined(counts, counts.groupBy(*keys).agg(F.min("before").alias("first")), keys).withColumn("below", F.col("before") - F.col("first"))
     won = counts.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     total = won.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
@@ -66,30 +64,3 @@ def collapsed(scores: DataFrame, least: float = 0.01) -> DataFrame:
     """One row: the largest population variance of any label's predictions, and whether it exceeds `least`."""
     each = scores.groupBy("label").agg(F.var_pop("p").alias("v"))
     return each.agg(F.max("v").alias("max_variance"), (F.max("v") > least).alias("passes"))
-
-
-def bootstrap_agreement(scores: DataFrame, draws: int, seed: int = 2026) -> DataFrame:
-    """(label, point, agreement) from (id, label, y, prev, new): the change of the AUC, and the share of stratified
-    bootstrap draws with a change of the same sign; draws without change never agree.
-
-    Draws come from a hash of seed, draw and place, so they are the same on any cluster. The (draw, place) pairs are
-    made by explode beside the rows; each label's positives and negatives are drawn apart. Rows are numbered by ranges,
-    so a label with most of the rows isn't one task.
-    """
-    numbered = placed(scores.select("label", "y", "id", "prev", "new"), ["label", "y", "id"], "at")
-    strata = numbered.groupBy("label", "y").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("size"))
-    rows = numbered.join(F.broadcast(strata), ["label", "y"]).select("label", "y", "prev", "new", (F.col("at") - F.col("first") + 1).cast("int").alias("place"), "size")
-    drawn = rows.select("label", "y", "size", "place", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    head = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "label", "y", "draw", "place"), 256), 1, 8)
-    drawn = drawn.select("label", "y", "draw", (F.pmod(F.conv(head, 16, 10).cast("long"), F.col("size")) + 1).cast("int").alias("place"))
-    taken = drawn.join(rows.drop("size"), ["label", "y", "place"])
-    both = F.explode(F.array(F.struct(F.lit("prev").alias("which"), F.col("prev").alias("p")), F.struct(F.lit("new").alias("which"), F.col("new").alias("p"))))
-
-    def change(df: DataFrame, keys: list[str]) -> DataFrame:
-        aucs = auc_by(df.select(*keys, "y", both.alias("s")).select(*keys, "y", "s.which", "s.p"), [*keys, "which"], many="draw" in keys)
-        return aucs.groupBy(*keys).agg((F.sum(F.when(F.col("which") == "new", F.col("auc"))) - F.sum(F.when(F.col("which") == "prev", F.col("auc")))).alias("d"))
-
-    point = change(rows, ["label"]).withColumnRenamed("d", "point")
-    each = change(taken, ["label", "draw"]).join(F.broadcast(point), "label")  # a row for each label
-    same = ((F.col("d") > 0) == (F.col("point") > 0)) & (F.col("d") != 0)
-    return each.groupBy("label").agg(F.first("point").alias("point"), F.avg(same.cast("double")).alias("agreement"))

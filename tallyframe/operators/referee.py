@@ -72,11 +72,16 @@ def final_check(scores: DataFrame, unlock: bool = False, draws: int = DRAWS, flo
     return each.select("macro_delta", "agreement", F.when(F.col("macro_delta") < floor, "negative").otherwise("inconclusive").alias("signal"), (F.col("macro_delta") < floor).alias("veto"))
 
 
+def stop_decisions(rounds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """rounds (round, accepted, veto, and what tells them apart) with stop, rollback and reason."""
+    cap = F.col("round") >= max_rounds
+    bad = ~F.col("accepted") | F.col("veto")
+    reason = F.when(~F.col("accepted"), "cv gate rejected").when(F.col("veto"), "gold check strong negative").when(cap, f"round cap reached ({max_rounds} rounds)").otherwise("accepted; continue")
+    return rounds.withColumns({"stop": bad | cap, "rollback": bad, "reason": reason})
+
+
 def stop_decision(gate: DataFrame, gold: DataFrame | None, round_index: int, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """One row: stop, rollback, reason."""
     # one row each
     both = gate.select("accepted").crossJoin(gold.select("veto")) if gold is not None else gate.select("accepted", F.lit(False).alias("veto"))
-    cap = F.lit(round_index >= max_rounds)
-    bad = ~F.col("accepted") | F.col("veto")
-    reason = F.when(~F.col("accepted"), "cv gate rejected").when(F.col("veto"), "gold check strong negative").when(cap, f"round cap reached ({max_rounds} rounds)").otherwise("accepted; continue")
-    return both.select((bad | cap).alias("stop"), bad.alias("rollback"), reason.alias("reason"))
+    return stop_decisions(both.withColumn("round", F.lit(round_index)), max_rounds).select("stop", "rollback", "reason")

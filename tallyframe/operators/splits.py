@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.values import group_key, hash_fold
 from ..steps import written
 
+#: Patterns of labels that a stratified split tells apart: 13 labels make fewer.
+PATTERNS = 10_000
+
 
 def cv_splits(studies: DataFrame, folds: int, seed: int | str = 42, study: str = "study", patient: str = "patient", site: str = "site", language: str = "language") -> DataFrame:
     """studies with `fold`, the same for all studies of a patient, site and language: a projection, without a shuffle."""
@@ -42,6 +45,14 @@ def placed(rows: DataFrame, order: list, out: str) -> DataFrame:
     return dealt.withColumn("_part", part).join(F.broadcast(counts), "_part").select(*rows.columns, (F.col("_before") + place).alias(out))
 
 
+def places_within(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """rows with their place, from 1, among those of their keys, few of which there are. Places come from ranges of the
+    whole order, so a key with most of the rows isn't one task."""
+    numbered = placed(rows, [*keys, *order], "_place")
+    first = numbered.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return numbered.join(F.broadcast(first), keys).withColumn(out, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+
+
 def sorted_index(keys: DataFrame, key: str, out: str) -> DataFrame:
     """Distinct keys with their place, from 0, in sorted order."""
     return placed(keys.select(key).distinct(), [key], out)
@@ -64,18 +75,20 @@ def multiplicity(studies: DataFrame, patient: str) -> DataFrame:
 def stratified_split(rows: DataFrame, labels: list[str], capacity: int, seed: int = 2026, key: str = "id") -> DataFrame:
     """(id, slice): `capacity` rows locked, the others working, with each label's positives spread in proportion.
 
-    Rows are counted by the pattern of their labels. Each pattern gets its share of the capacity, rounded down; each seat
+    Rows are counted by the pattern of their labels, positive from 0.5 on. Each pattern gets its share of the capacity, rounded down; each seat
     left over goes to the pattern that brings the labels' positives nearest to their targets, of equal ones to that with
     the largest remainder. In each pattern, the first rows by a hash of seed and id are locked. The driver holds a row
-    for each pattern, of which labels of two values have few; places come from ranges, so no task reads all rows. A null
-    label counts as not positive and makes a pattern of its own.
+    for each pattern, PATTERNS at most, more are an error; places come from ranges, so no task reads all rows. A null label
+    counts as not positive.
     """
-    pattern = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("double").cast("string"), F.lit("")) for c in labels])
+    pattern = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("double") >= 0.5, F.lit(False)).cast("int").cast("string") for c in labels])
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
     own = rows.select(F.col(key).cast("string").alias("id"), pattern.alias("_pattern"), order.alias("_order"))
     numbered = placed(own, ["_pattern", "_order", "id"], "_at")
-    counts = sorted(tuple(r) for r in numbered.groupBy("_pattern").agg(F.count(F.lit(1)), F.min("_at")).collect())
-    seats = shares([[float(v or 0) for v in p.split("|")] for p, _, _ in counts], [n for _, n, _ in counts], capacity)
+    counts = sorted(tuple(r) for r in numbered.groupBy("_pattern").agg(F.count(F.lit(1)), F.min("_at")).limit(PATTERNS + 1).collect())
+    if len(counts) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns of labels")
+    seats = shares([[float(v) for v in p.split("|")] for p, _, _ in counts], [n for _, n, _ in counts], capacity)
     ends = rows.sparkSession.createDataFrame([(p, at + k) for (p, _, at), k in zip(counts, seats, strict=True)], "_pattern string, _end long")
     return numbered.join(F.broadcast(ends), "_pattern").select("id", F.when(F.col("_at") < F.col("_end"), "locked").otherwise("working").alias("slice"))
 

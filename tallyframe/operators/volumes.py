@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import crop_bounds, dot, laterality, order_by_position, slice_normal
+from ..functions.geometry import dot, order_by_position, slice_normal
+from .quantiles import quantiles
 
 
 def intensity_bounds(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """(keys, lo, hi): 1st and 99th percentile, interpolated, of the finite values."""
-    finite = pixels.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))))
-    ps = F.percentile(value, F.array(F.lit(0.01), F.lit(0.99)))
-    return finite.groupBy(*keys).agg(ps.alias("ps")).select(*keys, F.col("ps")[0].alias("lo"), F.col("ps")[1].alias("hi"))
+    """(keys, lo, hi): 1st and 99th percentile, interpolated, of the finite values; the least and largest one where those
+    are equal."""
+    q = lambda i: F.col("qs")[i]
+    flat = q(1) >= q(2)
+    return quantiles(pixels, keys, value, [0.0, 0.01, 0.99, 1.0]).select(*keys, F.when(flat, q(0)).otherwise(q(1)).alias("lo"), F.when(flat, q(3)).otherwise(q(2)).alias("hi"))
 
 
 def normalised(value: Column, lo: Column, hi: Column) -> Column:
@@ -27,7 +26,8 @@ def normalised(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def normalised_array(values: Column) -> Column:
-    """normalised() of a whole array by its own percentiles, found in the sorted finite values."""
+    """normalised() of a whole array by its own percentiles, found in the sorted finite values; by the least and largest
+    one where those are equal."""
     finite = F.array_sort(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
 
     def quantile(q: float) -> Column:
@@ -36,15 +36,17 @@ def normalised_array(values: Column) -> Column:
         a, b = F.get(finite, low), F.get(finite, F.ceil(at).cast("int"))
         return a + (b - a) * (at - low)
 
-    bounds = F.transform(F.array(F.struct(quantile(0.01).cast("double").alias("lo"), quantile(0.99).cast("double").alias("hi"))), lambda b: F.transform(values, lambda v: F.coalesce(normalised(v.cast("double"), b["lo"], b["hi"]), F.lit(0.0))))
+    pick = lambda a, b: F.when(quantile(0.01) < quantile(0.99), a).otherwise(b).cast("double")
+    own = F.struct(pick(quantile(0.01), F.get(finite, F.lit(0))).alias("lo"), pick(quantile(0.99), F.get(finite, F.size(finite) - 1)).alias("hi"))
+    bounds = F.transform(F.array(own), lambda b: F.transform(values, lambda v: F.coalesce(normalised(v.cast("double"), b["lo"], b["hi"]), F.lit(0.0))))
     return F.element_at(bounds, 1)
 
 
 def side_normalised(stack: Column, plane: Column, side: Column) -> Column:
-    """A stack (array of slices, each an array of rows) of a left knee as if right: sagittal stacks reversed, others
-    mirrored row by row."""
+    """A stack (array of slices, each an array of rows) of a right side as if left: sagittal stacks reversed, others
+    mirrored row by row; any other side as it is."""
     mirrored = F.transform(stack, lambda s: F.transform(s, lambda r: F.reverse(r)))
-    return F.when(side != "L", stack).when(F.lower(F.trim(plane)) == "sagittal", F.reverse(stack)).otherwise(mirrored)
+    return F.when(F.coalesce(F.upper(side) != "R", F.lit(True)), stack).when(F.lower(F.trim(plane)) == "sagittal", F.reverse(stack)).otherwise(mirrored)
 
 
 def padded(values: Column, length: int, fill: float = 0.0) -> Column:
@@ -89,43 +91,3 @@ def resize(image: np.ndarray, rows: int, cols: int) -> np.ndarray:
     top = image[r0][:, c0] * (1 - fc) + image[r0][:, c1] * fc
     low = image[r1][:, c0] * (1 - fc) + image[r1][:, c1] * fc
     return top * (1 - fr) + low * fr
-
-
-def volumes(slices: DataFrame, crop_mm: float = 130.0, size: int = 224) -> DataFrame:
-    """(series, n, data): each series cropped, scaled, ordered, side-normalised and resized, as bytes of float32.
-
-    slices: (series, no, rows, cols, pos, orient, spacing, side, plane, pixels). A series, a few hundred slices, is one
-    group and is worked on by one task; series are independent.
-    """
-    b = crop_bounds(F.col("rows"), F.col("cols"), F.col("spacing")[0], F.col("spacing")[1], crop_mm)
-    ready = slices.withColumn("box", b).where("box is not null").select("series", "no", "rows", "cols", "pos", "orient", F.upper(F.coalesce("plane", F.lit(""))).alias("plane"), laterality(F.col("side"), F.col("pos")[0]).alias("side"), "box.*", "pixels")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no").reset_index(drop=True)
-        o = np.asarray(pdf["orient"][0], float)
-        normal = np.cross(o[:3], o[3:])
-        order = np.argsort([np.dot(p, normal) for p in pdf["pos"]], kind="stable")
-        frames = []
-        for i in order:
-            row = pdf.iloc[i]
-            image = np.asarray(row["pixels"], np.float32).reshape(row["rows"], row["cols"])
-            frames.append(resize(image[row["r0"] : row["r1"], row["c0"] : row["c1"]], size, size))
-        v = np.stack(frames)
-        known = v[np.isfinite(v)]
-        lo, hi = np.percentile(known, [1, 99]) if known.size else (0.0, 0.0)
-        v = np.nan_to_num((np.clip(v, lo, hi) - lo) / (hi - lo), nan=0.0) if hi > lo else np.zeros_like(v)
-        if pdf["side"][0] == "L":
-            v = v[::-1] if pdf["plane"][0] == "SAGITTAL" else v[:, :, ::-1]
-        return pd.DataFrame({"series": [pdf["series"][0]], "n": [len(v)], "data": [np.ascontiguousarray(v, np.float32).tobytes()]})
-
-    return ready.groupBy("series").applyInPandas(build, "series string, n int, data binary")
-
-
-def as_bytes(volume: DataFrame) -> DataFrame:
-    """Volumes as 8-bit bytes for the cache."""
-
-    def scale(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(data=[(np.clip(np.frombuffer(d, np.float32), 0, 1) * 255).round().astype(np.uint8).tobytes() for d in f["data"]])
-
-    return volume.mapInPandas(scale, volume.schema)

@@ -235,15 +235,9 @@ def itr09_final_check(spark, d):
     return referee.final_check(_gold(spark, d, False), unlock=True).select(F.round("macro_delta", 5).alias("macro_delta"), F.round("agreement", 5).alias("agreement"), "signal", "veto")
 
 
-@query("""SELECT a AS accepted, v AS veto, r::INT AS round, NOT a OR v OR r >= 3 AS stop, NOT a OR v AS rollback,
-CASE WHEN NOT a THEN 'cv gate rejected' WHEN v THEN 'gold check strong negative' WHEN r >= 3 THEN 'round cap reached (3 rounds)' ELSE 'accepted; continue' END AS reason
-FROM (VALUES (true), (false)) x(a), (VALUES (true), (false)) y(v), (VALUES (1), (3)) z(r)""")
+@query("""WITH g AS (SELECT c_custkey AS id, c_acctbal > 0 AS a, c_nationkey % 2 = 0 AS v, c_nationkey % 4 AS r FROM customer)
+SELECT id, a AS accepted, v AS veto, r::INT AS round, NOT a OR v OR r >= 3 AS stop, NOT a OR v AS rollback,
+CASE WHEN NOT a THEN 'cv gate rejected' WHEN v THEN 'gold check strong negative' WHEN r >= 3 THEN 'round cap reached (3 rounds)' ELSE 'accepted; continue' END AS reason FROM g""")
 def itr10_stop_branches(spark, d):
-    out = None
-    for a in (True, False):
-        for v in (True, False):
-            for r in (1, 3):
-                gate, gold = spark.range(1).select(F.lit(a).alias("accepted")), spark.range(1).select(F.lit(v).alias("veto"))
-                one = referee.stop_decision(gate, gold, r).select(F.lit(a).alias("accepted"), F.lit(v).alias("veto"), F.lit(r).alias("round"), "stop", "rollback", "reason")
-                out = one if out is None else out.union(one)
-    return out
+    rounds = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("accepted"), (F.pmod("c_nationkey", F.lit(2)) == 0).alias("veto"), F.pmod("c_nationkey", F.lit(4)).cast("int").alias("round"))
+    return referee.stop_decisions(rounds)

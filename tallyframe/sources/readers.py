@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import number, status_score
 from ..operators.tables import keep_last, require, to_long
+from ..steps import exists
 
 #: The shape of an extraction response.
 RESPONSE = "struct<language:string,labels:map<string,struct<status:string,evidence:string>>>"
@@ -113,30 +114,20 @@ def label_weights(weights: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.select("label").join(F.broadcast(given), "label", "left").select("label", F.coalesce("w", F.lit(0.5)).alias("w"))
 
 
-def image_slices(spark: SparkSession, path: str, decode: Callable[[bytes], dict | None], pattern: str = "*") -> DataFrame:
-    """Decoded image files: series (the folder), rows, cols, pos, orient, spacing, side, pixels.
+def array_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(study, slot, shape, data) of Parquet caches in several folders; a study's first folder wins.
 
-    `decode` turns a file's bytes into those fields, or None if it can't be read, which leaves the file out; missing
-    geometry takes defaults. The files are read by Spark, so any store it reads will do.
+    A folder that is missing, and files that can't be read, are warned of and left out; without any folder it is an error.
     """
-    schema = "series string, rows int, cols int, pos array<double>, orient array<double>, spacing array<double>, side string, pixels array<float>"
-    names = [x.split()[0] for x in schema.split(", ")]
-    defaults = {"pos": [0.0, 0.0, 0.0], "orient": [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], "spacing": [1.0, 1.0], "side": None}
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [defaults | got | {"series": p.rsplit("/", 2)[-2]} for p, data in zip(f["path"], f["content"], strict=True) if (got := decode(bytes(data)))]
-            yield pd.DataFrame(out, columns=names)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInPandas(read, schema)
-
-
-def array_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(study, slot, shape, data) of Parquet caches in several folders; a study's first folder wins."""
     from functools import reduce
 
-    parts = [spark.read.parquet(p).withColumn("_dir", F.lit(i)) for i, p in enumerate(paths)]
+    found = [(i, p) for i, p in enumerate(paths) if exists(spark, p)]
+    for p in paths:
+        if p not in [x for _, x in found]:
+            warnings.warn(f"cache folder is missing: {p}", stacklevel=2)
+    if not found:
+        raise FileNotFoundError(f"no cache folder: {paths}")
+    parts = [spark.read.option("ignoreCorruptFiles", True).parquet(p).withColumn("_dir", F.lit(i)) for i, p in found]
     every = reduce(DataFrame.unionByName, parts)
     first = every.groupBy("study").agg(F.min("_dir").alias("_dir"))
     return every.join(first, ["study", "_dir"]).drop("_dir")
@@ -164,19 +155,3 @@ def read_through(wanted: DataFrame, path: str, load: Callable[[DataFrame], DataF
 def find(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(path): files of a name anywhere under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path")
-
-
-def remote_results(reports: DataFrame, call: Callable[[str], str]) -> DataFrame:
-    """(id, value, error) from a service: `call` gets a report and returns JSON. Errors become rows, not failures."""
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i, text in zip(f["id"], f["report"], strict=True):
-                try:
-                    rows.append((i, call(text or ""), ""))
-                except Exception as e:  # noqa: BLE001  a refusal is a result
-                    rows.append((i, None, str(e)[:500]))
-            yield pd.DataFrame(rows, columns=["id", "value", "error"])
-
-    return reports.select(F.col("id").cast("string").alias("id"), "report").mapInPandas(ask, "id string, value string, error string")

@@ -137,14 +137,19 @@ def test_normalised_array(spark):
     assert a == pytest.approx([(min(hi, max(lo, v)) - lo) / (hi - lo) if v == v else 0.0 for v in vals]) and b == [0.0, 0.0]
 
 
-def test_volumes(spark):
-    rows = [("x", no, 4, 4, [0.0, 0.0, float(z)], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [1.0, 1.0], "R", "axial", [float(z)] * 16) for no, z in enumerate((3, 1, 2))]
-    df = spark.createDataFrame(rows, "series string, no int, rows int, cols int, pos array<double>, orient array<double>, spacing array<double>, side string, plane string, pixels array<float>")
-    r = volumes.volumes(df, 130.0, 2).first()
-    v = np.frombuffer(r["data"], np.float32).reshape(3, 2, 2)
-    assert r.n == 3 and v[:, 0, 0].tolist() == sorted(v[:, 0, 0].tolist()) and v.max() == pytest.approx(1.0)
-    assert volumes.ordered_slices(df.select("series", "no", "pos", "orient")).first().idx == [1, 2, 0]
-    assert len(volumes.as_bytes(volumes.volumes(df, 130.0, 2)).first()["data"]) == 12
+def test_ordered_slices(spark):
+    rows = [("x", no, [0.0, 0.0, float(z)], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]) for no, z in enumerate((3, 1, 2))]
+    df = spark.createDataFrame(rows, "series string, no int, pos array<double>, orient array<double>")
+    assert volumes.ordered_slices(df).first().idx == [1, 2, 0]
+
+
+def test_side_normalised(spark):
+    rows = [("R", " Sagittal"), ("R", "axial"), ("L", "sagittal"), (None, "axial"), ("r", "coronal")]
+    df = spark.createDataFrame(rows, "side string, plane string")
+    stack = F.array(F.array(F.array(F.lit(1), F.lit(2))), F.array(F.array(F.lit(3), F.lit(4))))
+    got = [r.s for r in df.coalesce(1).select(volumes.side_normalised(stack, F.col("plane"), F.col("side")).alias("s")).collect()]
+    same, mirrored = [[[1, 2]], [[3, 4]]], [[[2, 1]], [[4, 3]]]
+    assert got == [[[[3, 4]], [[1, 2]]][:2], mirrored, same, same, mirrored]
 
 
 def test_tables(spark):
