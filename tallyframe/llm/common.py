@@ -2,54 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
-#: Where each DataFrame of `written` is stored.
-_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. A local session without one gets a temporary folder."""
-    global _own_dir
-    if configured := spark.conf.get("spark.checkpoint.dir", None):
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="tallyframe-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
-
-def forget(*steps: DataFrame) -> None:
-    """Delete what `written` stored for these, once nothing that is still to run reads them."""
-    for df in steps:
-        if path := _paths.pop(df, None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+from ..steps import forget, shared_dir, shared_path, written
+
+__all__ = ["HOT_ROWS", "HOT_SHARE", "components", "forget", "join_groups", "shared_dir", "shared_path", "small", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

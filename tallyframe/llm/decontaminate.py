@@ -66,7 +66,8 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K
 
     items: (item_id, text). Null text has no words; items without words hit nothing. Rows that repeat a doc_id are one
     document, with the most words of them and the hits of all; items that repeat an item_id likewise. Rows without a
-    doc_id are one document for each text, told apart by `key` (see row_key), which is null for all others. Very long
+    doc_id are one document for each text, told apart by `key` (see row_key), which is null for all others; items without
+    an item_id are one item, whose id stays null in hits. Very long
     texts are read whole; a window that several items have is a hit of each of them (ties). An empty table of documents
     gives no counts and no hits, an empty table of items no hits. Extra columns, whatever their names, are not carried.
     """
@@ -136,9 +137,10 @@ def hit_words(hits: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document, as `contaminated` tells them apart."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document, as `contaminated` tells them apart. A
+    null item_id counts as one item, written as nothing among the ids."""
     counts, hits = contaminated(docs, items)
-    ids = hits.groupBy("doc", "key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    ids = hits.groupBy("doc", "key").agg(F.sort_array(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items"))
     words = hit_words(hits)
     found = words.join(ids, same_document(words, ids)).select(words["doc"], words["key"], "n_hit", "items")
     out = counts.join(found, same_document(counts, found), "left").select(counts["doc"].alias("doc_id"), "n_words", "n_hit", "items")

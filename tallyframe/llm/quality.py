@@ -132,9 +132,14 @@ def quality_score(text: Column, model: Model) -> Column:
     return score(text)
 
 
+def held_out(doc: Column) -> Column:
+    """Whether crc32 of an id as text, mod 5, is 0. A null id is written as nothing, so it is held out."""
+    return F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, label) of the four training folds: crc32 of doc_id as text, mod 5, not 0."""
-    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("doc_id", F.col("quality").alias("label"))
+    """(doc_id, label) of the four training folds: those that are not held out."""
+    return labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
 
 
 def classify(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -147,8 +152,7 @@ def classify(docs: DataFrame, model: Model, least: float = 0.3, text_col: str =
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = fit(docs, training_labels(labels))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return classify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return classify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:

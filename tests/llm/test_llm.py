@@ -593,8 +593,17 @@ def test_components(spark):
 def test_join_groups(spark):
     rows = spark.createDataFrame([(i, i % 7 if i % 50 else None) for i in range(2500)] + [(9000 + i, 99) for i in range(1500)], "id long, k long")
     groups = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    got = {r.id: r.least for r in common.join_groups(rows, groups, ["k"], "n", 4000).collect()}
-    assert got == {r.id: r.k if r.k < 99 else 9000 for r in rows.collect() if r.k is not None} or len(got) == 3950
+    least = {}
+    for r in rows.collect():
+        if r.k is not None:
+            least[r.k] = min(least.get(r.k, r.id), r.id)
+    assert least == {0: 7, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 99: 9000}
+    got = sorted((r.id, r.k, r.least, r.n) for r in common.join_groups(rows, groups, ["k"], "n", 4000).collect())
+    held = [(r.id, r.k) for r in rows.collect() if r.k is not None]
+    sizes = {k: sum(k == x for _, x in held) for k in least}
+    assert got == sorted((i, k, least[k], sizes[k]) for i, k in held)
+    # the group of 1500 goes by the broadcast, the others by the shuffle
+    assert max(sizes.values()) == 1500 > common.HOT_ROWS > max(n for k, n in sizes.items() if k != 99)
 
 
 # decontamination
@@ -616,6 +625,16 @@ def test_contamination_odd_input(spark, odd, empty):
     assert {r.doc_id for r in clean.collect()} == {2, 3, 4, 7, 8, 9, None} and clean.columns == odd.columns
 
 
+def test_items_without_id(spark):
+    """Items without an id are one item, whose id is written as nothing."""
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "w0 w1"), (3, "short one"), (4, "x short one " + " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words)), (None, "short one"), (5, "one")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.judged(docs, items).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (12, 1, sha(""), True), 2: (0, 0, sha(""), False), 3: (2, 2, sha(",5"), True), 4: (14, 2, sha(",5"), True)}
+
+
 def test_repeated_windows(spark):
     words = [f"w{i}" for i in range(12)]
     docs = spark.createDataFrame([(1, " ".join(words * 3)), (2, " ".join(words[:9])), (3, "x " + " ".join(words[1:11]).upper())], "doc_id long, text string")
