@@ -4,7 +4,8 @@ A document is the set of its distinct word n-grams. Sets of similar size that ar
 elements. The domain of n-grams is split into groups by a hash, and each group into parts; of two such sets, some group
 holds at most k2 of the differences, so they agree on all but k2 of its parts. A set's signatures are, for each group,
 its elements in each choice of all but k2 parts: similar sets share one. Sets that share a signature are candidates, and
-candidates are compared in full unless others already tie them together.
+candidates are compared in full unless others already tie them together. Where one signature brings very many different
+sets together, as a common boilerplate does, only those that also share one of their rarest elements are compared.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,6 +27,8 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 CELL_BITS = 8
 #: Elements of the sets of one tile of a family, about twice: bounds a task's memory at some 100 MB.
 TILE = 200_000
+#: Tiles that a family may take before its members meet only where they share a rare element.
+MOST_TILES = 8
 #: Rows that a broadcast of ids may have.
 MOST_BROADCAST = 2_000_000
 
@@ -244,8 +247,6 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
 
 def _shared(rows: DataFrame, col: str) -> DataFrame:
     """The rows whose signature more than one class has, with the smallest of those classes as `first`."""
-    from pyspark.sql import Window
-
     each = Window.partitionBy("sig")
     return rows.withColumns({"first": F.min(col).over(each), "last": F.max(col).over(each)}).where("first < last").drop("last")
 
@@ -311,12 +312,45 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
         some = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"a": ids[root[some]], "b": ids[some]})
 
+    def chunked(family: DataFrame, elements: int) -> tuple[DataFrame, int]:
+        """(first, main, rows, columns) of families in more than one component: their largest one, and the chunks of its
+        others and of all; and how many they are."""
+        each = family.groupBy("first", "component").agg(F.sum("size").alias("n"))
+        whole = each.groupBy("first").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where("k > 1")
+        chunks = common.written(whole.select("first", F.col("main.component").alias("main"), *(F.ceil(n / elements).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "rows"), (F.col("all"), "columns")))), "chunks")
+        return chunks, chunks.count()
+
+    def refined(family: DataFrame) -> DataFrame:
+        """(first, doc, component, size): families of those members of a family that share an element of their prefixes.
+
+        A prefix has the elements of a set that are rarest in the family, of equal ones the smallest, as many as two sets
+        can't do without and be similar enough: |s| - ceil(|s| num / den) + 1. So no pair is lost, and what all members
+        have in common brings none of them together. Elements are counted before they are joined; those that very many
+        members have are joined by a broadcast.
+        """
+
+        def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for doc, s in zip(batch.column("doc").to_pylist(), batch.column("set"), strict=True):
+                    e = np.frombuffer(s.as_buffer(), np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(e), doc)), pa.array(e)], names=["doc", "e"])
+
+        sets_of = whole(family.select("doc").distinct())
+        each = common.written(family.join(sets_of.dropDuplicates(["doc"]).mapInArrow(elements, "doc long, e long"), "doc"), "elements")
+        counts = common.written(each.groupBy("first", "e").agg(F.count("*").alias("n")), "element-counts")
+        told = common.join_groups(each, counts, ["first", "e"], "n", each.count())
+        place = F.row_number().over(Window.partitionBy("first", "doc").orderBy("n", "e"))
+        prefix = F.col("size") - F.floor((F.col("size") * num + den - 1) / den) + 1
+        shared = told.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("n") > 1))
+        out = common.written(shared.select(F.xxhash64("first", "e").alias("first"), "doc", "component", "size").distinct(), "families")
+        common.forget(sets_of, each, counts)
+        return out
+
     def tiles(family: DataFrame, elements: int) -> DataFrame:
         """(first, i, j, doc, component, size): families in more than one component, dealt out in tiles. The largest
         component's members needn't meet each other: chunks of the others meet chunks of all."""
-        each = family.groupBy("first", "component").agg(F.sum("size").alias("n"))
-        whole = each.groupBy("first").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where("k > 1")
-        chunks = whole.select("first", F.col("main.component").alias("main"), *(F.ceil(n / elements).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "rows"), (F.col("all"), "columns"))))
+        chunks, n = chunked(family, elements)
+        chunks = common.small(chunks, n, MOST_BROADCAST)
         at = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
         dealt = family.join(chunks, "first").withColumns({"i": at("rows"), "j": at("columns")})
         across = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j")))
@@ -343,6 +377,15 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
     # which return a forest of their links
     family = buckets.select("first", "doc", "size").union(buckets.where("doc = first").select("first", "doc", "size")).distinct()
     family = common.written(family.join(member, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "families")
+    chunks, n_chunks = chunked(family, TILE)
+    large = chunks.where(F.col("rows") * F.col("columns") > MOST_TILES).select("first")
+    if not large.isEmpty():
+        # families of so many sets are brought down to sets that share a rare element
+        some = common.small(large, n_chunks, MOST_BROADCAST)
+        finer = refined(family.join(some, "first", "left_semi"))
+        before, family = family, common.written(family.join(some, "first", "left_anti").unionByName(finer), "families")
+        common.forget(before, finer)
+    common.forget(chunks)
     dealt = tiles(family, TILE).join(sketches.select("doc", "sketch"), "doc")
     rest = common.written(dealt.groupBy("first", "i", "j").applyInArrow(undecided, "first long, doc long, component long, size long").distinct(), "undecided")
     common.forget(buckets, family, known)

@@ -522,6 +522,38 @@ def test_jaccard_loses_no_link(spark, n, num):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("most", [0, 8])
+def test_boilerplate_brings_few_together(spark, monkeypatch, most):
+    """Texts that have half of their words in common meet only where they are alike in the rest, too."""
+    monkeypatch.setattr(jaccard, "TILE", 3000)
+    monkeypatch.setattr(jaccard, "MOST_TILES", most)
+    rng = random.Random(4)
+    common_part = " ".join(f"banner{i}" for i in range(60))
+    met, written = {}, common.written
+
+    def watched(df, what):
+        out = written(df, what)
+        if what == "families":
+            met["pairs"] = sum(r["count"] ** 2 for r in out.groupBy("first").count().collect())
+        return out
+
+    monkeypatch.setattr(common, "written", watched)
+    pairs = []
+    for n in (60, 240):
+        docs = {i: common_part + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for i in range(n)}
+        for i in range(0, n, 6):  # near copies, and some that are just too far
+            words = docs[i].split()
+            for k in rng.sample(range(60, 120), rng.choice([2, 4, 6])):
+                words[k] = "changed"
+            docs[n + i] = " ".join(words)
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+        got = {r.doc: r.component for r in jaccard.jaccard_components(df, 3, 80, 100).collect()}
+        assert got == brute_components(word_sets(docs, 3), 80, 100) and len(set(got.values())) > n
+        pairs.append(met["pairs"])
+    if most == 0:  # all families are large: the work grows as the texts do
+        assert pairs[1] <= 6 * max(pairs[0], 10)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(4, 300), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100), (60, 100)]), st.sampled_from([(2, 1), (1, 0), (3, 1), (4, 2)]))
 def test_similar_sets_share_a_signature(size, seed, bound, parts):
