@@ -21,9 +21,10 @@ from .jobs import Job
 from .operators import corrections as C
 from .operators import metrics, rules, splits, tables
 from .sources import commits, readers, writers
+from .steps import cleared, delete
 
 ID = "StudyInstanceUID"
-#: Labels with weights that are missing count as this trustworthy, and the least variance of predictions.
+#: Fixed value: predictions of no more variance than this are taken for collapsed.
 LEAST_VARIANCE = 0.01
 
 
@@ -194,8 +195,6 @@ def gold_split(spark: SparkSession, a: argparse.Namespace) -> None:
     positives = tables.to_long(gold, "id", a.labels, "y").withColumn("y", F.coalesce(F.col("y") >= 0.5, F.lit(False)).cast("int"))
     payload = writers.split_payload(slices, positives, a.seed).select(F.to_json(F.struct("*")).alias("j")).first().j
     if a.overwrite:
-        from .steps import delete
-
         delete(spark, a.output)
     if not commits.create(spark, a.output, payload):
         raise Refused(f"{a.output} is there already; a split is made once")
@@ -227,16 +226,16 @@ def self_training_round(spark: SparkSession, a: argparse.Namespace) -> None:
     # only the working slice says which labels have few gold positives, but no gold row is ever corrected
     working = readers.split_json(spark, a.split).where("slice = 'working'").select("id")
     gold_long = tables.to_long(gold, "id", a.labels, "cur")
-    result = C.run_corrections(own, trusted, gold.select("id"), C.pair_table(spark), a.max_corrections or None, identity=a.max_corrections == 0, positives=C.positive_counts(gold_long, working))
-    told = {k: job.step(k, lambda k=k: result[k]) for k in ("labels", "counts", "thresholds", "joint", "drift")}
+    reports = ("labels", "counts", "thresholds", "joint", "drift")
+    with cleared(spark):  # all reports come from the same corrections, which are made only if one is missing
+        result = None if {*reports} <= {*job.finished()} else C.run_corrections(own, trusted, gold.select("id"), C.pair_table(spark), a.max_corrections or None, identity=a.max_corrections == 0, positives=C.positive_counts(gold_long, working))
+        told = {k: job.step(k, lambda k=k: result[k]) for k in reports}
     labels_path, report_path = f"{a.output}/labels_r{a.round}.csv", f"{a.output}/corrections_report.json"
     job.effect("labels-output", lambda: store(in_order(writers.restored(told, given, a.labels, a.study_col)), labels_path) or {"path": labels_path})
 
     def report() -> dict:
         text = writers.corrections_report(told).first().report
         whole = f'{{"round": {a.round}, "teacher_oof": {_json(a.teacher_oof)}, "labels_in": {_json(a.labels_table)}, "labels_out": {_json(labels_path)}, "max_corrections": {_json(a.max_corrections)}, {text[1:]}'
-        from .steps import delete
-
         delete(spark, report_path)
         commits.create(spark, report_path, whole)
         return {"path": report_path}

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .sources import commits
-from .steps import file_system
+from .steps import cleared, file_system
 
 
 def state_of(spark: SparkSession, path: str) -> list[list]:
@@ -58,7 +58,10 @@ class Job:
         key = f"{self.name}-{name}-{self.mark}"
         known = commits.committed(self.spark, self.folder, key)
         (self.made if known is None else self.found).append(name)
-        return known if known is not None else commits.commit(make(), self.folder, key)
+        if known is not None:
+            return known
+        with cleared(self.spark):  # what the step wrote on its way isn't needed once its result is committed
+            return commits.commit(make(), self.folder, key)
 
     def effect(self, name: str, make: Callable[[], dict]) -> dict:
         """What a step that writes outside of the folder tells, a few words of JSON, from the folder if it is finished. Such a

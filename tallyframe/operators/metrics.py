@@ -17,12 +17,10 @@ def auc_by(scores: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> Da
     """(keys, n_pos, n_neg, auc): area under the ROC curve with ties counted half; null where a class is missing.
 
     Rows are first counted by score, combined on the map side however few labels there are; the counts are then summed
-    along the order of scores by ranges, so that a label of many distinct scores isn't one task.
+    along the order of scores (running_total), so that a label of very many distinct scores isn't one task.
     """
     counts = scores.groupBy(*keys, p).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    counts = running_total(counts, [*keys, p], "neg", "before")
-    counts = joined(counts, counts.groupBy(*keys).agg(F.min("before").alias("first")), keys).withColumn("below", F.col("before") - F.col("first"))
-    won = counts.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    won = running_total(counts, keys, [p], "neg", "below").withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     total = won.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
     return total.select(*keys, "n_pos", "n_neg", F.when(pairs > 0, F.col("won") / pairs).alias("auc"))

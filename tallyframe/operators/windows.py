@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranks import joined
+from .ranks import looked_up
 from .splits import placed
 
 #: How each label's windows are pooled, and the softmax temperature beside it.
@@ -61,14 +61,15 @@ def central_band(items: Column, low: float = 0.15, high: float = 0.85) -> Column
 def central_rows(rows: DataFrame, key: str, order: list[str], low: float = 0.15, high: float = 0.85) -> DataFrame:
     """rows in the middle of their key's order, with their place there, from 0, as `at`; all of a key of less than 3.
 
-    Rows are numbered by ranges of (key, order), so a key with most of the rows isn't one task.
+    Rows are numbered by ranges of (key, order), and the ends of keys with very many rows are broadcast (looked_up), so a
+    key with most of the rows isn't one task.
     """
     told = placed(rows, [key, *order], "at")
     ends = told.groupBy(key).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     own, n = F.col("at") - F.col("_first"), F.col("_n")
     a, b = F.floor(n * low), F.ceil(n * high)
     middle = (n < 3) | ((own >= a) & (own < F.greatest(b, a + 1)))
-    return joined(told, ends, [key]).where(middle).withColumn("at", F.when(n < 3, own).otherwise(own - a)).select(*rows.columns, "at")
+    return looked_up(told, ends, [key], "_n").where(middle).withColumn("at", F.when(n < 3, own).otherwise(own - a)).select(*rows.columns, "at")
 
 
 def seeded_start(starts: Column, seed: Column) -> Column:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own_dir: str | None = None
 #: Where each DataFrame of `written` is stored.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths that each open `cleared` deletes when it is left.
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +45,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    if _scopes:
+        _scopes[-1].append(path)
     return out
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete what `written` stores within, once this is left: what is lazy must have run by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
 def forget(*steps: DataFrame) -> None:
     """Delete what `written` stored for these, once nothing that is still to run reads them."""
     for df in steps:

@@ -291,3 +291,65 @@ def test_streamed_results(spark, tmp_path):
     for _ in range(2):
         results.take_up(results.incoming(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_ranks_with_hot_values(spark, monkeypatch, small):
+    """A value that most rows have, null keys and values, by windows and by ranges."""
+    if not small:
+        monkeypatch.setattr(R, "ONE_TASK", 0)
+        monkeypatch.setattr(R, "MOST_BROADCAST", 0)
+        monkeypatch.setattr(R, "HOT_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), 0.5 if rng.random() < 0.6 else rng.choice([None, round(rng.random(), 2)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k string, p double").repartition(6)
+    got = {r.id: (r.avg_rank, r.n) for r in R.with_ranks(df, ["k"], "p").collect()}
+    assert len(got) == 900
+    for i, k, p in rows:
+        own = [-1.0 if q is None else q for _, x, q in rows if x == k]
+        v = -1.0 if p is None else p
+        assert got[i] == (sum(q < v for q in own) + (sum(q == v for q in own) + 1) / 2, len(own))
+    scores = df.withColumn("y", (F.pmod("id", F.lit(3)) == 0).cast("int"))
+    aucs = {r.k: r.auc for r in M.auc_by(scores, ["k"]).collect()}
+    for k in ("a", "b", None):
+        pos, neg = ([-1.0 if p is None else p for i, x, p in rows if x == k and (i % 3 == 0) == s] for s in (True, False))
+        assert aucs[k] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_central_rows_of_a_hot_key(spark, monkeypatch):
+    from tallyframe.operators import windows as W
+
+    monkeypatch.setattr(R, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(R, "HOT_ROWS", 100)
+    rows = [("hot", i) for i in range(1000)] + [(f"k{i}", j) for i in range(30) for j in range(i)] + [(None, j) for j in range(5)]
+    got = W.central_rows(spark.createDataFrame(rows, "k string, i int").repartition(5), "k", ["i"]).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.k, []).append((r.i, r["at"]))
+    for k, n in [("hot", 1000), (None, 5), *[(f"k{i}", i) for i in range(1, 30)]]:
+        a, b = (0, n) if n < 3 else (math.floor(n * 0.15), max(math.ceil(n * 0.85), math.floor(n * 0.15) + 1))
+        assert sorted(held[k]) == [(i, i - a) for i in range(a, b)]
+
+
+def test_seeded_start(spark):
+    """The group of a seed starts in the central band, the same for a seed, and seeds spread over all starts."""
+    from tallyframe.operators import windows as W
+
+    df = spark.range(400).select(F.lit(20).alias("n"), F.col("id")).select(W.window_starts(F.col("n")).alias("s"), "id")
+    got = [r.x for r in df.select(W.seeded_start(F.col("s"), F.concat_ws("|", F.lit("7"), F.col("id").cast("string"))).alias("x")).collect()]
+    again = [r.x for r in df.select(W.seeded_start(F.col("s"), F.concat_ws("|", F.lit("7"), F.col("id").cast("string"))).alias("x")).collect()]
+    assert got == again and set(got) == set(range(4, 14))
+    short = spark.range(1).select(W.seeded_start(W.window_starts(F.lit(2)), F.lit("x")).alias("x")).first().x
+    assert short == 0
+
+
+def test_sections_keep_control_characters(spark):
+    from tallyframe.functions import text as T
+
+    texts = ["pre Findings: a\x01b Impression: c", "a\x01b", "\x01\x02findings\x01\x02: x\x01\x03", "Findings:\x02y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: [tuple(s) for s in r.s] for r in df.select("id", T.split_sections(F.col("t")).alias("s")).collect()}
+    assert got[0] == [("other", "pre"), ("findings", "a\x01b"), ("impression", "c")]
+    assert got[1] == [("findings", "a\x01b")]
+    assert got[3] == [("findings", "\x02y")]
+    assert "".join(t for _, t in got[2]).count("\x01") >= 2
