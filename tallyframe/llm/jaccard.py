@@ -88,7 +88,7 @@ class Scheme:
     `spare` signs those too. No pair is missed.
     """
 
-    def __init__(self, num: int, den: int, parts: int = 2, k2: int = 1, ratio: float = 1.25):
+    def __init__(self, num: int, den: int, parts: int = 3, k2: int = 1, ratio: float = 1.25):
         self.num, self.den, self.parts, self.k2 = num, den, parts, k2
         self.ratio = max(ratio, den / num)
         self.starts = [1]
@@ -185,7 +185,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 SEEN = 200_000
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 2, k2: int = 1, ratio: float = 1.25) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", parts: int = 3, k2: int = 1, ratio: float = 1.25) -> DataFrame:
     """(doc, n_shingles, component): components of the documents whose sets of word n-grams have a Jaccard similarity of
     at least num / den; component is the smallest id reached.
 
@@ -197,7 +197,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     return _components(docs, n, num, den, id_col, text_col, parts, k2, ratio)[0]
 
 
-def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", parts: int = 2, k2: int = 1, ratio: float = 1.25) -> tuple[DataFrame, list[DataFrame]]:
+def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", parts: int = 3, k2: int = 1, ratio: float = 1.25) -> tuple[DataFrame, list[DataFrame]]:
     """The result of jaccard_components and the written steps it still reads.
 
     Sets are signed and compared by class, the digest (hi, lo) of their elements; ids come in when classes are tied.
