@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache
 from importlib.resources import files
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import markers_of
+
 #: Scripts that tell a language, words that mark one, and section headers.
 SCRIPTS = {"bg": "[Ѐ-ӿ]", "el": "[Ͱ-Ͽ]", "th": "[฀-๿]"}
 MARKERS = {
@@ -37,17 +40,23 @@ SELF_EVIDENT = ("Effusion", "Synovitis", "Baker's", "Contusion", "Fracture", "Me
 _FLAGS = "(?iuU)"
 
 
+@lru_cache(maxsize=1)
+def _combining() -> re.Pattern:
+    """All combining marks."""
+    return re.compile(f"[{''.join(c for c in map(chr, range(0x110000)) if unicodedata.combining(c))}]+")
+
+
 def plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else _combining().sub("", unicodedata.normalize("NFKD", text))
 
 
 def strip_accents(text: Column | str) -> Column:
     """NFKD without combining marks, by an Arrow function: no built-in function of Spark decomposes characters."""
 
-    @F.pandas_udf("string")
-    def fold(s: pd.Series) -> pd.Series:
-        ascii_only = s.isna() | s.fillna("").map(str.isascii)
-        return s.where(ascii_only, s.fillna("").map(plain))
+    @F.arrow_udf("string")
+    def fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if t is None else plain(t) for t in batch.to_pylist()], pa.string())
 
     return fold(text)
 
@@ -56,26 +65,52 @@ def strip_accents(text: Column | str) -> Column:
 _SPACE = " \t\n\x0b\f\r"
 
 
-def _has_word(text: Column, word: str) -> Column:
-    """Whether a word stands in a text, not within others. Most texts lack most words, which a plain search tells."""
-    return F.contains(text, F.lit(plain(word))) & F.regexp_like(text, F.lit(f"(?<![a-z]){re.escape(plain(word))}(?![a-z])"))
+def script(text: str, share: float = 0.30) -> str | None:
+    """The first script over a share of a text's letters. Letters are counted only where a text has one of the scripts."""
+    if not _any_script().search(text):
+        return None
+    letters = sum(map(str.isalpha, text))
+    own = {lang: sum(len(x) for x in re.findall(f"{p}+", text)) for lang, p in SCRIPTS.items()}
+    return next((lang for lang, n in own.items() if letters and n / letters > share), None)
+
+
+@lru_cache(maxsize=1)
+def _any_script() -> re.Pattern:
+    return re.compile("|".join(SCRIPTS.values()))
+
+
+def _marked(markers: dict[str, list[str]] | None) -> tuple:
+    return tuple((lang, tuple(plain(w) for w in words)) for lang, words in (markers or MARKERS).items())
 
 
 def detect_language(text: Column, folded: Column, markers: dict[str, list[str]] | None = None) -> Column:
     """Language of a text: one of the scripts if over 30 % of its letters are of it, else the language of which most
     markers occur (each counts once) in `folded`, its lower-case text without accents; none or a tie: unk."""
-    count = lambda letters: F.length(F.regexp_replace(text, F.lit(f"[^{letters}]+"), F.lit("")))
-    own = {lang: p.strip("[]") for lang, p in SCRIPTS.items()}
-    over = lambda n: F.coalesce(*[F.when(F.try_divide(count(p), n) > 0.30, F.lit(lang)) for lang, p in own.items()])
-    # letters are counted only where a text has one of these scripts
-    script = F.when(F.regexp_like(text, F.lit(f"[{''.join(own.values())}]")), bound(count(r"\p{L}"), over))
-
-    def most(f: Column) -> Column:
-        votes = [(lang, reduce(lambda a, b: a + b, [_has_word(f, w).cast("int") for w in words])) for lang, words in (markers or MARKERS).items()]
-        ranked = F.reverse(F.array_sort(F.array(*[F.struct(n.alias("n"), F.lit(lang).alias("lang")) for lang, n in votes])))
-        return bound(ranked, lambda r: F.when((r[0]["n"] > 0) & (r[0]["n"] > r[1]["n"]), r[0]["lang"]).otherwise("unk"))
-
-    return F.when(F.coalesce(text, F.lit("")) == "", "unk").otherwise(F.coalesce(script, bound(folded, most)))
+    own = _marked(markers)
+
+    @F.arrow_udf("string")
+    def detect(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        found = markers_of(own)
+        for texts, foldeds in columns:
+            yield pa.array(["unk" if not t else script(t) or found.language(f or "") for t, f in zip(texts.to_pylist(), foldeds.to_pylist(), strict=True)], pa.string())
+
+    return detect(text, folded)
+
+
+def folded_language(text: Column, markers: dict[str, list[str]] | None = None) -> Column:
+    """struct<folded, language>: strip_accents and detect_language in one pass; null text has the language unk."""
+    own = _marked(markers)
+
+    @F.arrow_udf("folded string, language string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = markers_of(own)
+        for batch in batches:
+            texts = batch.to_pylist()
+            folded = [None if t is None else plain(t) for t in texts]
+            langs = ["unk" if not t else script(t) or found.language(f.lower()) for t, f in zip(texts, folded, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array(folded, pa.string()), pa.array(langs, pa.string())], names=["folded", "language"])
+
+    return both(text)
 
 
 #: What stands around a header's name while a text is cut, and what a text's own U+0001 becomes meanwhile, so that no text

@@ -2,54 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EXCLUDED_SECTIONS, LABELS, SELF_EVIDENT, any_match, detect_language, lexicon, split_sections, split_sentences, strip_accents
+from ..functions.patterns import matcher_of
+from ..functions.text import EXCLUDED_SECTIONS, LABELS, SELF_EVIDENT, folded_language, lexicon, split_sections, split_sentences
 from ..functions.values import status_score
 
 STATUSES = {3: "affirmed", 2: "uncertain", 1: "negated", 0: "not_mentioned"}
 
 
-def _by_language(language: Column, patterns: dict[str, list[str]], text: Column, unknown: list[str]) -> Column:
-    """Whether a pattern for the row's language occurs; `unknown` holds where the language isn't known."""
-    test = F.when(language == "unk", any_match(text, unknown))
-    for lang, own in patterns.items():
-        test = test.when(language == lang, any_match(text, own))
-    return F.coalesce(test, F.lit(False))
+def _groups(entries: list[tuple[str, str, str, str]], labels: tuple[str, ...]) -> tuple:
+    """The patterns of each (kind, label) for each language, of all languages for "unk", and of none for "", as nested
+    tuples. Terms of language * are in all of them."""
+    langs = sorted({e[2] for e in entries if e[2] != "*"})
+    out = []
+    for lang in [*langs, "unk", ""]:
+        mine = lambda kind, x=None, lang=lang: [e[3] for e in entries if e[0] == kind and x in (None, e[1]) and e[2] != "*" and lang in (e[2], "unk")]
+        every = lambda x: [e[3] for e in entries if e[:3] == ("term", x, "*")]
+        own = {(k, ""): mine(k) for k in ("uncertainty", "negation", "pathology")} | {("term", x): every(x) + mine("term", x) for x in labels}
+        out.append((lang, tuple((k, tuple(v)) for k, v in own.items())))
+    return tuple(out)
+
+
+def _cues(norm: Column, language: Column, entries: list[tuple[str, str, str, str]], labels: tuple[str, ...]) -> Column:
+    """struct<uncertainty, negation, pathology, hits>: which kinds of cues, and which labels' terms, a lower-case sentence
+    has. A sentence is read once, whatever the number of patterns; those of its language and of all languages count, or of
+    any if its language isn't known."""
+    groups = _groups(entries, labels)
+
+    @F.arrow_udf("uncertainty boolean, negation boolean, pathology boolean, hits array<boolean>")
+    def find(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own = dict(groups)
+        for sentences, langs in columns:
+            kinds: list[list[bool]] = [[], [], []]
+            hits: list[list[bool]] = []
+            for s, lang in zip(sentences.to_pylist(), langs.to_pylist(), strict=True):
+                found = matcher_of(own.get(lang, own[""])).found(s) if s else set()
+                for out, k in zip(kinds, ("uncertainty", "negation", "pathology"), strict=True):
+                    out.append((k, "") in found)
+                hits.append([("term", x) in found for x in labels])
+            yield pa.StructArray.from_arrays([*map(pa.array, kinds), pa.array(hits, pa.list_(pa.bool_()))] if hits else [pa.array([], pa.bool_())] * 3 + [pa.array([], pa.list_(pa.bool_()))], names=["uncertainty", "negation", "pathology", "hits"])
+
+    return find(norm, language)
 
 
 def extract(reports: DataFrame, entries: list[tuple[str, str, str, str]] | None = None, labels: tuple[str, ...] = LABELS, self_evident: tuple[str, ...] = SELF_EVIDENT, markers: dict[str, list[str]] | None = None, sections: dict[str, str] | None = None) -> DataFrame:
     """(id, language, label, status, score, evidence), a row for each report (id, report) and label.
 
-    entries: (kind, label, language, pattern) of kinds term, pathology, negation and uncertainty; the patterns are
-    literals of the plan, so each label's are compiled once for a task. A term makes a sentence count for its label; an
+    entries: (kind, label, language, pattern) of kinds term, pathology, negation and uncertainty; patterns are regular
+    expressions for lower-case text without accents, and all of them are looked for in one pass (Matcher). A term makes a sentence count for its label; an
     uncertainty cue outranks a negation, that a finding. The impression decides where it mentions the label; else all
     other sections together. Reports are exploded to sentences; only those that speak of a label, and a row for each report
     and label, come together, once, by (id, language).
     """
     entries = entries or lexicon()
-    langs = sorted({e[2] for e in entries if e[2] != "*"})
-
-    def cues(kind: str, text: Column, lang: Column) -> Column:
-        own = {x: [e[3] for e in entries if e[0] == kind and e[2] == x] for x in langs}
-        return _by_language(lang, own, text, [p for x in langs for p in own[x]])
-
-    def terms(label: str, text: Column, lang: Column) -> Column:
-        own = [(e[2], e[3]) for e in entries if e[0] == "term" and e[1] == label]
-        common = [p for x, p in own if x == "*"]
-        special = {x: [p for y, p in own if y == x] for x in langs}
-        return any_match(text, common) | _by_language(lang, {x: p for x, p in special.items() if p}, text, [p for x in langs for p in special[x]])
-
     base = reports.select("id", F.coalesce(F.col("report").cast("string"), F.lit("")).alias("report"))
-    base = base.withColumn("folded", strip_accents("report")).withColumn("language", detect_language(F.col("report"), F.lower("folded"), markers))
+    base = base.select("id", folded_language(F.col("report"), markers).alias("f")).select("id", "f.folded", "f.language")
     told = F.filter(split_sections(F.col("folded"), sections), lambda s: ~s["section"].isin(*EXCLUDED_SECTIONS))
     kept = base.select("id", "language", F.posexplode_outer(told).alias("s_no", "s"))
     lines = kept.select("id", "language", "s_no", F.col("s.section").alias("section"), F.posexplode_outer(split_sentences(F.col("s.text"))).alias("no", "sentence"))
-    lines, norm = lines.withColumn("norm", F.lower("sentence")), F.col("norm")
     # the first line of a report stands for it, whatever it says
     heads = (F.coalesce("s_no", F.lit(0)) == 0) & (F.coalesce("no", F.lit(0)) == 0)
-    cued = lines.select("id", "language", "s_no", "no", "section", "sentence", *[cues(k, norm, F.col("language")).alias(k) for k in ("uncertainty", "negation", "pathology")], F.array(*[terms(x, norm, F.col("language")) for x in labels]).alias("hits"))
+    cued = lines.withColumn("c", _cues(F.lower("sentence"), F.col("language"), entries, labels)).select("*", "c.*")
     # 3 affirmed, 2 uncertain, 1 negated: the order in which sentences of a section outrank each other
     label_of = F.array(*[F.lit(x) for x in labels])
     evident = F.array(*[F.lit(x in self_evident) for x in labels])
