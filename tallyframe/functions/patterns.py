@@ -3,84 +3,142 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-_GROUP = re.compile(r"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)[?*]?")
-_LETTERS = re.compile(r"[^\W_](?:[^\W_]|[ -](?=[^\W_]))*")
-
-
 def alternatives(pattern: str) -> list[str]:
     """A regular expression cut at the bars that stand in no group or class."""
-    out, depth, start, i = [], 0, 0, 0
-    in_class = False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            i += 1
-        elif in_class:
-            in_class = c != "]"
-        elif c == "[":
-            in_class = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and not depth:
+    out, start = [], 0
+    for i, part in _parts(pattern):
+        if part == "|":
             out.append(pattern[start:i])
             start = i + 1
-        i += 1
     return [*out, pattern[start:]]
 
 
-def literal(alternative: str) -> str:
-    """The longest run of letters, digits, single spaces and hyphens that every match of it holds; "" if none is plain to
-    see. Groups, classes and whatever may be missing or come several times are cut out first."""
-    cut = alternative
-    while (less := _GROUP.sub("\0", cut)) != cut:
-        cut = less
-    if "(" in cut or ")" in cut:
-        return ""
-    cut = re.sub(r"\[(?:[^\]\\]|\\.)*\]", "\0", cut)
-    cut = re.sub(r"\\[.\-/]", "\0", cut)
-    cut = re.sub(r"\\.", "\0", cut)
-    # the character before a quantifier may be missing
-    cut = re.sub(r".(?:[?*]|\{[^}]*\})[?+]?", "\0", cut)
-    return max(_LETTERS.findall(re.sub(r"[.^$+]", "\0", cut)), key=len, default="")
+def _parts(pattern: str) -> Iterator[tuple[int, str]]:
+    """(place, part) of the parts of a regular expression: escapes, classes, groups and single characters."""
+    i = 0
+    while i < len(pattern):
+        start = i
+        if pattern[i] == "\\":
+            i += 2
+        elif pattern[i] == "[":
+            i += 2
+            while pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+            i += 1
+        elif pattern[i] == "(":
+            depth = 0
+            for at, part in _flat(pattern, i):
+                depth += (part == "(") - (part == ")")
+                if not depth:
+                    i = at + 1
+                    break
+            else:
+                raise ValueError(f"open group: {pattern}")
+        else:
+            i += 1
+        yield start, pattern[start:i]
+
+
+def _flat(pattern: str, i: int) -> Iterator[tuple[int, str]]:
+    """Like _parts from a place on, but with brackets of groups as single characters."""
+    while i < len(pattern):
+        start = i
+        if pattern[i] == "\\":
+            i += 2
+        elif pattern[i] == "[":
+            i += 2
+            while pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+            i += 1
+        else:
+            i += 1
+        yield start, pattern[start:i]
+
+
+def literals(pattern: str) -> set[str] | None:
+    """Some strings of which every match of a regular expression holds one; None if none are plain to see."""
+    out: set[str] = set()
+    for a in alternatives(pattern):
+        if (own := _of_one(a)) is None:
+            return None
+        out |= own
+    return out
+
+
+def _of_one(alternative: str) -> set[str] | None:
+    """literals of an expression without bars: a run of characters that must come, or those of a group that must come."""
+    parts = [part for _, part in _parts(alternative)]
+    best: set[str] | None = None
+    run = ""
+
+    def offer(found: set[str] | None) -> None:
+        nonlocal best
+        if found and all(found) and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for k, part in enumerate(parts):
+        after = parts[k + 1] if k + 1 < len(parts) else ""
+        optional = after in ("?", "*", "{")
+        if part[0] == "(":
+            offer({run} if run else None)
+            run = ""
+            if not optional and not part.startswith(("(?!", "(?=", "(?<")):
+                offer(literals(part.removeprefix("(?:").removeprefix("(")[:-1]))
+        elif part[0] == "[" or part in (".", "^", "$", "?", "*", "+", "{", "}") or (part[0] == "\\" and part[1].isalnum()):
+            offer({run} if run else None)
+            run = ""
+            if part == "{":
+                return best  # counts aren't looked into
+        elif optional:
+            offer({run} if run else None)
+            run = ""
+        else:
+            run += part[-1]
+            if after == "+":
+                offer({run})
+                run = ""
+    offer({run} if run else None)
+    return best
 
 
 class Matcher:
     """Which of some groups of patterns occur in a text: groups are named, each a list of regular expressions.
 
     Patterns are for lower-case text and are matched as they are. One pass of an automaton finds the literals that a text
-    holds; an expression is tried only if one of its alternatives' literals is there, or has none.
+    holds; an expression is tried only if it has one of its own there, or if none is known of it.
     """
 
     def __init__(self, groups: dict[object, list[str]]):
         import ahocorasick
 
-        needed: dict[str, set[object]] = {}
-        self.always: set[object] = set()
-        self.compiled = {}
+        needed: dict[str, list[tuple[object, re.Pattern]]] = {}
+        self.always: list[tuple[object, re.Pattern]] = []
         for name, patterns in groups.items():
-            if not patterns:
-                continue
-            self.compiled[name] = re.compile("|".join(f"(?:{p})" for p in patterns))
-            for word in {literal(a) for p in patterns for a in alternatives(p)}:
-                if word:
-                    needed.setdefault(word, set()).add(name)
-                else:
-                    self.always.add(name)
+            for p in (a for whole in patterns for a in alternatives(whole)):
+                own = (name, re.compile(p))
+                words = literals(p)
+                for word in words or ():
+                    needed.setdefault(word, []).append(own)
+                if not words:
+                    self.always.append(own)
         self.automaton = ahocorasick.Automaton()
-        for word, names in needed.items():
-            self.automaton.add_word(word, names)
+        for word, own in needed.items():
+            self.automaton.add_word(word, (word, own))
         if needed:
             self.automaton.make_automaton()
         self.some = bool(needed)
 
     def found(self, text: str) -> set[object]:
-        maybe = set(self.always)
+        out = {name for name, pattern in self.always if pattern.search(text)}
         if self.some:
-            for _, names in self.automaton.iter(text):
-                maybe |= names
-        return {n for n in maybe if self.compiled[n].search(text)}
+            for own in dict(value for _, value in self.automaton.iter(text)).values():
+                for name, pattern in own:
+                    if name not in out and pattern.search(text):
+                        out.add(name)
+        return out
 
 
 class Markers:

@@ -40,14 +40,22 @@ SELF_EVIDENT = ("Effusion", "Synovitis", "Baker's", "Contusion", "Fracture", "Me
 _FLAGS = "(?iuU)"
 
 
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
 @lru_cache(maxsize=1)
-def _combining() -> re.Pattern:
-    """All combining marks."""
-    return re.compile(f"[{''.join(c for c in map(chr, range(0x110000)) if unicodedata.combining(c))}]+")
+def _combining() -> tuple[re.Pattern, re.Pattern]:
+    """All combining marks, those of the first plane apart: a class of these alone is looked up in a table."""
+    marks = [c for c in map(chr, range(0x110000)) if unicodedata.combining(c)]
+    return tuple(re.compile(f"[{''.join(c for c in marks if (c > chr(0xFFFF)) == far)}]+") for far in (False, True))
 
 
 def plain(text: str) -> str:
-    return text if text.isascii() else _combining().sub("", unicodedata.normalize("NFKD", text))
+    if text.isascii():
+        return text
+    near, far = _combining()
+    out = near.sub("", unicodedata.normalize("NFKD", text))
+    return far.sub("", out) if _FAR.search(out) else out
 
 
 def strip_accents(text: Column | str) -> Column:

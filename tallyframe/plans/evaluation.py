@@ -144,6 +144,15 @@ def agg22_impression_first(spark, d):
     return rules.extract(t(spark, d, "labels").select(F.col("doc_id").alias("id"), report.alias("report")), labels=("Medial Meniscus",)).select("id", "label", "status", "score")
 
 
+@query("""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN translate(text, 'etaoin', 'етаоин') WHEN 1 THEN translate(text, 'etaoin', 'εταοιν') ELSE translate(text, 'e', 'е') END AS t FROM documents),
+n AS (SELECT doc_id, coalesce(t, '') AS t, len(regexp_extract_all(t, '\\p{L}')) AS letters, len(regexp_extract_all(t, '[Ѐ-ӿ]')) AS bg, len(regexp_extract_all(t, '[Ͱ-Ͽ]')) AS el FROM x)
+SELECT doc_id, CASE WHEN t <> '' AND letters > 0 AND bg / letters > 0.30 THEN 'bg' WHEN t <> '' AND letters > 0 AND el / letters > 0.30 THEN 'el' ELSE 'unk' END AS language FROM n""")
+def txt02_scripts(spark, d):
+    own = F.pmod("doc_id", F.lit(3))
+    text = F.when(own == 0, F.translate("text", "etaoin", "етаоин")).when(own == 1, F.translate("text", "etaoin", "εταοιν")).otherwise(F.translate("text", "e", "е"))
+    return t(spark, d, "documents").select("doc_id", T.detect_language(text, F.lit("")).alias("language"))
+
+
 # joins, orders, sets, sinks
 
 
