@@ -667,10 +667,10 @@ def arr06_slot_stack(spark, d):
     return s.select("study", F.col("data")[0][0].alias("a"), F.col("data")[1][0].alias("b"), F.col("mask")[0].alias("has_a"))
 
 
-@query("SELECT vec_id, 70::INT AS n, round(list_sum(embedding)::DOUBLE, 3) AS total FROM embeddings")
+@query("SELECT vec_id, 70::INT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
 def arr07_pad(spark, d):
     p = volumes.padded(F.col("embedding").cast("array<double>"), 70)
-    return t(spark, d, "embeddings").select("vec_id", F.size(p).alias("n"), F.round(F.aggregate(p, F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+    return t(spark, d, "embeddings").select("vec_id", F.size(p).alias("n"), F.round(F.aggregate(p, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
 @query("WITH e AS (SELECT vec_id, list_transform(range(1, 9), lambda i: {'v': embedding[i]::DOUBLE, 's': embedding[i + 8]::DOUBLE}) AS z FROM embeddings), f AS (SELECT vec_id, list_filter(z, lambda x: x.v > 0) AS z FROM e) SELECT vec_id, round(list_sum(list_transform(z, lambda x: exp(x.s) * x.v)) / list_sum(list_transform(z, lambda x: exp(x.s))), 6) AS pooled FROM f WHERE len(z) > 0")
