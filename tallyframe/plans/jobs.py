@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import studies
 from ..sources import commits, dicom, images, readers, writers
+from ..sources.caches import KeyedCache
 from ..steps import shared_path
 from . import base as B
 from .queries import query
@@ -151,3 +152,35 @@ def snk07_write_once(spark, d):
     own = t(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
     writers.write_once(own, path)
     return spark.read.schema(own.schema).json(path)
+
+
+@query("SELECT documents.doc_id AS id, CASE WHEN labels.doc_id IS NULL THEN length(coalesce(text, '')) ELSE -1 END AS chars FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id")
+def snk09_keyed_cache(spark, d):
+    """Documents read through a cache that holds the labelled ones, twice: the second time nothing is missing."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+    cache = KeyedCache(spark, shared_path(spark, "keyed"), "id", docs.schema)
+    cache.add(t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit(-1).cast("long").alias("chars")))
+    for _ in range(2):
+        found = cache.read_through(docs.select("id"), lambda missing: docs.join(missing, "id", "left_semi"))
+    if len(cache.versions()) != 2:
+        raise ValueError("keys were loaded again")
+    return found
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def flt07_missing_keys(spark, d):
+    cached = t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    cache = KeyedCache(spark, shared_path(spark, "keyed"), "id", cached.schema)
+    cache.add(cached)
+    return cache.missing(t(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 5 = 0 THEN 'locked' ELSE 'working' END AS slice FROM labels")
+def src08_split_file(spark, d):
+    """A split file, written once and read again."""
+    labels = t(spark, d, "labels")
+    own = labels.select(F.col("doc_id").cast("string").alias("id"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "locked").otherwise("working").alias("slice"))
+    positives = labels.select(F.col("doc_id").cast("string").alias("id"), F.lit("quality").alias("label"), F.col("quality").alias("y"))
+    path = shared_path(spark, "split")
+    writers.write_once(writers.split_payload(own, positives, 2026), path)
+    return readers.split_json(spark, path)
