@@ -144,8 +144,9 @@ def cached_slots(cache: DataFrame, wanted: DataFrame) -> DataFrame:
 def read_through(wanted: DataFrame, path: str, load: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
     """Rows of a Parquet cache for the wanted keys: `load` makes those that it lacks, which are appended first.
 
-    Files of an append show up when its job is done, so a job that is run again after a failure loads only what is still
-    missing. Two jobs that append at once may both add a key.
+    For plain Parquet folders that one job fills at a time: files of an append show up when its job is done, so a job that
+    is run again after a failure loads only what is still missing. caches.KeyedCache serves jobs that run at once, and
+    joins without shuffling the cache.
     """
     keys = wanted.select(key).distinct()
     load(keys.join(wanted.sparkSession.read.parquet(path).select(key), key, "left_anti")).write.mode("append").parquet(path)

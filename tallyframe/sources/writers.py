@@ -72,11 +72,6 @@ def corrections_report(result: dict[str, DataFrame]) -> DataFrame:
     return whole.select(F.to_json(F.struct("*")).alias("report"))
 
 
-def corrected_labels(result: dict[str, DataFrame], columns: list[str], labels: list[str]) -> DataFrame:
-    """The corrected labels, wide, in the column order of the input."""
-    return to_wide(result["labels"], labels, "new").select(*[f"`{c}`" for c in columns])
-
-
 def restored(result: dict[str, DataFrame], original: DataFrame, labels: list[str], id_col: str) -> DataFrame:
     """original with its labels corrected, all other columns and the order of columns as they were."""
     new = to_wide(result["labels"], labels, "new").withColumnRenamed("id", id_col)

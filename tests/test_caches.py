@@ -3,9 +3,10 @@
 import re
 from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.sources import commits
+from tallyframe.sources import commits, readers
 from tallyframe.sources.caches import KeyedCache
 
 
@@ -81,3 +82,15 @@ def test_what_is_not_committed_is_not_read(spark, tmp_path):
     assert cache.add(spark.range(100, 103).select("id", F.lit("alive").alias("v"))) == 2
     assert {r.v for r in cache.found(spark.range(100, 110).toDF("id")).collect()} == {"alive"}
     assert commits.keys(spark, str(tmp_path / "c")) == ["00000001", "00000002"]
+
+
+def test_array_caches_without_a_folder_or_with_a_bad_file(spark, tmp_path):
+    rows = lambda *studies: spark.createDataFrame([(s, "A", [float(s)]) for s in studies], "study long, slot string, data array<double>")
+    rows(1, 2).coalesce(1).write.parquet(str(tmp_path / "a"))
+    rows(2, 3).write.parquet(str(tmp_path / "b"))
+    (tmp_path / "b" / "part-99999-broken.parquet").write_bytes(b"no archive")
+    with pytest.warns(UserWarning, match="missing"):
+        got = readers.array_cache(spark, [str(tmp_path / x) for x in ("gone", "a", "b")]).collect()
+    assert sorted((r.study, r.data) for r in got) == [(1, [1.0]), (2, [2.0]), (3, [3.0])]
+    with pytest.raises(FileNotFoundError), pytest.warns(UserWarning):
+        readers.array_cache(spark, [str(tmp_path / "gone")])
