@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Components of this size and more would overflow whole distances.
-LIMIT = float(1 << 19)
+#: Whole components of this size and more could overflow whole distances.
+LIMIT = float(1 << 27)
 #: More than what rounding takes from a square root or adds to it, as a share.
 _SLACK = 2.0**-50
 
@@ -141,7 +141,7 @@ def quantised(vectors: DataFrame, dim: int, scale: int, id_col: str = "vec_id",
     """(id, v): vectors of `dim` components, none null or not finite, each as floor(scale * component)."""
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    whole = F.transform("v", lambda e: F.when(F.abs(e) * scale < F.lit(LIMIT * 256), F.floor(e * scale).cast("int")).otherwise(F.raise_error(F.lit("a component is too large for whole distances")).cast("int")))
+    whole = F.transform("v", lambda e: F.when(F.abs(e) * scale < F.lit(LIMIT), F.floor(e * scale).cast("int")).otherwise(F.raise_error(F.lit("a component is too large for whole distances")).cast("int")))
     return base.where(F.size("v") == dim).where(finite).select("id", whole.alias("v"))
 
 
@@ -154,8 +154,8 @@ def elkan(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, scale
     move centroids to the floor of their vectors' mean; then vectors are assigned once more. A centroid without vectors stays.
 
     Repeated rows and ids are vectors of their own; a null id is assigned too but starts no centroid. Without any centroid,
-    or vectors, the result is empty. Extra columns, whatever their names, are not carried. A component that would overflow
-    a whole distance (2^27 / scale * scale and more) is an error, never a wrong result. Centroids, k x dim numbers and k x k distances,
+    or vectors, the result is empty. Extra columns, whatever their names, are not carried. A component of 2^27 / scale and
+    more, of which whole distances could overflow, is an error, never a wrong result. Centroids, k x dim numbers and k x k distances,
     are the only thing that the driver holds; each round's bounds are written in the shared folder, the round's before deleted.
     """
     state = common.written(quantised(vectors, dim, scale, id_col, vec_col), "whole-vectors")
