@@ -20,6 +20,8 @@ from . import common
 
 #: Strings that mark turns, here or in common chat templates; inside a text they are escaped.
 CONTROL = ("<s>", "</s>", "[INST", "[/INST]", "<|", "<<SYS>>", "<</SYS>>")
+#: Rows of trees that are broadcast.
+MOST_BROADCAST = 2_000_000
 BEGIN, ROLE_END, END = "<s>[INST:", "] ", " [/INST]</s>"
 
 
@@ -51,32 +53,36 @@ def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     nodes = messages.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min("score").alias("score"))
     nodes = common.written(nodes, "tree-nodes")
     ids = nodes.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
-    # climbs[i]: each node's ancestor 2**i steps up, where there is one, and its depth if a root is less far
+    # at level i, the nodes that have an ancestor 2**i steps up are open and know it as `up`; the others are done and know
+    # their depth. Only open nodes climb on, and only their trees are read
     up = F.when(F.col("there") == 1, F.col("parent"))
-    climb = nodes.join(ids, ["tree", "parent"], "left").select("tree", "node", up.alias("up"), F.when(up.isNull(), F.lit(0)).cast("long").alias("depth"))
-    climbs = [common.written(climb, "tree-climb")]
-    rooted = climbs[0].where("depth is not null").count()
-    while True:
-        climb = climbs[-1]
-        far = climb.select("tree", F.col("node").alias("up"), F.col("up").alias("farther"), F.col("depth").alias("rest"))
-        depth = F.coalesce("depth", F.col("rest") + (1 << len(climbs) - 1))
-        higher = climb.join(far, ["tree", "up"], "left").select("tree", "node", F.col("farther").alias("up"), depth.alias("depth"))
-        climbs.append(common.written(higher, "tree-climb"))
-        # depths double with each climb: once none is new, what has none hangs from a cycle
-        rooted, before = climbs[-1].where("depth is not null").count(), rooted
-        if rooted == before:
+    climb = common.written(nodes.join(ids, ["tree", "parent"], "left").select("tree", "node", up.alias("up"), F.when(up.isNull(), F.lit(0)).cast("long").alias("depth")), "tree-climb")
+    levels, done, steps_made = [climb], climb.where("up is null"), [climb]
+    while not (climb := levels[-1].where("up is not null")).isEmpty():
+        trees = climb.select("tree").distinct()
+        trees = common.small(trees, trees.count(), MOST_BROADCAST)
+        far = done.unionByName(climb).join(trees, "tree", "left_semi").select("tree", F.col("node").alias("up"), F.col("up").alias("farther"), F.col("depth").alias("rest"))
+        depth = F.when(F.col("farther").isNull(), F.col("rest") + (1 << len(levels) - 1))
+        higher = common.written(climb.select("tree", "node", "up").join(far, ["tree", "up"]).select("tree", "node", F.col("farther").alias("up"), depth.alias("depth")), "tree-climb")
+        new = higher.where("up is null")
+        if new.isEmpty():
+            # depths double with each level: once none is new, what is still open hangs from a cycle
+            common.forget(higher)
+            levels.pop()
             break
+        levels.append(higher)
+        steps_made.append(higher)
+        done = done.unionByName(new)
     inner = nodes.select("tree", F.col("parent").alias("node"))
-    leaves = climbs[-1].where("depth is not null").join(inner, ["tree", "node"], "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
-    for i, climb in reversed([*enumerate(climbs[:-2])]):
+    leaves = done.join(inner, ["tree", "node"], "left_anti")
+    paths = common.written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "paths")
+    for i, climb in reversed([*enumerate(levels)]):
         steps = climb.where("up is not null").select("tree", "node", "up")
         higher = paths.join(steps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << i)).alias("back"))
         # written, as each level reads the paths so far twice: the plan would double with every level
         paths, before = common.written(paths.union(higher), "paths"), paths
         common.forget(before)
-    if len(climbs) > 2:
-        common.forget(*climbs)
+    common.forget(*steps_made)
     if top is not None:
         scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "leaf"))
