@@ -92,7 +92,7 @@ def capped(rows: DataFrame, limits: DataFrame, most: int | None = None) -> DataF
     flips = flips.select("id", "label", (-F.abs(F.col("p") - 0.5)).alias("_conf"), step.alias("step"), "low", "high", "positives")
     # written, as all uses must see the same ranges; read again, a range is in one task and in order
     flips = written(flips.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "flips")
-    flips = flips.repartition("_part").sortWithinPartitions("_part", *order)
+    ranged = lambda rows: rows.repartition("_part").sortWithinPartitions("_part", *order)
 
     def folded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict[tuple, list] = {}
@@ -103,7 +103,7 @@ def capped(rows: DataFrame, limits: DataFrame, most: int | None = None) -> DataF
                 state[part, label] = [c, a, b]
         yield pd.DataFrame([(p, x, *v) for (p, x), v in state.items()], columns=["_part", "label", "shift", "a", "b"])
 
-    parts = flips.select("_part", "label", "step", "low", "high").mapInPandas(folded, "_part int, label string, shift long, a long, b long")
+    parts = ranged(flips).select("_part", "label", "step", "low", "high").mapInPandas(folded, "_part int, label string, shift long, a long, b long")
     held = parts.join(F.broadcast(limits.select("label", "positives")), "label").groupBy("label", "positives").agg(F.sort_array(F.collect_list(F.struct("_part", "shift", "a", "b"))).alias("ps"))
     first = F.struct(F.col("positives").cast("long").alias("x"), F.array().cast("array<struct<part:int,start:bigint>>").alias("out"))
     walked = F.aggregate("ps", first, lambda s, p: F.struct(F.least(p["b"], F.greatest(p["a"], s["x"] + p["shift"])).alias("x"), F.concat(s["out"], F.array(F.struct(p["_part"].alias("part"), s["x"].alias("start")))).alias("out")), lambda s: s["out"])
@@ -112,7 +112,6 @@ def capped(rows: DataFrame, limits: DataFrame, most: int | None = None) -> DataF
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: dict[tuple, int] = {}
         for f in frames:
-            f = f.sort_values(["_part", "label", "_conf", "id"], kind="stable")
             out = []
             for part, label, s, low, high, start in zip(f["_part"], f["label"], f["step"], f["low"], f["high"], f["start"], strict=True):
                 x = at.get((part, label), start) + s
@@ -122,8 +121,8 @@ def capped(rows: DataFrame, limits: DataFrame, most: int | None = None) -> DataF
             yield f.assign(accepted=out)[["id", "label", "_conf", "accepted"]]
 
     kinds = dict(flips.dtypes)
-    # a map-side join: the rows of a range keep their order
-    placed = flips.join(F.broadcast(starts), ["label", "_part"])
+    # sorted after the join: Spark drops a sort below one
+    placed = ranged(flips.join(F.broadcast(starts), ["label", "_part"]))
     done = placed.select("_part", "id", "label", "_conf", "step", "low", "high", "start").mapInPandas(walk, f"id {kinds['id']}, label string, _conf double, accepted boolean").where("accepted")
     if most is not None:
         done = places_within(done, ["label"], ["_conf", "id"], "_r").where(F.col("_r") <= most)

@@ -225,6 +225,15 @@ def test_cap_is_the_walk(spark, most):
     assert got == want
 
 
+def test_cap_is_the_walk_over_many_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "7")
+    try:
+        test_cap_is_the_walk(spark, None)
+    finally:
+        spark.conf.unset(key)
+
+
 def test_round_keeps_gold_and_bands(spark):
     rows = corr_rows(spark, 300, 5)
     gold = spark.createDataFrame([(i,) for i in range(50)], "id long")
