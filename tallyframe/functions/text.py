@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import markers_of
+from .patterns import markers_of, widest
 
 #: Scripts that tell a language, words that mark one, and section headers.
 SCRIPTS = {"bg": "[Ѐ-ӿ]", "el": "[Ͱ-Ͽ]", "th": "[฀-๿]"}
@@ -121,11 +121,46 @@ def folded_language(text: Column, markers: dict[str, list[str]] | None = None) -
     return both(text)
 
 
+#: What \\s matches in the Unicode mode of _FLAGS.
+_UNICODE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 #: What stands around a header's name while a text is cut, and what a text's own U+0001 becomes meanwhile, so that no text
 #: can look like it.
 _MARK, _OWN, _ESCAPED = "\u0001\u0002", "\u0001", "\u0001\u0003"
 
 
+def _marked_headers(text: Column, sections: dict[str, str]) -> Column:
+    """A text with its headers' names in marks. A header stands right before a colon, so expressions are tried only on the
+    last characters before each colon, as many as a header can have; a text is not searched place by place."""
+    widths = [widest(p) for p in sections.values()]
+    if None in widths or any(":" in p.replace("(?:", "") for p in sections.values()):
+        for name, pattern in sections.items():
+            text = F.regexp_replace(text, f"{_FLAGS}(?:{pattern})\\s*:", f"{_MARK}{name}{_MARK}")
+        return text
+    ending = lambda p: f"{_FLAGS}(?:{p})\\z"
+    most = F.lit(max(widths))
+
+    def headed(piece: Column) -> Column:
+        def told(trimmed: Column) -> Column:
+            def named(tail: Column) -> Column:
+                out = F.lit(None).cast("string")
+                for name, pattern in reversed(sections.items()):
+                    out = F.when(F.regexp_like(tail, F.lit(ending(pattern))), F.concat(F.regexp_replace(tail, ending(pattern), ""), F.lit(f"{_MARK}{name}{_MARK}"))).otherwise(out)
+                some = F.when(F.regexp_like(tail, F.lit(ending("|".join(sections.values())))), out)
+                before = F.substring(trimmed, F.lit(1), F.length(trimmed) - F.length(tail))
+                return F.coalesce(F.concat(before, some), F.concat(piece, F.lit(":")))
+
+            return bound(F.right(trimmed, most), named)
+
+        return bound(F.rtrim(piece, F.lit(_UNICODE_SPACE)), told)
+
+    def whole(pieces: Column) -> Column:
+        last = F.size(pieces) - 1
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i == last, p).otherwise(headed(p))), "")
+
+    return bound(F.split(text, ":"), whole)
+
+
 def split_sections(folded: Column, sections: dict[str, str] | None = None) -> Column:
     """array<struct<section, text>> in order: text before the first header is `other`, without any header `findings`;
     parts of one section are joined by line feeds.
@@ -133,9 +168,7 @@ def split_sections(folded: Column, sections: dict[str, str] | None = None) -> Co
     Works on text whose accents are stripped, so that headers and contents have the same positions.
     """
     escaped = F.replace(folded, F.lit(_OWN), F.lit(_ESCAPED))
-    marked = escaped
-    for name, pattern in (sections or SECTIONS).items():
-        marked = F.regexp_replace(marked, f"{_FLAGS}(?:{pattern})\\s*:", f"{_MARK}{name}{_MARK}")
+    marked = _marked_headers(escaped, sections or SECTIONS)
 
     def pairs(parts: Column) -> Column:
         # parts: text, name, text, name, text ...

@@ -1,5 +1,8 @@
 """Language, sections, sentences and the rule extractor on literal reports."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +92,34 @@ def test_lexicon_is_whole():
     entries = T.lexicon()
     assert {k: sum(e[0] == k for e in entries) for k in ("term", "pathology", "negation", "uncertainty")} == {"term": 102, "pathology": 107, "negation": 97, "uncertainty": 69}
     assert {e[1] for e in entries if e[0] == "term"} == set(T.LABELS)
+
+
+def test_reports_are_judged_where_they_are(spark):
+    df = spark.createDataFrame([(1, STATUS[0][0]), (1, STATUS[1][0])], "id int, report string")
+    out = rules.extract(df, labels=("ACL",))
+    assert sorted(r.status for r in out.collect()) == ["affirmed", "negated"]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers_are_those_of_whole_texts(spark):
+    """Headers found before colons are those that the expressions find in a whole text."""
+    rng = random.Random(3)
+    parts = ["findings", "Impression", "xconclusiones", "befundung", "klinische angaben", "technique", "TECNICA ", "  ", "\u00a0", "\n", ":", ": :", "a.", "мнение", "protocol", "impression findings", "\u0001", "text of a knee"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    whole = F.col("t")
+    for name, pattern in T.SECTIONS.items():
+        whole = F.regexp_replace(whole, f"{T._FLAGS}(?:{pattern})\\s*:", f"{T._MARK}{name}{T._MARK}")
+    off = df.select("t", T._marked_headers(F.col("t"), T.SECTIONS).alias("got"), whole.alias("want")).where("got <> want").collect()
+    assert off == []
+    # a custom expression without a bound is still searched as a whole
+    odd = T._marked_headers(F.lit("so find it all : x"), {"a": "find.*all"})
+    assert spark.range(1).select(odd.alias("s")).first().s == f"so {T._MARK}a{T._MARK} x"
+
+
+def test_headers_of_a_long_text_take_its_length_once(spark):
+    df = spark.range(1).select(F.repeat(F.lit("the knee is shown in three planes and is "), 200_000).alias("t"))
+    df = df.select(F.concat("t", F.lit(" Impression: none")).alias("t"))
+    start = time.perf_counter()
+    got = df.select(T.split_sections(F.col("t")).alias("s")).select(F.col("s").getItem(1)["text"].alias("x")).first().x
+    assert got == "none" and time.perf_counter() - start < 5
