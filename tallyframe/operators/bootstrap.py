@@ -1,14 +1,14 @@
 """Stratified bootstrap of the change of the AUC, all draws at once.
 
 A row is in a draw as often as the draw's hashes name its place. Instead of a row for each draw and place, the named
-places travel as packed numbers to the block of places that holds them, where they are counted; the counts of a block are
-added up by distinct score into a vector with a number for each draw. One running sum along the scores, by ranges, then
-gives the AUCs of all draws.
+places travel as sorted, packed numbers to the block of places that holds them, where they are counted: a byte for each
+draw and row. Counts of equal scores are added up before they go, by ranges of scores, to where one running sum along the
+scores gives the AUCs of all draws.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,83 +16,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashes import first_words
 from ..steps import written
 from .splits import placed
 
 #: Places of a block, as a power of 2, and packed places that a task holds before it sends them on.
-BLOCK, HELD = 10, 2_000_000
-#: Ranges of scores, at most: the last step folds a vector for each range of a label.
-RANGES = 256
+BLOCK, HELD = 10, 4_000_000
+#: Ranges of scores of a label, and scores whose counts a task holds before it sends them on.
+RANGES, SCORES = 64, 4096
 
 
-def drawn_places(seed: int, label: str, y: str, size: int, draws: int, place: int) -> np.ndarray:
-    """The places, from 0, that a place stands for in each draw: the first 32 bits of SHA-256 of seed|label|y|draw|place,
-    modulo the number of places."""
-    heads = b"".join(hashlib.sha256(f"{seed}|{label}|{y}|{draw}|{place}".encode()).digest()[:4] for draw in range(1, draws + 1))
-    return np.frombuffer(heads, ">u4").astype(np.int64) % size
+def drawn_places(seed: int, label: str, y: str, size: int, draws: int, places: np.ndarray) -> np.ndarray:
+    """The places, from 0, that some places stand for in each draw, a row for each draw: the first 32 bits of SHA-256 of
+    seed|label|y|draw|place, modulo the number of places."""
+    heads = first_words(f"{seed}|{label}|{y}|".encode(), np.arange(1, draws + 1), b"|", places)
+    return heads - heads // np.uint32(size) * np.uint32(size)
 
 
 def _named(rows: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(label, y, block, codes): for each block of places the (draw, place in it) pairs that draws name, packed in 32 bits."""
+    """(label, y, block, n, first, steps): for each block of places the n numbers place * (draws + 1) + draw that draws
+    name in it, in order: the first one, and the steps between them in 16 or 32 bits."""
+    width = draws + 1
+
+    def packed(label: str, y: str, size: int, places: list[int]) -> Iterator[tuple]:
+        at = drawn_places(seed, label, y, size, draws, np.array(places)).astype(np.uint64)
+        at *= np.uint64(width)
+        at += np.arange(1, width, dtype=np.uint64)[:, None]
+        codes = np.sort(at, axis=None)
+        span = width << BLOCK
+        steps = np.diff(codes)
+        bounds = np.searchsorted(codes, np.arange(size // (1 << BLOCK) + 2, dtype=np.uint64) * np.uint64(span))
+        for block in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = bounds[block], bounds[block + 1]
+            own = steps[a : b - 1]
+            kind = np.uint16 if not len(own) or own.max() < 1 << 16 else np.uint32
+            yield label, y, block, b - a, int(codes[a]) - block * span, own.astype(kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[np.ndarray]] = {}
-
-        def sent() -> pa.RecordBatch:
-            out: list[tuple[str, str, int, bytes]] = []
-            for (label, y), parts in held.items():
-                places = np.stack(parts)  # a row for each place that stands for others
-                codes = ((np.arange(1, draws + 1) << BLOCK) | (places & ((1 << BLOCK) - 1))).ravel().astype(np.uint32)
-                blocks = (places >> BLOCK).ravel()
-                order = np.argsort(blocks, kind="stable")
-                blocks, codes = blocks[order], codes[order]
-                starts = np.flatnonzero(np.diff(blocks, prepend=-1))
-                out += [(label, y, int(blocks[a]), codes[a:b].tobytes()) for a, b in zip(starts, [*starts[1:], len(blocks)], strict=True)]
-            held.clear()
-            label, y, block, codes = zip(*out, strict=True)
-            return pa.record_batch([pa.array(label, pa.string()), pa.array(y, pa.string()), pa.array(block, pa.int64()), pa.array(codes, pa.binary())], names=["label", "y", "block", "codes"])
+        held: dict[tuple[str, str, int], list[int]] = {}
+        most = max(1, HELD // draws)
+
+        def sent(key: tuple[str, str, int]) -> Iterator[pa.RecordBatch]:
+            told = list(zip(*packed(*key, held.pop(key)), strict=True))
+            types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(told, types, strict=True)], names=["label", "y", "block", "n", "first", "steps"])
 
-        n = 0
         for batch in batches:
-            for label, y, size, place in zip(*(batch.column(c).to_pylist() for c in ("label", "y", "size", "place")), strict=True):
-                held.setdefault((label, y), []).append(drawn_places(seed, label, y, size, draws, place))
-                n += draws
-                if n >= HELD:
-                    yield sent()
-                    n = 0
-        if held:
-            yield sent()
+            for *key, place in zip(*(batch.column(c).to_pylist() for c in ("label", "y", "size", "place")), strict=True):
+                own = held.setdefault(tuple(key), [])
+                own.append(place)
+                if len(own) >= most:
+                    yield from sent(tuple(key))
+        for key in list(held):
+            yield from sent(key)
 
-    return rows.select("label", "y", "size", "place").mapInArrow(run, "label string, y string, block long, codes binary")
+    return rows.select("label", "y", "size", "place").mapInArrow(run, "label string, y string, block long, n long, first long, steps binary")
 
 
-_FOLDED = "label string, which string, p double, pos binary, neg binary"
+def _bytes(counts: np.ndarray) -> bytes:
+    """Counts in 8 bits each if they are that small, else in 32."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order with those of the same (label, which, p) added up."""
-    key, pos, neg, out = None, None, None, []
+def _counts(told: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(told, np.uint8 if len(told) == width else np.int32)
 
-    def told() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        out.clear()
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.binary(), pa.binary()), strict=True)], names=["label", "which", "p", "pos", "neg"])
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            own = tuple(batch.column(c)[i].as_py() for c in ("label", "which", "p"))
-            a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32) for c in ("pos", "neg"))
-            if own == key or (key is not None and own[:2] == key[:2] and own[2] != own[2] and key[2] != key[2]):
-                pos, neg = pos + a, neg + b
-            else:
-                if key is not None:
-                    out.append((*key, pos.tobytes(), neg.tobytes()))
-                    if len(out) >= 500:
-                        yield told()
-                key, pos, neg = own, a, b
-    if key is not None:
-        out.append((*key, pos.tobytes(), neg.tobytes()))
-        yield told()
+_COUNTED = "label string, which string, part int, p double, is_pos boolean, counts binary"
+_TYPES = {"label": pa.string(), "which": pa.string(), "part": pa.int32(), "p": pa.float64(), "is_pos": pa.bool_(), "counts": pa.binary()}
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_TYPES), _TYPES.values(), strict=True)]
 
 
 def bootstrap_agreement(scores: DataFrame, draws: int, seed: int = 2026) -> DataFrame:
@@ -112,56 +107,107 @@ def bootstrap_agreement(scores: DataFrame, draws: int, seed: int = 2026) -> Data
     rows = written(rows, "drawn-rows")
     width = draws + 1  # before the draws, each row once
     # all cores hash, however few rows there are
-    tasks = min(RANGES, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, min(256, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    # a row for each label
+    bounds = {r.label: {w: np.array(sorted(x for x in r[w] or () if x == x)) for w in ("prev", "new")} for r in rows.groupBy("label").agg(*[F.percentile_approx(w, cuts, 1000).alias(w) for w in ("prev", "new")]).collect()}
 
     def counted(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The counts of a block's places in all draws, added up by either score."""
         if not left.num_rows:
-            return pa.table({"label": pa.array([], pa.string()), "which": pa.array([], pa.string()), "p": pa.array([], pa.float64()), "block": pa.array([], pa.int64()), "pos": pa.array([], pa.binary()), "neg": pa.array([], pa.binary())})
-        codes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for c in right.column("codes").chunks for x in c] or [np.empty(0, np.uint32)])
-        times = np.bincount(codes, minlength=width << BLOCK).reshape(width, 1 << BLOCK)
-        times[0] = 1
-        at = (left.column("place").to_numpy() - 1) & ((1 << BLOCK) - 1)
-        own = times[:, at].T.astype(np.int32)
+            return pa.table(_columns([]), names=list(_TYPES))
+        codes = [np.empty(0, np.int64)]
+        for n, first, steps in zip(*(right.column(c).to_pylist() for c in ("n", "first", "steps")), strict=True):
+            own = np.empty(n, np.int64)
+            own[0] = first
+            own[1:] = np.frombuffer(steps, np.uint16 if len(steps) == 2 * (n - 1) else np.uint32)
+            codes.append(np.cumsum(own))
+        times = np.bincount(np.concatenate(codes), minlength=width << BLOCK).reshape(1 << BLOCK, width)
+        times[:, 0] = 1
+        own = times[(left.column("place").to_numpy() - 1) & ((1 << BLOCK) - 1)]
+        own = own.astype(np.uint8 if own.max() < 256 else np.int32)
+        label, is_pos = key[0].as_py(), left.column("is_pos")[0].as_py()
         out: list[tuple] = []
-        none = np.zeros(width, np.int32).tobytes()
         for which in ("prev", "new"):
             coded = left.column(which).combine_chunks().dictionary_encode(null_encoding="encode")
-            sums = np.zeros((len(coded.dictionary), width), np.int32)
-            np.add.at(sums, coded.indices.to_numpy(), own)
-            is_pos = left.column("is_pos")[0].as_py()
-            for p, s in zip(coded.dictionary.to_pylist(), sums, strict=True):
-                out.append((key[0].as_py(), which, p, key[2].as_py(), s.tobytes() if is_pos else none, none if is_pos else s.tobytes()))
-        cols = list(zip(*out, strict=True))
-        types = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("label", "which", "p", "block", "pos", "neg"), cols, types, strict=True)})
+            at = coded.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            sums = own[order] if len(starts) == len(at) else np.add.reduceat(own[order], starts, axis=0, dtype=np.int32)
+            values = coded.dictionary.to_pylist()
+            parts = np.searchsorted(bounds[label][which], np.array([-math.inf if p is None else p for p in values], float), side="right").tolist()
+            out += [(label, which, 0 if p is None else part + 1, p, is_pos, _bytes(c)) for p, part, c in zip(values, parts, sums, strict=True)]
+        return pa.table(_columns(out), names=list(_TYPES))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of equal scores added up, as far as a task sees them together."""
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            rows = [(*k, _bytes(v)) for k, v in held.items()]
+            held.clear()
+            return pa.record_batch(_columns(rows), names=list(_TYPES))
+
+        for batch in batches:
+            for *key, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = tuple(math.nan if x != x else x for x in key)
+                if (own := held.get(key)) is not None:
+                    own += _counts(counts, width)
+                    continue
+                if len(held) >= SCORES:
+                    yield told()
+                held[key] = _counts(counts, width).astype(np.int32)
+        if held:
+            yield told()
 
     keys = ["label", "y", "block"]
-    counts = rows.groupBy(*keys).cogroup(_named(rows.repartition(tasks, "label", "y", "place"), draws, seed).groupBy(*keys)).applyInArrow(counted, "label string, which string, p double, block long, pos binary, neg binary")
-    # a score that most rows have is added up in several ranges first, then once
-    order = ["label", "which", "p"]
-    part = counts.repartitionByRange(tasks, *order, "block").sortWithinPartitions(*order).select("label", "which", "p", "pos", "neg").mapInArrow(_merged, _FOLDED)
-    part = part.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_merged, _FOLDED)
+    counts = rows.groupBy(*keys).cogroup(_named(rows.repartition(tasks, "label", "y", "place"), draws, seed).groupBy(*keys)).applyInArrow(counted, _COUNTED)
+    order = ["label", "which", "part"]
+    part = counts.mapInArrow(added, _COUNTED).repartition(tasks, *order).sortWithinPartitions(*order, "p")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each range of a label: won pairs within it, positives and negatives, for each draw."""
-        state: dict[tuple[str, str], list[np.ndarray]] = {}
-        no = 0
+        own, p = None, None
+        won, pos, neg, tied = np.zeros(width), np.zeros(width), np.zeros(width), [np.zeros(width), np.zeros(width)]
+        some = [False, False]
+
+        def step() -> None:
+            """Take in the rows of one score."""
+            if some[1]:
+                won.__iadd__(tied[1] * (neg + tied[0] / 2 if some[0] else neg))
+                pos.__iadd__(tied[1])
+            if some[0]:
+                neg.__iadd__(tied[0])
+            for k in range(2):
+                if some[k]:
+                    tied[k][:] = 0
+                    some[k] = False
+
+        def told() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([own[0]]), pa.array([own[1]]), pa.array([own[2]], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (won, pos, neg)]], names=["label", "which", "part", "won", "pos", "neg"])
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                own, no = (batch.column("label")[i].as_py(), batch.column("which")[i].as_py()), batch.column("part")[i].as_py()
-                pos, neg = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int32).astype(np.float64) for c in ("pos", "neg"))
-                won, p, n = state.setdefault(own, [np.zeros(width), np.zeros(width), np.zeros(width)])
-                won += pos * (n + neg / 2)
-                p += pos
-                n += neg
-        if state:
-            yield pa.record_batch([pa.array([k[0] for k in state]), pa.array([k[1] for k in state]), pa.array([no] * len(state), pa.int32()), *[pa.array([v[i].tobytes() for v in state.values()], pa.binary()) for i in range(3)]], names=["label", "which", "part", "won", "pos", "neg"])
-
-    ranges = part.select("label", "which", "pos", "neg", F.spark_partition_id().alias("part")).mapInArrow(summed, "label string, which string, part int, won binary, pos binary, neg binary")
+            for label, which, no, score, is_pos, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, which, no) != own:
+                    step()
+                    if own is not None:
+                        yield told()
+                    own, p = (label, which, no), score
+                    for v in (won, pos, neg):
+                        v[:] = 0
+                elif score != p and not (score is not None and p is not None and score != score and p != p):
+                    step()
+                    p = score
+                tied[is_pos] += _counts(counts, width)
+                some[is_pos] = True
+        if own is not None:
+            step()
+            yield told()
+
+    ranges = part.mapInArrow(summed, "label string, which string, part int, won binary, pos binary, neg binary")
 
     def judged(key: tuple, group: pa.Table) -> pa.Table:
-        """A label's AUCs of all draws from its ranges, RANGES at most for either side."""
+        """A label's AUCs of all draws from its ranges, RANGES + 1 at most for either side."""
         auc = {}
         for which in ("prev", "new"):
             won, pos, neg = np.zeros(width), np.zeros(width), np.zeros(width)
