@@ -53,6 +53,24 @@ class Codec:
         self.first, self.rest = _Words(self), _Words(self)
         self.n_words = self.n_chars = 0
         self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), array("i")
+        self.used = np.empty(0, np.int64)  # how often each word came, first words apart
+
+    def _trim(self) -> None:
+        """Make room in the tables: the words behind cuts that came most often stay, half of the most words at most."""
+        often = np.sort(self.used)[::-1]
+        least = max(2, int(often[MAX_WORDS // 2]) + 1 if len(often) > MAX_WORDS // 2 else 2)
+        kept = [(word, place) for word, place in self.rest.items() if self.used[place] >= least]
+        starts, sizes, flat, used = self.starts, self.sizes, np.frombuffer(self.flat, np.int32), self.used
+        self._reset()
+        if not kept or sum(len(w) for w, _ in kept) > MAX_CHARS // 2:
+            return
+        at = np.array([place for _, place in kept])
+        starts, self.sizes, self.used = starts[at], sizes[at], used[at] // 2
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        self.flat.frombytes(flat[np.repeat(starts - self.starts, self.sizes) + np.arange(ends[-1])].tobytes())
+        self.rest.update((word, i) for i, (word, _) in enumerate(kept))
+        self.n_words, self.n_chars = len(kept), sum(len(w) for w, _ in kept)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, straight from the library."""
@@ -91,7 +109,7 @@ class Codec:
     def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of all parts of all texts in order, and the number of parts of each text."""
         if self.n_words > MAX_WORDS or self.n_chars > MAX_CHARS:
-            self._reset()
+            self._trim()
         parts = self._parts(texts)
         words, ends = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
         ends -= ends[0]
@@ -105,6 +123,8 @@ class Codec:
         places[later] = known[coded.indices.to_numpy()]
         places[ends[:-1]] = [self.first[t] for t in firsts.tolist()]
         self._encode_waiting()
+        self.used = np.concatenate([self.used, np.zeros(self.n_words - len(self.used), np.int64)])
+        self.used[known] += np.bincount(coded.indices.to_numpy(), minlength=len(known))
         return places, np.diff(ends)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
