@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,6 +27,8 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 CELL_BITS = 8
 #: Elements of the sets of one tile of a family, about twice: bounds a task's memory at some 100 MB.
 TILE = 200_000
+#: Sketches of one tile of a family, about twice.
+SKETCHES = 2000
 #: Tiles that a family may take before its members meet only where they share a rare element.
 MOST_TILES = 8
 #: Rows that a broadcast of ids may have.
@@ -238,17 +240,24 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
     copies = common.written(named.select("doc", "class"), "copies")
     # buckets of two classes or more; the exchange by signature is the only one of all signatures, so that half of the
     # digest stands for a class there: classes that have it in common are all taken for members
-    shared = common.written(_shared(rows.mapInArrow(signed, "sig long, hi long"), "hi").select("sig", "hi"), "buckets")
+    each = Window.partitionBy("sig")
+    ends = {"low": F.min("hi").over(each), "high": F.max("hi").over(each), "n": F.count("*").over(each)}
+    shared = common.written(rows.mapInArrow(signed, "sig long, hi long").withColumns(ends).where("low < high").select("sig", "hi", "n"), "buckets")
+    weights = shared.groupBy("hi").agg(F.sum("n").alias("weight"))
     # of copies signed in several tasks, one row stays
-    buckets = common.written(_shared(shared.join(marks, "hi").select("sig", F.col("class").alias("doc"), "size").distinct(), "doc"), "buckets")
+    named = shared.join(marks.join(weights, "hi"), "hi").select("sig", F.col("class").alias("doc"), "size", "weight")
+    buckets = common.written(_with_hubs(named.distinct()), "buckets")
     common.forget(shared)
     return _finish(rows, sets, classes, copies, buckets, n_rows, n, num, den)
 
 
-def _shared(rows: DataFrame, col: str) -> DataFrame:
-    """The rows whose signature more than one class has, with the smallest of those classes as `first`."""
+def _with_hubs(rows: DataFrame) -> DataFrame:
+    """The rows (sig, doc, size) whose signature several classes have, with one of those as `first`: the one of the largest
+    weight, which is how often others share its signatures. The text that near copies were made from is likelier to be
+    similar to each of them than they are to each other, and shares more signatures."""
     each = Window.partitionBy("sig")
-    return rows.withColumns({"first": F.min(col).over(each), "last": F.max(col).over(each)}).where("first < last").drop("last")
+    hub = F.max(F.struct("weight", "doc")).over(each)["doc"]
+    return rows.withColumns({"low": F.min("doc").over(each), "high": F.max("doc").over(each), "first": hub}).where("low < high").select("sig", "doc", "size", "first")
 
 
 def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFrame, buckets: DataFrame, n_rows: int, n: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -312,21 +321,34 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
         some = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"a": ids[root[some]], "b": ids[some]})
 
-    def chunked(family: DataFrame, elements: int) -> tuple[DataFrame, int]:
+    def chunked(family: DataFrame, amount: Column, most: int) -> tuple[DataFrame, int]:
         """(first, main, rows, columns) of families in more than one component: their largest one, and the chunks of its
-        others and of all; and how many they are."""
-        each = family.groupBy("first", "component").agg(F.sum("size").alias("n"))
+        others and of all, by the amounts of their members; and how many they are."""
+        each = family.groupBy("first", "component").agg(F.sum(amount).alias("n"))
         whole = each.groupBy("first").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main")).where("k > 1")
-        chunks = common.written(whole.select("first", F.col("main.component").alias("main"), *(F.ceil(n / elements).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "rows"), (F.col("all"), "columns")))), "chunks")
+        chunks = common.written(whole.select("first", F.col("main.component").alias("main"), *(F.ceil(n / most).cast("int").alias(c) for n, c in ((F.col("all") - F.col("main.n"), "rows"), (F.col("all"), "columns")))), "chunks")
         return chunks, chunks.count()
 
+    def brought_down(family: DataFrame, amount: Column, most: int) -> DataFrame:
+        """The families, those of very many tiles brought down to sets that share a rare element."""
+        chunks, n_chunks = chunked(family, amount, most)
+        large = chunks.where(F.col("rows") * F.col("columns") > MOST_TILES).select("first")
+        if not large.isEmpty():
+            some = common.small(large, n_chunks, MOST_BROADCAST)
+            finer = refined(family.join(some, "first", "left_semi"))
+            before, family = family, common.written(family.join(some, "first", "left_anti").unionByName(finer), "families")
+            common.forget(before, finer)
+        common.forget(chunks)
+        return family
+
     def refined(family: DataFrame) -> DataFrame:
         """(first, doc, component, size): families of those members of a family that share an element of their prefixes.
 
         A prefix has the elements of a set that are rarest in the family, of equal ones the smallest, as many as two sets
         can't do without and be similar enough: |s| - ceil(|s| num / den) + 1. So no pair is lost, and what all members
         have in common brings none of them together. Elements are counted before they are joined; those that very many
-        members have are joined by a broadcast.
+        members have are joined by a broadcast. Members of one component needn't meet, and of families with the same
+        members one stays.
         """
 
         def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,19 +359,22 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
 
         sets_of = whole(family.select("doc").distinct())
         each = common.written(family.join(sets_of.dropDuplicates(["doc"]).mapInArrow(elements, "doc long, e long"), "doc"), "elements")
-        counts = common.written(each.groupBy("first", "e").agg(F.count("*").alias("n")), "element-counts")
+        counts = common.written(each.groupBy("first", "e").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")), "element-counts")
         told = common.join_groups(each, counts, ["first", "e"], "n", each.count())
         place = F.row_number().over(Window.partitionBy("first", "doc").orderBy("n", "e"))
         prefix = F.col("size") - F.floor((F.col("size") * num + den - 1) / den) + 1
-        shared = told.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("n") > 1))
-        out = common.written(shared.select(F.xxhash64("first", "e").alias("first"), "doc", "component", "size").distinct(), "families")
-        common.forget(sets_of, each, counts)
+        shared = told.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("low") < F.col("high")))
+        found = common.written(shared.select(F.xxhash64("first", "e").alias("first"), "doc", "component", "size").distinct(), "families")
+        members = [F.bit_xor(F.xxhash64("doc", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+        alike = found.groupBy("first").agg(F.count("*").alias("n"), *members).groupBy("n", "m0", "m1").agg(F.min("first").alias("first")).where("n > 1")
+        out = common.written(found.join(alike.select("first"), "first", "left_semi"), "families")
+        common.forget(sets_of, each, counts, found)
         return out
 
-    def tiles(family: DataFrame, elements: int) -> DataFrame:
+    def tiles(family: DataFrame, amount: Column, most: int) -> DataFrame:
         """(first, i, j, doc, component, size): families in more than one component, dealt out in tiles. The largest
         component's members needn't meet each other: chunks of the others meet chunks of all."""
-        chunks, n = chunked(family, elements)
+        chunks, n = chunked(family, amount, most)
         chunks = common.small(chunks, n, MOST_BROADCAST)
         at = lambda c: F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
         dealt = family.join(chunks, "first").withColumns({"i": at("rows"), "j": at("columns")})
@@ -358,12 +383,16 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
         places = F.when(F.col("component") == F.col("main"), across).otherwise(F.array_union(across, along))
         return dealt.select("first", F.explode(places).alias("at"), "doc", "component", "size").select("first", "at.i", "at.j", "doc", "component", "size")
 
+    one = F.lit(1)
     # an id that repeats with other texts ties their classes
     repeated = copies.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("doc", "a")
     links = copies.join(repeated, "doc").select("a", F.col("class").alias("b")).where("a <> b").distinct()
     sketches = classes.select(F.col("class").alias("doc"), F.col("size").alias("n"), "sketch")
-    # each class with the first one of one of its buckets: that ties most of a group of near copies together
-    pairs = buckets.groupBy(F.col("doc").alias("b")).agg(F.min("first").alias("a")).where("a < b")
+    # each class with the first one of most of its buckets: that ties most of a group of near copies together
+    met = buckets.groupBy("first", "doc").agg(F.first("size").alias("size"), F.count("*").alias("n"))
+    met = common.written(met, "met")
+    common.forget(buckets)
+    pairs = met.where("doc <> first").groupBy(F.col("doc").alias("b")).agg(F.max(F.struct("n", "first"))["first"].alias("a"))
     told = pairs.join(sketches.toDF("a", "na", "ka"), "a").join(sketches.toDF("b", "nb", "kb"), "b")
     pairs = common.written(told.mapInArrow(possible, "a long, b long").distinct(), "pairs")
     own = whole(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
@@ -375,22 +404,16 @@ def _finish(rows: DataFrame, sets: DataFrame, classes: DataFrame, copies: DataFr
     # then whatever shares a bucket and is still apart: buckets with the same first class make a family. Sketches
     # show which members can't be similar to any in another component; the rest are compared in tiles of bounded size,
     # which return a forest of their links
-    family = buckets.select("first", "doc", "size").union(buckets.where("doc = first").select("first", "doc", "size")).distinct()
-    family = common.written(family.join(member, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "families")
-    chunks, n_chunks = chunked(family, TILE)
-    large = chunks.where(F.col("rows") * F.col("columns") > MOST_TILES).select("first")
-    if not large.isEmpty():
-        # families of so many sets are brought down to sets that share a rare element
-        some = common.small(large, n_chunks, MOST_BROADCAST)
-        finer = refined(family.join(some, "first", "left_semi"))
-        before, family = family, common.written(family.join(some, "first", "left_anti").unionByName(finer), "families")
-        common.forget(before, finer)
-    common.forget(chunks)
-    dealt = tiles(family, TILE).join(sketches.select("doc", "sketch"), "doc")
+    family = met.join(member, "doc", "left").select("first", "doc", F.coalesce("component", "doc").alias("component"), "size")
+    family = common.written(family, "families")
+    common.forget(met, known)
+    family = brought_down(family, one, SKETCHES)
+    dealt = tiles(family, one, SKETCHES).join(sketches.select("doc", "sketch"), "doc")
     rest = common.written(dealt.groupBy("first", "i", "j").applyInArrow(undecided, "first long, doc long, component long, size long").distinct(), "undecided")
-    common.forget(buckets, family, known)
+    common.forget(family)
+    rest = brought_down(rest, F.col("size"), TILE)
     own = whole(rest.select("doc").distinct())
-    more = tiles(rest, TILE).join(own, "doc").groupBy("first", "i", "j").applyInArrow(joined, "a long, b long")
+    more = tiles(rest, F.col("size"), TILE).join(own, "doc").groupBy("first", "i", "j").applyInArrow(joined, "a long, b long")
     all_links = common.written(links.union(more), "links")
     common.forget(links, rest, own)
     known = common.components(all_links, "near")

@@ -554,6 +554,57 @@ def test_boilerplate_brings_few_together(spark, monkeypatch, most):
         assert pairs[1] <= 6 * max(pairs[0], 10)
 
 
+def test_copies_of_one_text_meet_it_first(spark, monkeypatch):
+    """Near copies of one text that are less alike among themselves are tied to it at once: few of them go on to tiles."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    docs = {200: " ".join(base)}
+    for i in [*range(150), *range(300, 400)]:
+        w = list(base)
+        for k in rng.sample(range(300), 8):
+            w[k] = f"x{rng.randint(0, 10**6)}"
+        docs[i] = " ".join(w)
+    left, written = [], common.written
+
+    def watched(df, what):
+        out = written(df, what)
+        if what == "undecided":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", watched)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc: r.component for r in jaccard.jaccard_components(df, 3, 80, 100).collect()}
+    assert got == brute_components(word_sets(docs, 3), 80, 100) and set(got.values()) == {0}
+    assert left == [0]
+
+
+@pytest.mark.parametrize("most", [0, 8])
+def test_rare_elements_make_no_family_twice(spark, monkeypatch, most):
+    """Members that share many rare elements meet once, and not at all within a component."""
+    monkeypatch.setattr(jaccard, "TILE", 500)
+    monkeypatch.setattr(jaccard, "MOST_TILES", most)
+    rng, rows, written = random.Random(8), [], common.written
+
+    def watched(df, what):
+        out = written(df, what)
+        if what == "families":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", watched)
+    banner, docs = " ".join(f"banner{i}" for i in range(100)), {}
+    for g in range(40):  # pairs that share a third of their rarer words, but aren't similar enough
+        both = [f"g{g}w{i}" for i in range(10)]
+        for k in range(2):
+            docs[2 * g + k] = banner + " " + " ".join(both + [f"v{rng.randint(0, 10**6)}" for _ in range(20)])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc: r.component for r in jaccard.jaccard_components(df, 3, 70, 100).collect()}
+    assert got == brute_components(word_sets(docs, 3), 70, 100)
+    if most == 0:
+        assert rows[-1] <= 6 * len(docs)  # some 17 rows a text if families with the same members were all kept
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(4, 300), st.integers(0, 10**6), st.sampled_from([(90, 100), (80, 100), (60, 100)]), st.sampled_from([(2, 1), (1, 0), (3, 1), (4, 2)]))
 def test_similar_sets_share_a_signature(size, seed, bound, parts):
