@@ -602,7 +602,7 @@ def test_rare_elements_make_no_family_twice(spark, monkeypatch, most):
     got = {r.doc: r.component for r in jaccard.jaccard_components(df, 3, 70, 100).collect()}
     assert got == brute_components(word_sets(docs, 3), 70, 100)
     if most == 0:
-        assert rows[-1] <= 6 * len(docs)  # some 17 rows a text if families with the same members were all kept
+        assert rows[-1] <= 6 * len(docs)
 
 
 @settings(max_examples=40, deadline=None)
