@@ -39,18 +39,20 @@ def _named(rows: DataFrame, draws: int, seed: int) -> DataFrame:
     width = draws + 1
 
     def packed(label: str, y: str, size: int, places: list[int]) -> Iterator[tuple]:
-        at = drawn_places(seed, label, y, size, draws, np.array(places)).astype(np.uint64)
-        at *= np.uint64(width)
-        at += np.arange(1, width, dtype=np.uint64)[:, None]
+        kind = np.uint32 if (size + 1) * width < 1 << 32 else np.uint64
+        at = drawn_places(seed, label, y, size, draws, np.array(places)).astype(kind, copy=False)
+        at *= kind(width)
+        at += np.arange(1, width, dtype=kind)[:, None]
         codes = np.sort(at, axis=None)
         span = width << BLOCK
         steps = np.diff(codes)
-        bounds = np.searchsorted(codes, np.arange(size // (1 << BLOCK) + 2, dtype=np.uint64) * np.uint64(span))
+        ends = np.minimum(np.arange(size // (1 << BLOCK) + 2, dtype=np.uint64) * np.uint64(span), np.uint64(size * width + draws))
+        bounds = np.searchsorted(codes, ends.astype(kind))
         for block in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[block], bounds[block + 1]
             own = steps[a : b - 1]
-            kind = np.uint16 if not len(own) or own.max() < 1 << 16 else np.uint32
-            yield label, y, block, b - a, int(codes[a]) - block * span, own.astype(kind).tobytes()
+            short = not len(own) or own.max() < 1 << 16
+            yield label, y, block, b - a, int(codes[a]) - block * span, own.astype(np.uint16 if short else np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str, int], list[int]] = {}
@@ -122,18 +124,17 @@ def bootstrap_agreement(scores: DataFrame, draws: int, seed: int = 2026) -> Data
             own[0] = first
             own[1:] = np.frombuffer(steps, np.uint16 if len(steps) == 2 * (n - 1) else np.uint32)
             codes.append(np.cumsum(own))
-        times = np.bincount(np.concatenate(codes), minlength=width << BLOCK).reshape(1 << BLOCK, width)
+        times = np.bincount(np.concatenate(codes), minlength=width << BLOCK)
+        times = times.astype(np.uint8 if times.max() < 256 else np.int32).reshape(1 << BLOCK, width)
         times[:, 0] = 1
         own = times[(left.column("place").to_numpy() - 1) & ((1 << BLOCK) - 1)]
-        own = own.astype(np.uint8 if own.max() < 256 else np.int32)
         label, is_pos = key[0].as_py(), left.column("is_pos")[0].as_py()
         out: list[tuple] = []
         for which in ("prev", "new"):
             coded = left.column(which).combine_chunks().dictionary_encode(null_encoding="encode")
             at = coded.indices.to_numpy()
             order = np.argsort(at, kind="stable")
-            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-            sums = own[order] if len(starts) == len(at) else np.add.reduceat(own[order], starts, axis=0, dtype=np.int32)
+            sums = [own[same[0]] if len(same) == 1 else own[same].sum(0, dtype=np.int32) for same in np.split(order, np.flatnonzero(np.diff(at[order])) + 1)]
             values = coded.dictionary.to_pylist()
             parts = np.searchsorted(bounds[label][which], np.array([-math.inf if p is None else p for p in values], float), side="right").tolist()
             out += [(label, which, 0 if p is None else part + 1, p, is_pos, _bytes(c)) for p, part, c in zip(values, parts, sums, strict=True)]
