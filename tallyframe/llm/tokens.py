@@ -11,6 +11,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +60,19 @@ class Codec:
         """Make room in the tables: the words behind cuts that came most often stay, half of the most words at most."""
         often = np.sort(self.used)[::-1]
         least = max(2, int(often[MAX_WORDS // 2]) + 1 if len(often) > MAX_WORDS // 2 else 2)
-        kept = [(word, place) for word, place in self.rest.items() if self.used[place] >= least]
-        starts, sizes, flat, used = self.starts, self.sizes, np.frombuffer(self.flat, np.int32), self.used
-        self._reset()
-        if not kept or sum(len(w) for w, _ in kept) > MAX_CHARS // 2:
+        at = np.fromiter(self.rest.values(), np.int64, len(self.rest))
+        stay = self.used[at] >= least
+        at, kept = at[stay], list(compress(self.rest, stay))
+        n_chars = sum(map(len, kept))
+        if not kept or n_chars > MAX_CHARS // 2:
+            self._reset()
             return
-        at = np.array([place for _, place in kept])
-        starts, self.sizes, self.used = starts[at], sizes[at], used[at] // 2
-        ends = np.cumsum(self.sizes)
-        self.starts = ends - self.sizes
-        self.flat.frombytes(flat[np.repeat(starts - self.starts, self.sizes) + np.arange(ends[-1])].tobytes())
-        self.rest.update((word, i) for i, (word, _) in enumerate(kept))
-        self.n_words, self.n_chars = len(kept), sum(len(w) for w, _ in kept)
+        flat, sizes, used = self._flat_of(at), self.sizes[at], self.used[at] // 2
+        self._reset()
+        self.sizes, self.used, self.starts = sizes, used, np.cumsum(sizes) - sizes
+        self.flat.frombytes(flat.tobytes())
+        self.rest.update(zip(kept, range(len(kept))))
+        self.n_words, self.n_chars = len(kept), n_chars
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, straight from the library."""
@@ -85,16 +87,56 @@ class Codec:
         """The same for words behind a cut, given without the space before them."""
         return self._first_ids(words)
 
-    def _encode_waiting(self) -> None:
-        """Put the ids of unknown words into the tables. Places were given in the order of asking, first words last."""
-        for table, ids_of in ((self.rest, self._rest_ids), (self.first, self._first_ids)):
-            if table.waiting:
-                words, table.waiting = table.waiting, []
-                ids, sizes = ids_of(words)
-                ends = len(self.flat) + np.cumsum(sizes)
+    def _pieces(self, words: list[str]) -> tuple[list[int], list[list[str]]]:
+        """Which words behind cuts fall apart, and their pieces, whose ids, put together, are the word's: what stays behind
+        the cut, and the rest as texts of their own."""
+        return [], []
+
+    def _take_apart(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which unknown words behind cuts fall apart, their numbers of pieces, and the places of all these. Unknown pieces
+        wait, too."""
+        which, pieces = self._pieces(self.rest.waiting)
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        places, heads = np.empty(n.sum(), np.int64), np.cumsum(n) - n
+        own = np.zeros(len(places), bool)
+        own[heads] = True
+        places[own] = [self.rest[x[0]] for x in pieces]
+        places[~own] = [self.first[y] for x in pieces for y in x[1:]]
+        return np.array(which, np.int64), n, places
+
+    def _encode_waiting(self, apart: np.ndarray, n: np.ndarray, places: np.ndarray) -> None:
+        """Put the ids of unknown words into the tables: of those that _take_apart told by their pieces. Places were given in
+        the order of asking, first words last."""
+        rest, first = self.rest.waiting, self.first.waiting
+        self.rest.waiting, self.first.waiting = [], []
+        if not rest and not first:
+            return
+        known = len(self.starts)
+        asked = np.ones(len(rest), bool)
+        asked[apart] = False
+        sizes = np.zeros(len(rest) + len(first), np.int64)
+        at = len(self.flat)
+        for own, words, ids_of in ((np.flatnonzero(asked), list(compress(rest, asked)), self._rest_ids), (np.arange(len(rest), len(sizes)), first, self._first_ids)):
+            if words:
+                ids, sizes[own] = ids_of(words)
                 self.flat.frombytes(ids.astype(np.int32).tobytes())
-                self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
-                self.n_chars += sum(map(len, words))
+        order = np.concatenate([np.flatnonzero(asked), np.arange(len(rest), len(sizes))])
+        starts = np.zeros(len(sizes), np.int64)
+        starts[order] = at + np.cumsum(sizes[order]) - sizes[order]
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        if len(apart):
+            whole, own = known + apart, self._flat_of(places)
+            self.sizes[whole] = np.add.reduceat(self.sizes[places], np.cumsum(n) - n)
+            self.starts[whole] = len(self.flat) + np.cumsum(self.sizes[whole]) - self.sizes[whole]
+            self.flat.frombytes(own.tobytes())
+        self.n_chars += sum(map(len, rest)) + sum(map(len, first))
+
+    def _flat_of(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the words at some places, one after another."""
+        starts, sizes = self.starts[places], self.sizes[places]
+        take = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        take += np.arange(len(take))
+        return np.frombuffer(self.flat, np.int32)[take] if self.flat else np.empty(0, np.int32)
 
     def _parts(self, texts: pa.Array) -> pa.Array:
         """The parts of each text as a list."""
@@ -121,9 +163,11 @@ class Codec:
         known = np.fromiter(map(self.rest.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
         places = np.empty(len(words), np.int64)
         places[later] = known[coded.indices.to_numpy()]
+        apart = self._take_apart()
         places[ends[:-1]] = [self.first[t] for t in firsts.tolist()]
-        self._encode_waiting()
+        self._encode_waiting(*apart)
         self.used = np.concatenate([self.used, np.zeros(self.n_words - len(self.used), np.int64)])
+        self.used += np.bincount(apart[2][np.cumsum(apart[1]) - apart[1]], minlength=self.n_words)
         self.used[known] += np.bincount(coded.indices.to_numpy(), minlength=len(known))
         return places, np.diff(ends)
 
@@ -139,21 +183,23 @@ class Codec:
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         places, parts = self._places(texts)
-        sizes, starts = self.sizes[places], self.starts[places]
-        ends = np.cumsum(sizes)
-        take = np.repeat(starts - (ends - sizes), sizes)
-        take += np.arange(len(take))
-        flat = np.frombuffer(self.flat, np.int32) if self.flat else np.empty(0, np.int32)
-        return flat[take], np.add.reduceat(sizes, np.cumsum(parts) - parts)
+        return self._flat_of(places), np.add.reduceat(self.sizes[places], np.cumsum(parts) - parts)
 
 
 class JsonCodec(Codec):
     """A tokenizers .json file. Special strings inside texts are handled as the library does by default.
 
     GPT-2's pattern gives a space to what follows it unless that is white space, so every text falls apart before a
-    space that stands before another character, and so does a text put together from such parts.
+    space that stands before another character, and so does a text put together from such parts. It also parts letters
+    from signs behind them, apostrophes apart, and a single line feed from what stands on both sides of it; so words that
+    differ in these alone ask the library for their letters once.
     """
 
+    #: Signs that fall off a letter at a word's end.
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: One to three of them behind a letter, in RE2's notation.
+    TAIL = "[A-Za-zÀ-ÖØ-öø-ÿ][!-&(-/:-@\\[-`{-~]{1,3}"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -165,6 +211,7 @@ class JsonCodec(Codec):
         pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         safe = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         safe = safe and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in added)
+        self.added, self.tail = [t["content"] for t in added], re.compile(self.TAIL)
         # bytes of each id: a letter of a byte-level token stands for one byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -175,13 +222,38 @@ class JsonCodec(Codec):
                 self.n_bytes[t["id"]] = len(t["content"].encode())
         super().__init__(bool(safe), r" (?=\S)", rf" (?:[{_WHITE}]|\z)")
 
+    def _pieces(self, words: list[str]) -> tuple[list[int], list[list[str]]]:
+        told = pa.array(words, pa.string())
+        # single line feeds between other characters; added tokens may hold any sign
+        tails, feeds = pc.match_substring_regex(told, self.TAIL + r"\z"), pc.match_substring(told, "\n")
+        some = pc.or_(tails, feeds)
+        if self.added:
+            some = pc.and_not(some, pc.match_substring_regex(told, "|".join(map(re.escape, self.added))))
+        which, pieces = [], []
+        for i in np.flatnonzero(some.to_numpy(zero_copy_only=False)).tolist():
+            word, lines = words[i], words[i].split("\n")
+            if len(lines) == 1:
+                stem = word.rstrip(self.SIGNS)
+                own = [stem, word[len(stem) :]]
+            elif all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                own = []
+                for line in lines:
+                    stem = line.rstrip(self.SIGNS)
+                    own += [stem, line[len(stem) :], "\n"] if self.tail.fullmatch(line, max(0, len(stem) - 1)) else [line, "\n"]
+                own.pop()
+            else:
+                continue
+            which.append(i)
+            pieces.append(own)
+        return which, pieces
+
     def _rest_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words behind cuts make one text again; the bytes of its ids say which word each is of."""
         ids, sizes = [], []
         for at, end in batches_of(np.fromiter(map(len, words), np.int64, len(words)), CALL_CHARS):
             some = words[at:end]
             got = np.array(self.whole([" " + " ".join(some)])[0], np.int64)
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            ends = np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy().astype(np.int64) + 1)
             covered = np.cumsum(self.n_bytes[got])
             last = np.searchsorted(covered, ends)
             if len(covered) <= last[-1] or (covered[last] != ends).any() or covered[-1] != ends[-1]:

@@ -18,3 +18,17 @@ def test_frequent_words_stay(monkeypatch):
         want = codec.whole(texts)
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     assert asked.count("common") == 1 and codec.n_words <= 70
+
+
+def test_signs_and_line_feeds_fall_off(monkeypatch):
+    """Words that differ in the signs behind them, or stand around a line feed, ask for their letters once."""
+    codec = tokens.JsonCodec(public_tokenizers.path("byte_bpe_50k.json"))
+    asked = []
+    ids_of = codec._rest_ids
+    monkeypatch.setattr(codec, "_rest_ids", lambda words: asked.extend(words) or ids_of(words))
+    odd = ["it's, we'll. x'.", "a....  b,\n", "w\n\nv \nu t\n s", "<|endoftext|> x<|endoftext|>. y<|endoftext|", "é? ÿ! ×. ÷, Ж; 1. ª.", "q́. q.́", "e.\r\nf, g,\x1ch h　.", " .", "", "n\t.\no"]
+    for texts in (["the qalpha, qalpha. qalpha", "the qalpha### qalpha!?\nQbeta. qalpha,"], odd, [" ".join(odd)]):
+        ids, sizes = codec.encode(pa.array(texts))
+        want = codec.whole(texts)
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [w for w in asked if "qalpha" in w] == ["qalpha"]
