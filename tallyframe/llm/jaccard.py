@@ -31,6 +31,8 @@ TILE = 200_000
 SKETCHES = 2000
 #: Tiles that a family may take before its members meet only where they share a rare element.
 MOST_TILES = 8
+#: Bits of a class's digest that travel with each of its signatures.
+MARK_BITS = 40
 #: Rows that a broadcast of ids may have.
 MOST_BROADCAST = 2_000_000
 
@@ -204,7 +206,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
 
     Sets are signed and compared by class, the digest (hi, lo) of their elements; ids come in when classes are tied.
     """
-    scheme = (num, den, parts, k2, ratio)
+    scheme, cut = (num, den, parts, k2, ratio), 64 - MARK_BITS
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,28 +227,31 @@ def _components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_
                             seen.clear()
                         seen.add(mark)
                         found.append(own.signatures(s))
-                        marks.append(np.full(len(found[-1]), mark[0]))
+                        marks.append(np.full(len(found[-1]), (mark[0] & (1 << 64) - 1) >> cut))
                 if found:
-                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(marks))], names=["sig", "hi"])
+                    yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(marks))], names=["sig", "mark"])
 
     rows = _rows(docs, id_col, text_col)
     sets = common.written(rows.mapInArrow(sized, "doc long, n_shingles long, hi long, lo long, sketch binary"), "sets")
     # classes: equal sets, by a number, with the smallest id of their documents
     classes = sets.where("hi is not null and doc is not null").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = common.written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    marks = classes.select("hi", "class", "size")
+    marks = classes.select(F.shiftrightunsigned("hi", cut).alias("mark"), "class", "size")
     n_rows = classes.agg(F.sum("copies")).first()[0] or 0
     named = common.join_groups(sets.where("hi is not null and doc is not null").select("doc", "hi", "lo"), classes.select("hi", "lo", "class", "copies"), ["hi", "lo"], "copies", n_rows)
     copies = common.written(named.select("doc", "class"), "copies")
-    # buckets of two classes or more; the exchange by signature is the only one of all signatures, so that half of the
-    # digest stands for a class there: classes that have it in common are all taken for members
+    # buckets of two classes or more; the exchange by signature is the only one of all signatures, and most of the disk, so
+    # that some bits of the digest stand for a class there: classes that have them in common are all taken for members
     each = Window.partitionBy("sig")
-    ends = {"low": F.min("hi").over(each), "high": F.max("hi").over(each), "n": F.count("*").over(each)}
-    shared = common.written(rows.mapInArrow(signed, "sig long, hi long").withColumns(ends).where("low < high").select("sig", "hi", "n"), "buckets")
-    weights = shared.groupBy("hi").agg(F.sum("n").alias("weight"))
+    ends = {"low": F.min("mark").over(each), "high": F.max("mark").over(each), "n": F.count("*").over(each)}
+    shared = common.written(rows.mapInArrow(signed, "sig long, mark long").withColumns(ends).where("low < high").select("sig", "mark", "n"), "buckets")
+    weights = shared.groupBy("mark").agg(F.sum("n").alias("weight"))
+    # a bucket of such classes alone looks like one class: what they have in common is a signature of theirs, too
+    twins = marks.groupBy("mark").agg(F.count("*").alias("weight")).where("weight > 1")
+    twins = marks.join(twins, "mark").select(F.col("mark").alias("sig"), F.col("class").alias("doc"), "size", "weight")
     # of copies signed in several tasks, one row stays
-    named = shared.join(marks.join(weights, "hi"), "hi").select("sig", F.col("class").alias("doc"), "size", "weight")
-    buckets = common.written(_with_hubs(named.distinct()), "buckets")
+    named = shared.join(marks.join(weights, "mark"), "mark").select("sig", F.col("class").alias("doc"), "size", "weight")
+    buckets = common.written(_with_hubs(named.distinct().union(twins)), "buckets")
     common.forget(shared)
     return _finish(rows, sets, classes, copies, buckets, n_rows, n, num, den)
 

@@ -40,9 +40,10 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage, and a lost executor can't make it come
-    out otherwise."""
+    out otherwise. What was shuffled for it is deleted at once, not when the driver next collects its garbage."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
     if _scopes:
@@ -50,6 +51,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+#: Spark's setting that shuffle files go once the query that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Delete what `written` stores within, once this is left: what is lazy must have run by then."""

@@ -634,6 +634,17 @@ def test_jaccard_odd_input(spark, odd, empty):
     assert {r.doc_id for r in kept.collect()} == {0, 2, 3, 4, 5, 7, 9, None} and kept.columns == odd.columns
 
 
+def test_jaccard_marks_in_common(spark, monkeypatch):
+    """No link is lost between classes whose marks are equal, however few bits a mark has."""
+    rows = [(i, " ".join(f"w{(i // 3 * 50 + k) % 400}" for k in range(60 - i % 3))) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for bits in (40, 1):
+        monkeypatch.setattr(jaccard, "MARK_BITS", bits)
+        got.append(sorted(jaccard.jaccard_components(df, 3, 80, 100).collect()))
+    assert got[0] == got[1] and {r.component for r in got[0]} == set(range(0, 24, 3))
+
+
 def test_jaccard_id_with_two_texts(spark):
     one, two = (" ".join(f"{k}{i}" for i in range(60)) for k in "xy")
     rows = [(3, one), (5, one), (5, two), (9, two + " tail"), (20, two + " end"), (20, two + " end"), (30, "alone " + "z " * 3), (30, "alone " + "z " * 3), (30, ""), (30, "")]
@@ -666,6 +677,24 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.where("1 = 0")).count() == 0
 
 
+def test_written_leaves_no_shuffle(spark):
+    """What was shuffled for a written step goes with it, without the driver's garbage collection; the setting is put back."""
+
+    def left():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = left(), spark.conf.get(key, None)
+    step = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    until = time.time() + 10
+    while left() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not left() - before and spark.conf.get(key, None) == setting
+    assert step.agg(F.sum("count")).first()[0] == 1000
+    common.forget(step)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 300), (300, 250)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
