@@ -4,6 +4,7 @@ Vectors of length 1 whose cosine is at least t are at most sqrt(2 - 2t) apart. T
 each block gets the share of the squared distance that it has of the dimensions, so a pair within the bound is within
 its share in some block. Each block is range-joined: a vector lives in one cell of a grid over the block's first
 dimensions and visits every cell that its share of the distance reaches. Candidates of any block are checked in full.
+Cells of few vectors are gathered by a shuffle; the members of larger ones meet chunk by chunk, each vector stored once.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ from . import common
 
 #: Added to squared distances, over what rounding can take from them.
 SLACK = 1e-9
+#: Chunks of a partition that meet those of another in one task.
+MOST_CHUNKS = 32
+#: Spark's setting of the rows that a task of Python gets at once.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @lru_cache(maxsize=8)
@@ -77,13 +84,13 @@ class Blocks:
         d = np.ascontiguousarray(u[:, self.cols[b]] - v[:, self.cols[b]])
         return np.einsum("ij,ij->i", d, d)
 
-    def linked(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, b: int, threshold: float, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def linked(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, b: int, threshold: float, rows: int = 1024, u: np.ndarray | None = None, v: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Index pairs (i, j), ids[i] < others[j], whose cosine is at least threshold and whose first block within its
-        share is b: every linked pair comes up in one block, where the smaller id lives."""
+        share is b: every linked pair comes up in one block, where the smaller id lives. u and v: x and y rotated, if known."""
         first, last = np.argsort(ids, kind="stable"), np.argsort(others, kind="stable")
         x, ids, y, others = x[first], ids[first], y[last], others[last]
         x, y = scaled(x), scaled(y)
-        u, v = rotated(x), rotated(y)
+        u, v = rotated(x) if u is None else u[first], rotated(y) if v is None else v[last]
         # one product gives the squared distances: (p, |p|^2, 1) . (-2 q, 1, |q|^2)
         p, q = u[:, self.cols[b]], v[:, self.cols[b]]
         one = lambda m: np.ones((len(m), 1))
@@ -133,8 +140,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     vectors of different lengths. A cosine of exactly threshold (a tie) links. Finite vectors of any size count. Extra
     columns, whatever their names, are not carried; an empty table gives an empty table. Equal vectors are joined as one and counted as many. Each id is taken to name one
     vector: rows that repeat an id count as vectors of their own in n_links and are tied in one component. Null ids link
-    with nothing. A cell with many vectors is dealt out in tiles of about tile x tile pairs, so no group grows with the
-    data; what links have is summed in each tile and never listed pair by pair.
+    with nothing. Vectors of cells with more than `tile` are stored once, in chunks of that many, and each two chunks meet
+    without a shuffle: neither a group nor, by more than the input, the disk grows with the pairs. What links have is summed
+    for each two chunks and never listed pair by pair.
     """
     vec, vec_id = F.col(vec_col).cast("array<double>"), F.col(id_col).cast("long")
     base = vectors.select(vec_id.alias("id"), vec.alias("v"))
@@ -165,39 +173,48 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                     yield pa.record_batch([pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(places), pa.array(np.bincount(which, lives, n).astype(np.int64)), pa.array(np.bincount(which, minlength=n).astype(np.int64))], names=["dim", "block", "cell", "living", "there"])
 
     counted = classes.mapInArrow(cells, "dim int, block int, cell long, living long, there long").groupBy("dim", "block", "cell").agg(F.sum("living").alias("living"), F.sum("there").alias("there"))
-    # a row for each cell of the grid over the unit ball, however many vectors there are; only cells that are split matter
-    split = {(r.dim, r.block, r.cell): (-(-r.living // tile) or 1, -(-r.there // tile)) for r in counted.where(F.col("there") > tile).collect()}
+    # a row for each cell of the grid over the unit ball, however many vectors there are; only large cells matter
+    large = {(r.dim, r.block, r.cell) for r in counted.where(F.col("there") > tile).collect()}
+    large_dims = {dim for dim, _, _ in large}
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors by the cells that aren't large."""
         for batch in batches:
             reps, copies = batch.column("rep").to_numpy(), batch.column("copies").to_numpy()
             for dim, rows, x in stacked(batch):
                 own, u = Blocks(dim, *shape), rotated(x)
-                raw = np.ascontiguousarray(x.astype(kind))
-                data = [r.tobytes() for r in raw]
-                order = (np.uint64(0x9E3779B97F4A7C15) * reps[rows].astype(np.uint64)) >> np.uint64(33)
+                data = [r.tobytes() for r in np.ascontiguousarray(x.astype(kind))]
                 for b in range(len(own.cols)):
-                    who, cell, lives = own.visits(u, b)
-                    out: list[tuple[int, int, int, int, bool, bool]] = []
-                    for w, c, home in zip(who.tolist(), cell.tolist(), lives.tolist(), strict=True):
-                        s, t = split.get((dim, b, c), (1, 1))
-                        i, j = int(order[w]) % s, int(order[w]) % t
-                        out += [(c, i2, j, w, home and i2 == i, True) for i2 in range(s)]
-                        if home:
-                            out += [(c, i, j2, w, True, False) for j2 in range(t) if j2 != j]
-                    if out:
-                        c, i, j, w, left, right = zip(*out, strict=True)
-                        w = np.array(w)
-                        yield pa.record_batch([pa.array(np.full(len(w), dim, np.int32)), pa.array(np.full(len(w), b, np.int32)), pa.array(c, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(reps[rows][w]), pa.array(copies[rows][w]), pa.array(left, pa.bool_()), pa.array(right, pa.bool_()), pa.array([data[k] for k in w.tolist()], pa.binary())], names=["dim", "block", "cell", "i", "j", "id", "copies", "is_left", "is_right", "raw"])
-
-    def join_tile(key: tuple, group: pa.Table) -> pa.Table:
-        dim, b = key[0].as_py(), key[1].as_py()
-        x = np.frombuffer(b"".join(r.as_py() for c in group.column("raw").chunks for r in c), kind).reshape(-1, dim).astype(np.float64)
-        ids, copies = group.column("id").to_numpy(), group.column("copies").to_numpy()
-        left, right = (np.flatnonzero(group.column(c).to_numpy()) for c in ("is_left", "is_right"))
-        i, j = Blocks(dim, *shape).linked(x[left], x[right], ids[left], ids[right], b, threshold)
+                    w, c, home = own.visits(u, b)
+                    few = ~np.isin(c, [cell for d, block, cell in large if (d, block) == (dim, b)])
+                    w, c, home = w[few], c[few], home[few]
+                    yield pa.record_batch([pa.array(np.full(len(w), dim, np.int32)), pa.array(np.full(len(w), b, np.int32)), pa.array(c, pa.int64()), pa.array(reps[rows][w]), pa.array(copies[rows][w]), pa.array(home), pa.array([data[k] for k in w.tolist()], pa.binary())], names=["dim", "block", "cell", "id", "copies", "lives", "raw"])
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors of lengths that have large cells, in rows of up to `tile` of one length."""
+        number, held = TaskContext.get().partitionId() << 32, {}
+
+        def row(dim: int, part: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([number], pa.int64()), pa.array([dim], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in part)], names=["chunk", "dim", "ids", "copies", "raw"])
+
+        for batch in batches:
+            reps, copies = batch.column("rep").to_numpy(), batch.column("copies").to_numpy()
+            for dim, rows, x in stacked(batch):
+                if dim in large_dims:
+                    part = [reps[rows], copies[rows], x.astype(kind)]
+                    held[dim] = [np.concatenate(p) for p in zip(held[dim], part, strict=True)] if dim in held else part
+                    while len(held[dim][0]) >= tile:
+                        yield row(dim, [p[:tile] for p in held[dim]])
+                        number, held[dim] = number + 1, [p[tile:] for p in held[dim]]
+        for dim, part in held.items():
+            if len(part[0]):
+                yield row(dim, part)
+                number += 1
+
+    def summed(ids: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+        """(id, n, root) of the links between the rows i and j."""
         names, where = np.unique(ids, return_inverse=True)
-        i, j = where[left[i]], where[right[j]]
+        i, j = where[i], where[j]
         have = np.zeros(len(names), np.int64)
         have[where] = copies
         n = np.zeros(len(names), np.int64)
@@ -206,9 +223,67 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         root, some = _roots(len(names), i, j), np.flatnonzero(n)
         return pa.table({"id": names[some], "n": n[some], "root": names[root[some]]})
 
-    dealt = classes.mapInArrow(tiles, "dim int, block int, cell long, i int, j int, id long, copies long, is_left boolean, is_right boolean, raw binary")
+    def join_cell(key: tuple, group: pa.Table) -> pa.Table:
+        dim, b = key[0].as_py(), key[1].as_py()
+        x = np.frombuffer(b"".join(r.as_py() for c in group.column("raw").chunks for r in c), kind).reshape(-1, dim).astype(np.float64)
+        ids, left = group.column("id").to_numpy(), np.flatnonzero(group.column("lives").to_numpy())
+        i, j = Blocks(dim, *shape).linked(x[left], x, ids[left], ids, b, threshold)
+        return summed(ids, group.column("copies").to_numpy(), left[i], j)
+
+    def join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple] = {}
+
+        def opened(row: dict, side: str) -> tuple:
+            """(ids, copies, vectors, rotated ones, {(block, cell): (those that live there, those there)}) of a chunk."""
+            if (number := row[f"chunk_{side}"]) not in seen:
+                dim = row["dim_a"]
+                ids, copies = (np.frombuffer(row[f"{c}_{side}"], np.int64) for c in ("ids", "copies"))
+                x = np.frombuffer(row[f"raw_{side}"], kind).reshape(-1, dim).astype(np.float64)
+                own, u, there = Blocks(dim, *shape), rotated(x), {}
+                for b in range(len(own.cols)):
+                    who, cell, lives = own.visits(u, b)
+                    for c in np.unique(cell).tolist():
+                        if (dim, b, c) in large:
+                            there[b, c] = who[(cell == c) & lives], who[cell == c]
+                if len(seen) > 1:  # the left chunk of a task stays for many right ones
+                    seen.pop(next(k for k in seen if k != row["chunk_a"]))
+                seen[number] = ids, copies, x, u, there
+            return seen[number]
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dim_a"] != row["dim_b"]:
+                    continue
+                left, right = opened(row, "a"), opened(row, "b")
+                own, found = Blocks(row["dim_a"], *shape), []
+                # the smaller id of a link is in either chunk
+                for (p, at_p), (q, at_q) in (((left, 0), (right, len(left[0]))), ((right, len(left[0])), (left, 0)))[: 1 + (left is not right)]:
+                    for key in p[4].keys() & q[4].keys():
+                        w, z = p[4][key][0], q[4][key][1]
+                        i, j = own.linked(p[2][w], q[2][z], p[0][w], q[0][z], key[0], threshold, u=p[3][w], v=q[3][z])
+                        found.append((w[i] + at_p, z[j] + at_q))
+                if found:
+                    i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+                    yield from summed(*(np.concatenate([left[k], right[k]]) for k in (0, 1)), i, j).to_batches()
+
     n_rows = classes.agg(F.sum("copies")).first()[0] or 0
-    part = common.written(dealt.groupBy("dim", "block", "cell", "i", "j").applyInArrow(join_tile, "id long, n long, root long"), "near")
+    few = classes.mapInArrow(dealt, "dim int, block int, cell long, id long, copies long, lives boolean, raw binary")
+    part = common.written(few.groupBy("dim", "block", "cell").applyInArrow(join_cell, "id long, n long, root long"), "near")
+    if large:
+        spark = vectors.sparkSession
+        chunks = common.written(classes.mapInArrow(chunked, "chunk long, dim int, ids binary, copies binary, raw binary"), "chunks")
+        n = chunks.count()
+        # partitions meet each other one by one: some tasks for each core, and few chunks in each
+        chunks_out = chunks.repartition(min(n, max(ceil(sqrt(16 * spark.sparkContext.defaultParallelism)), ceil(n / MOST_CHUNKS))))
+        a, b = (chunks_out.select(*(F.col(c).alias(f"{c}_{side}") for c in chunks.columns)) for side in "ab")
+        met = a.crossJoin(b).where("chunk_a <= chunk_b").mapInArrow(join_chunks, "id long, n long, root long")
+        before = spark.conf.get(_BATCH)
+        spark.conf.set(_BATCH, "1")  # two chunks are some MB
+        try:
+            part = part.unionByName(common.written(met, "near"))
+        finally:
+            spark.conf.set(_BATCH, before)
+        common.forget(chunks)
     members = common.written(common.join_groups(valid, classes, ["v"], "copies", n_rows).select("id", "rep", "copies"), "members")
     links = part.groupBy("id").agg(F.sum("n").alias("n"))
     # rows that repeat an id tie the classes they are in

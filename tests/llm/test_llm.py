@@ -677,6 +677,19 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.where("1 = 0")).count() == 0
 
 
+def test_near_vectors_shuffle_in_proportion(spark):
+    """Vectors that all share a large cell are shuffled in proportion to their number, not to that of their pairs."""
+    rng, sent = np.random.default_rng(1), []
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    for n in (150, 600):
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 24)))]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        before = written()
+        assert near_vectors.near_vectors(df, tile=20).where("n_links = 0 and kept").count() == n
+        sent.append(written() - before)
+    assert sent[1] < 8 * sent[0]
+
+
 def test_written_leaves_no_shuffle(spark):
     """What was shuffled for a written step goes with it, without the driver's garbage collection; the setting is put back."""
 
